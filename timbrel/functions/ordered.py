@@ -146,8 +146,8 @@ def islands(
         )
         .select(*keys, BLOCK, "_base")
     )
-    out = d.withColumn("_run", F.sum("_flag").over(upto)).join(summary, [*keys, BLOCK], "left")
-    return out.withColumn(name, F.col("_run") + F.col("_base")).drop(BLOCK, "_cur", "_prev", "_flag", "_run", "_base")
+    out = d.withColumn("_seq", F.sum("_flag").over(upto)).join(summary, [*keys, BLOCK], "left")
+    return out.withColumn(name, F.col("_seq") + F.col("_base")).drop(BLOCK, "_cur", "_prev", "_flag", "_seq", "_base")
 
 
 def with_halo(df: DataFrame, t: str, width: float, behind: float = 0.0, ahead: float = 0.0) -> DataFrame:

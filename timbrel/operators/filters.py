@@ -445,7 +445,7 @@ def crop_checks(clips: DataFrame, ids: Sequence[str], width: int, height: int, a
     return violations(clips, ids, [
         ((inside < 0) | (inside > crop), "tracking", "error", F.lit("subject outside crop")),
         ((offset > 0) & (offset < limit) & (F.abs(inside - crop / 2) / crop * 100 > 15), "tracking", "warning", F.lit("off centre")),
-        (F.lit(crop / width * 100 < 25), "tracking", "warning", F.lit("extreme aspect")),
+        (F.lit(ASPECTS[aspect] * height / width * 100 < 25), "tracking", "warning", F.lit("extreme aspect")),
     ])
 
 

@@ -278,12 +278,13 @@ def _(v):
 
 
 @query("flt27_crop_checks", """
-WITH a AS (SELECT face_key, 1920.0 * greatest(10, least(90, floor(x + 0.5))) / 100 AS px, 608.0 AS cw, 1312.0 AS mo FROM faces),
+WITH a AS (SELECT face_key, 3840.0 * greatest(10, least(90, floor(x + 0.5))) / 100 AS px, 405.0 AS cw, 3435.0 AS mo FROM faces),
 b AS (SELECT *, floor(greatest(0, least(mo, px - cw / 2)) + 0.5) AS off FROM a)
 SELECT face_key, 'tracking' AS type, 'error' AS severity, 'subject outside crop' AS message FROM b WHERE px - off < 0 OR px - off > cw
-UNION ALL SELECT face_key, 'tracking', 'warning', 'off centre' FROM b WHERE off > 0 AND off < mo AND abs(px - off - cw / 2) / cw * 100 > 15""")
+UNION ALL SELECT face_key, 'tracking', 'warning', 'off centre' FROM b WHERE off > 0 AND off < mo AND abs(px - off - cw / 2) / cw * 100 > 15
+UNION ALL SELECT face_key, 'tracking', 'warning', 'extreme aspect' FROM b""")
 def _(v):
-    return op.crop_checks(v.faces.withColumnRenamed("x", "subject_x"), ["face_key"], 1920, 1080, "9:16")
+    return op.crop_checks(v.faces.withColumnRenamed("x", "subject_x"), ["face_key"], 3840, 720, "9:16")
 
 
 @query("flt27_tracking_checks", """
@@ -296,11 +297,10 @@ def _(v):
 
 
 @query("flt27_centering", """
-SELECT face_key, round((x / 100 - ((3.16049 * x - 50) / 2.16049) / 100 * (1 - 1 / 3.16049)) * 3.16049, 5) AS share FROM faces
-WHERE (x / 100 - ((3.16049 * x - 50) / 2.16049) / 100 * (1 - 1 / 3.16049)) * 3.16049 NOT BETWEEN 0.2 AND 0.8""")
+SELECT face_key, round((x / 100 - ((3.16049 * x - 50) / 2.16049) / 100 * (1 - 1 / 3.16049)) * 3.16049, 5) AS share FROM faces""")
 def _(v):
     share = op.face_share_in_crop(F.col("x"), 3.16049, 1.0)
-    return v.faces.where((share < 0.2) | (share > 0.8)).select("face_key", F.round(share, 5).alias("share"))
+    return v.faces.select("face_key", F.round(share, 5).alias("share"))
 
 
 @query("flt28_caption_consistency", """

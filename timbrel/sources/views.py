@@ -59,7 +59,7 @@ VIEWS: dict[str, View] = {
     }),
     "faces": View("lineitem", {
         "job_id": "l_suppkey", "t": "l_quantity", "slot_id": "CAST(l_linenumber AS BIGINT)",
-        "face_key": "l_orderkey * 100 + l_linenumber",
+        "face_key": "(l_orderkey * 100 + l_linenumber) * 100000000 + CAST(floor(l_extendedprice) AS BIGINT)",
         "x": "CAST(l_partkey % 101 AS DOUBLE)", "y": "CAST(l_orderkey % 101 AS DOUBLE)",
         "w": "2.0 + CAST(l_orderkey % 17 AS DOUBLE)", "h": "3.0 + CAST(l_partkey % 13 AS DOUBLE)",
         "confidence": "CAST(l_orderkey % 100 AS DOUBLE) / 100.0",
@@ -107,7 +107,7 @@ VIEWS: dict[str, View] = {
         "failed": "event_type = 'error'",
     }),
     "items": View("lineitem", {
-        "project_id": "l_suppkey", "item_id": "l_orderkey * 100 + l_linenumber",
+        "project_id": "l_suppkey", "item_id": "(l_orderkey * 100 + l_linenumber) * 100000000 + CAST(floor(l_extendedprice) AS BIGINT)",
         "track_no": "CAST(l_linenumber AS BIGINT)",
         "type": "CASE l_orderkey % 4 WHEN 0 THEN 'subtitle' WHEN 1 THEN 'video' WHEN 2 THEN 'audio' ELSE 'text' END",
         "start": "CAST(l_partkey % 200 AS DOUBLE) - CASE WHEN l_orderkey % 50 = 0 THEN 300 ELSE 0 END",
@@ -128,7 +128,7 @@ VIEWS: dict[str, View] = {
         "confidence": "CAST((n_words * 7 + seg_idx * 13) % 100 AS DOUBLE) / 100.0",
     }),
     "crop_segments": View("lineitem", {
-        "job_id": "l_suppkey", "seg_key": "l_orderkey * 100 + l_linenumber",
+        "job_id": "l_suppkey", "seg_key": "(l_orderkey * 100 + l_linenumber) * 100000000 + CAST(floor(l_extendedprice) AS BIGINT)",
         "start": "CAST((l_partkey * 13) % 600 AS DOUBLE)", "end": "CAST((l_partkey * 13) % 600 AS DOUBLE) + l_quantity / 8",
         "subject_x": "CAST(l_partkey % 101 AS DOUBLE)", "active_slot": "CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_linenumber AS BIGINT) END",
         "strategy": "CASE l_orderkey % 4 WHEN 0 THEN 'stationary' WHEN 1 THEN 'tracking' WHEN 2 THEN 'panning' ELSE 'blur_fill' END",
