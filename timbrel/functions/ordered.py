@@ -14,10 +14,26 @@ from collections.abc import Callable, Iterable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 BLOCK = "_blk"
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared checkpoint folder and go on from there.
+
+    A scan reads its input twice, so long chains of scans are cut between steps,
+    preferably after the rows were reduced.  The folder is the session's
+    ``spark.checkpoint.dir``; a local one is made only where that is unset.
+    """
+    import tempfile
+
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def time_block(t: str, seconds: float = 600.0) -> Column:
     """Block number of a time column."""
     return F.floor(F.col(t) / F.lit(float(seconds)))
@@ -146,8 +162,8 @@ def islands(
         )
         .select(*keys, BLOCK, "_base")
     )
-    out = d.withColumn("_seq", F.sum("_flag").over(upto)).join(summary, [*keys, BLOCK], "left")
-    return out.withColumn(name, F.col("_seq") + F.col("_base")).drop(BLOCK, "_cur", "_prev", "_flag", "_seq", "_base")
+    out = d.withColumn("_in_block", F.sum("_flag").over(upto)).join(summary, [*keys, BLOCK], "left")
+    return out.withColumn(name, F.col("_in_block") + F.col("_base")).drop(BLOCK, "_cur", "_prev", "_flag", "_in_block", "_base")
 
 
 def with_halo(df: DataFrame, t: str, width: float, behind: float = 0.0, ahead: float = 0.0) -> DataFrame:
@@ -212,7 +228,7 @@ def fold_sorted(
     keys = list(keys)
     cols = df.columns
     at = [cols.index(k) for k in keys]
-    names = [f.split()[0] for f in schema.split(",")]
+    names = StructType.fromDDL(schema).names
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         current, state = None, None
@@ -257,3 +273,30 @@ def keep_spaced(df: DataFrame, keys: Sequence[str], t: str, gap: float, order: S
         return last, []
 
     return fold_sorted(runs, [*keys, "_run_id"], order, schema, lambda: None, step).drop("_run_id")
+
+
+def ema(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, cols: dict[str, str], alpha: float, reverse: bool = False) -> DataFrame:
+    """Exponential moving average of ``cols`` (output name -> input column).
+
+    Blocks are long enough that the weight of anything before the previous
+    block is below 1e-40, so the running value equals the in-block weighted sum
+    plus the previous block's last value; no row-by-row pass is needed.
+    """
+    import math
+
+    keys = list(keys)
+    keep = 1.0 - alpha
+    rows = max(8, math.ceil(92.2 / -math.log(keep)))
+    d = numbered(df, keys, order, block, "_pos")
+    if reverse:
+        sizes = d.groupBy(*keys).agg(F.max("_pos").alias("_n"))
+        d = d.join(sizes, keys).withColumn("_pos", F.col("_n") + 1 - F.col("_pos")).drop("_n")
+    d = d.withColumns({"_b": F.floor((F.col("_pos") - 1) / rows), "_j": (F.col("_pos") - 1) % rows})
+    w = Window.partitionBy(*keys, "_b").orderBy("_j").rowsBetween(Window.unboundedPreceding, 0)
+    first = F.when(F.col("_pos") == 1, 1.0).otherwise(alpha)
+    for out, c in cols.items():
+        d = d.withColumn(f"_e_{out}", F.sum(first * F.col(c) * F.pow(F.lit(1.0 / keep), F.col("_j"))).over(w) * F.pow(F.lit(keep), F.col("_j")))
+    tails = d.where(F.col("_j") == rows - 1).select(*keys, (F.col("_b") + 1).alias("_b"), *[F.col(f"_e_{o}").alias(f"_t_{o}") for o in cols])
+    d = d.join(tails, [*keys, "_b"], "left")
+    d = d.withColumns({o: F.col(f"_e_{o}") + F.coalesce(F.col(f"_t_{o}"), F.lit(0.0)) * F.pow(F.lit(keep), F.col("_j") + 1) for o in cols})
+    return d.drop("_pos", "_b", "_j", *[f"_e_{o}" for o in cols], *[f"_t_{o}" for o in cols])

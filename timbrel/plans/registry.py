@@ -37,9 +37,10 @@ def with_views(sql: str) -> str:
     visit(sql)
     ctes = [f"{n} AS ({_view_sql(n)})" for n in needed]
     body = sql.strip()
-    if re.match(r"WITH\b", body, re.I):
-        ctes.append(body[4:].strip())
-        return "WITH " + ",\n".join(ctes)
+    own = re.match(r"WITH(\s+RECURSIVE)?\b", body, re.I)
+    if own:
+        ctes.append(body[own.end():].strip())
+        return "WITH RECURSIVE " + ",\n".join(ctes)
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 

@@ -30,8 +30,8 @@ class View:
 
 # events run over 30 days; times are compressed so that one job spans about 72
 # minutes (moments) or about two minutes (readings) of media time.
-_T = "CAST(floor((EPOCH_US(ts) - 1704067200000000) / 600000) AS BIGINT) / 1000.0"
-_FAST = "CAST(floor((EPOCH_US(ts) - 1704067200000000) / 20000000) AS BIGINT) / 1000.0"
+_T = "CAST(floor((EPOCH_US(ts) - 1704067200000000) / 600000) AS DOUBLE) / 1000"
+_FAST = "CAST(floor((EPOCH_US(ts) - 1704067200000000) / 20000000) AS DOUBLE) / 1000"
 
 VIEWS: dict[str, View] = {
     "moments": View("events", {
@@ -103,7 +103,7 @@ VIEWS: dict[str, View] = {
         "clips_count": "c_custkey % 12",
     }),
     "calls": View("events", {
-        "provider": "user_id % 5", "call_id": "event_id", "t": "(EPOCH_US(ts) - 1704067200000000) / 1000000.0",
+        "provider": "user_id % 5", "call_id": "event_id", "t": "CAST(EPOCH_US(ts) - 1704067200000000 AS DOUBLE) / 1000000",
         "failed": "event_type = 'error'",
     }),
     "items": View("lineitem", {
