@@ -158,7 +158,7 @@ def proportional_words(text: Column, start: Column, end: Column, digits: int | N
     def spread(line: Column) -> Column:
         words = F.split(line, " ")
         total = F.length(F.replace(line, F.lit(" ")))
-        upto = lambda i: F.length(F.substring_index(line, " ", i)) - F.greatest(i - 1, F.lit(0))
+        upto = lambda i: F.length(F.call_function("substring_index", line, F.lit(" "), i)) - F.greatest(i - 1, F.lit(0))
         at = lambda c: F.round(start + (end - start) * c / total, digits) if digits is not None else start + (end - start) * c / total
         return F.transform(words, lambda w, i: F.struct(at(upto(i + 1) - F.length(w)).alias("start"), at(upto(i + 1)).alias("end"), w.alias("word")))
 
