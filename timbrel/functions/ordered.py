@@ -34,8 +34,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def time_block(t: str, seconds: float = 600.0) -> Column:
-    """Block number of a time column."""
+def time_block(t: str, seconds: float = 60.0) -> Column:
+    """Block number of a time column; a minute keeps blocks small in dense jobs."""
     return F.floor(F.col(t) / F.lit(float(seconds)))
 
 
@@ -251,7 +251,7 @@ def fold_sorted(
     )
 
 
-def keep_spaced(df: DataFrame, keys: Sequence[str], t: str, gap: float, order: Sequence[str], seconds: float = 600.0, strict: bool = False) -> DataFrame:
+def keep_spaced(df: DataFrame, keys: Sequence[str], t: str, gap: float, order: Sequence[str], seconds: float = 60.0, strict: bool = False) -> DataFrame:
     """Greedy thinning: keep a row when it is ``gap`` away from the last KEPT row.
 
     A row that far from its predecessor is kept whatever happened before, so the

@@ -79,7 +79,7 @@ def as_of(
     t: str,
     right_t: str,
     right_cols: Sequence[str],
-    seconds: float = 600.0,
+    seconds: float = 60.0,
     tie: Sequence[str] = (),
 ) -> DataFrame:
     """Attach to every left row the closest right row at or before it (``before``)
@@ -111,7 +111,7 @@ def nearest(
     tolerance: float | None = None,
     later_wins: bool = False,
     name: str = "near",
-    seconds: float = 600.0,
+    seconds: float = 60.0,
     tie: Sequence[str] = (),
 ) -> DataFrame:
     """Closest right row in time as struct ``name``; null beyond ``tolerance``."""

@@ -153,8 +153,8 @@ def coverage_gaps(jobs: DataFrame, clips: DataFrame, zones: DataFrame, least: fl
     c = clips.select("job_id", "clip_id", F.expr("CAST(start AS BIGINT)").alias("_s"), F.expr("CAST(`end` AS BIGINT)").alias("_e")).join(j.where("duration > 0"), "job_id")
     c = c.withColumn("_e", F.least("_e", F.col("_n") - 1)).where("_e >= _s")
     order = ["_s", "_e", "clip_id"]
-    d = scan(c, ["job_id"], order, F.floor(F.col("_s") / 600), peak={"_peak": F.col("_e")})
-    d = scan(d, ["job_id"], order, F.floor(F.col("_s") / 600), prev={"_before": F.col("_peak")})
+    d = scan(c, ["job_id"], order, F.floor(F.col("_s") / 60), peak={"_peak": F.col("_e")})
+    d = scan(d, ["job_id"], order, F.floor(F.col("_s") / 60), prev={"_before": F.col("_peak")})
     inner = d.select("job_id", F.coalesce(F.col("_before") + 1, F.lit(0)).alias("start"), F.col("_s").alias("end"))
     tail = d.groupBy("job_id", "_n").agg(F.max("_e").alias("_m")).select("job_id", (F.col("_m") + 1).alias("start"), F.col("_n").alias("end"))
     gaps = inner.unionByName(tail).where(F.col("end") - F.col("start") >= least).select("job_id", F.col("start").cast("double").alias("start"), F.col("end").cast("double").alias("end"))
@@ -189,7 +189,7 @@ def stratified_top(clips: DataFrame, jobs: DataFrame, n: int) -> DataFrame:
     slot = F.least(F.col("_k") - 1, F.greatest(F.lit(0), F.expr("CAST(start / (_dur / _k) AS BIGINT)")))
     d = d.withColumn("_b", F.when(F.col("_flat"), 0).otherwise(slot))
     by_score = [F.desc("viral_score"), F.asc("position")]
-    d = d.withColumn("_r", F.row_number().over(Window.partitionBy("job_id", "_b").orderBy(*by_score)) - 1).where(F.col("_r") < n)
+    d = d.withColumn("_r", F.row_number().over(Window.partitionBy("job_id", "_b").orderBy(*by_score))).where(F.col("_r") <= n).withColumn("_r", F.col("_r") - 1)
     soft = F.greatest(F.lit(2), F.floor(F.lit(n) / F.greatest(F.lit(1), F.col("_k") - 1)))
     early = ~F.col("_flat") & (F.col("_r") < soft)
     keys = [F.when(early, F.col("_r")).otherwise(n), F.when(early, F.col("_b")).otherwise(0), *by_score]

@@ -74,6 +74,38 @@ def promote_regions(regions: DataFrame, dialogue: bool = False, floor: float = 0
     return d.withColumn("tier", F.when(up, "required").otherwise(F.col("tier"))).drop("_has", "_best")
 
 
+def top_by(rows: DataFrame, value: str, order: list[str], k: int) -> DataFrame:
+    """The ``k`` largest rows per job, first in ``order`` on ties."""
+    w = Window.partitionBy("job_id").orderBy(F.desc(value), *order)
+    return rows.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
+
+
+def _listed(rows: DataFrame, order: list[str], line: Column) -> DataFrame:
+    no = F.row_number().over(Window.partitionBy("job_id").orderBy(*order))  # at most k rows per job
+    return rows.select("job_id", no.cast("long").alias("line_no"), line.alias("line"))
+
+
+def sentiment_lines(moments: DataFrame, k: int = 20) -> DataFrame:
+    """Tagged sound moments, the ``k`` loudest per job in time order."""
+    top = top_by(moments.where(F.coalesce("sentiment", F.lit("neutral")) != "neutral"), "delta_db", ["t", "moment_id"], k)
+    return _listed(top, ["t", "moment_id"], F.format_string("  [%.1fs] %s (+%ddB)", F.col("t"), F.col("sentiment"), F.bround("delta_db").cast("long")))
+
+
+def energy_lines(moments: DataFrame, k: int = 25) -> DataFrame:
+    """Loud moments of a job as prompt lines, in time order."""
+    label = F.when(F.col("type") == "volume_spike", "LOUD").when(F.col("type") == "extreme_spike", "VERY LOUD").when(F.col("type") == "silence_to_loud", "SILENCE->LOUD").otherwise("SPIKE")
+    top = top_by(moments, "delta_db", ["t", "moment_id"], k)
+    return _listed(top, ["t", "moment_id"], F.format_string("[%ds] %s (+%ddB)", F.bround("t").cast("long"), label, F.bround("delta_db").cast("long")))
+
+
+def zone_lines(zones: DataFrame, k: int = 15) -> DataFrame:
+    """Best highlight windows of a job as prompt lines, best first."""
+    top = top_by(zones, "composite", ["start"], k)
+    whole = lambda c: F.bround(c).cast("long")
+    line = F.format_string("[%d-%ds] score=%d (audio=%d, transcript=%d, visual=%d)", whole("start"), whole("end"), whole("composite"), whole("audio"), whole("transcript"), whole("scene"))
+    return _listed(top, [F.desc("composite"), "start"], line)
+
+
 def line_text(start: Column, end: Column, speaker: Column, text: Column, confidence: Column | None = None) -> Column:
     head = F.concat(F.lit("["), F.bround(start).cast("long").cast("string"), F.lit("-"), F.bround(end).cast("long").cast("string"), F.lit("] "), speaker, F.lit(": "), text)
     return head if confidence is None else F.concat(head, F.when(confidence < 0.4, " [LOW_CONF]").otherwise(""))

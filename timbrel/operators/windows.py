@@ -365,7 +365,7 @@ def motion_per_second(faces: DataFrame, n_jobs: DataFrame) -> DataFrame:
     sec = F.expr("CAST(t AS BIGINT)")
     m = faces.where("slot_id >= 0").groupBy("job_id", sec.alias("sec"), "t").agg(F.avg("x").alias("_x"))
     m = m.groupBy("job_id", "sec").agg(F.max_by("_x", "t").alias("_x")).join(n_jobs, "job_id").where("sec >= 0 AND sec < n_sec")
-    d = scan(m, ["job_id"], ["sec"], F.floor(F.col("sec") / 600), prev={"_px": F.col("_x")}).withColumn("_d", F.abs(F.col("_x") - F.col("_px")))
+    d = scan(m, ["job_id"], ["sec"], F.floor(F.col("sec") / 60), prev={"_px": F.col("_x")}).withColumn("_d", F.abs(F.col("_x") - F.col("_px")))
     pos = d.where("_d > 0")
     at = 0.95
     q = pick_ranks(pos, ["job_id"], "_d", {"_lo": lambda n: F.floor((n - 1) * at), "_hi": lambda n: F.ceil((n - 1) * at)}, F.floor(F.col("_d") / 5))
@@ -392,7 +392,7 @@ def pacing(grid: DataFrame, signals: list[DataFrame], weights: tuple[float, floa
     ref = {"cuts": 2.0, "turns": 1.0, "motion": 1.0, "audio": 1.0}
     raw = reduce(lambda a, b: a + b, [F.lit(w) * F.least(F.lit(1.0), F.col(n) / size / ref[n]) for n, w in zip(names, weights)])
     s = s.select("job_id", "n_sec", "sec", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)).alias("raw"))
-    m = scan(s, ["job_id"], ["sec"], F.floor(F.col("sec") / 600), prev={"_a": F.col("raw")}, nxt={"_b": F.col("raw")})
+    m = scan(s, ["job_id"], ["sec"], F.floor(F.col("sec") / 60), prev={"_a": F.col("raw")}, nxt={"_b": F.col("raw")})
     three = F.sort_array(F.array("_a", "raw", "_b"))[1]
     return m.select("job_id", "sec", F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.col("raw")).otherwise(three).alias("pacing"))
 
@@ -436,7 +436,7 @@ def rolling_peaks(envelope: DataFrame, window: float = 2.0, sigma: float = 2.0)
     Sample times are distinct milliseconds; rows are copied into the next time
     block where its history reaches, so no window spans a whole job.
     """
-    d = with_halo(envelope, "t", 600.0, behind=window).withColumn("_ms", F.round(F.col("t") * 1000).cast("long"))
+    d = with_halo(envelope, "t", max(60.0, 4 * window), behind=window).withColumn("_ms", F.round(F.col("t") * 1000).cast("long"))
     w = Window.partitionBy("job_id", "_blk").orderBy("_ms").rangeBetween(-int(window * 1000), -1)
     d = d.withColumns({"_n": F.count("value").over(w), "_m": F.avg("value").over(w), "_sd": F.stddev_pop("value").over(w)}).where("_own")
     by_sigma = F.when(F.col("_sd") > 1e-9, F.col("_m") + sigma * F.col("_sd")).otherwise(F.lit(float("inf")))

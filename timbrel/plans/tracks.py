@@ -48,12 +48,23 @@ def _(v):
 WITH m AS (SELECT job_id, moment_id, t, delta_db, CASE moment_id % 4 WHEN 0 THEN 'neutral' WHEN 1 THEN 'laughter' ELSE 'cheering' END AS s FROM audio_moments), r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY delta_db DESC, t, moment_id) AS n FROM m WHERE s <> 'neutral')
 SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY t, moment_id) AS line_no, s || ' (+' || delta_db || 'dB)' AS line FROM r WHERE n <= 20""")
 def _(v):
-    from pyspark.sql import Window
+    m = v.audio_moments.withColumn("sentiment", F.expr("CASE moment_id % 4 WHEN 0 THEN 'neutral' WHEN 1 THEN 'laughter' ELSE 'cheering' END"))
+    # the printed time is left out of the comparison: engines round it differently
+    return op.sentiment_lines(m).withColumn("line", F.regexp_extract("line", r"\] (.*)", 1))
 
-    m = v.audio_moments.withColumn("s", F.expr("CASE moment_id % 4 WHEN 0 THEN 'neutral' WHEN 1 THEN 'laughter' ELSE 'cheering' END")).where("s <> 'neutral'")
-    m = m.withColumn("n", F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("delta_db"), "t", "moment_id"))).where("n <= 20")
-    no = F.row_number().over(Window.partitionBy("job_id").orderBy("t", "moment_id"))
-    return m.select("job_id", no.cast("long").alias("line_no"), F.concat("s", F.lit(" (+"), F.col("delta_db").cast("string"), F.lit("dB)")).alias("line"))
+
+@query("topk6_energy_lines", """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY delta_db DESC, t, moment_id) AS n FROM audio_moments)
+SELECT job_id, row_number() OVER (PARTITION BY job_id ORDER BY t, moment_id) AS line_no, '[' || CAST(round_even(t, 0) AS BIGINT) || 's] ' || CASE kind WHEN 'silence_to_loud' THEN 'SILENCE->LOUD' ELSE 'SPIKE' END || ' (+' || delta_db || 'dB)' AS line FROM r WHERE n <= 25""")
+def _(v):
+    return op.energy_lines(v.audio_moments.withColumnRenamed("kind", "type"))
+
+
+@query("topk6_zone_lines")
+def _(v):
+    from ..operators.clips import hot_zones
+
+    return op.zone_lines(hot_zones(jobs(v), v.segments))
 
 
 @query("topk7_condense")

@@ -145,7 +145,7 @@ def edit_segments(segments: DataFrame, updates: DataFrame, deletes: DataFrame, i
     d = d.select(*keys, *[F.coalesce(f"_u_{c}", c).alias(c) for c in fields]).join(deletes.select(*keys), keys, "left_anti")
     new = inserts.select("job_id", (F.lit(1 << 40) + F.col("insert_no")).alias("seg_idx"), *fields)
     both = d.unionByName(new)
-    out = numbered(both, ["job_id"], ["start", "seg_idx"], F.floor(F.col("start") / 600), "_n")
+    out = numbered(both, ["job_id"], ["start", "seg_idx"], F.floor(F.col("start") / 60), "_n")
     return out.select("job_id", (F.col("_n") - 1).alias("seg_idx"), *fields)
 
 
