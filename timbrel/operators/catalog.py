@@ -108,7 +108,7 @@ def job_checks(jobs: DataFrame, segments: DataFrame, scenes: DataFrame, clips: D
         F.when(has("n_clip"), _check("Clip Durations", good(~has("n_odd")))),
         F.when(has("n_clip"), _check("Clip Boundaries", good(~has("n_out"), "fail"))),
         F.when(has("n_clip"), _check("Clip Overlap", good(~has("n_overlap")))),
-        F.when(has("n_focus"), _check("ClipFocus Metadata", good(F.col("n_rated") == F.col("n_focus")))),
+        F.when(has("n_focus"), _check("Focus Metadata", good(F.col("n_rated") == F.col("n_focus")))),
         _check("Video Summary", good(F.col("has_summary") & (F.length(F.coalesce("overview", F.lit(""))) > 20) & (F.col("topics") >= 2))),
         _check("AI Providers", F.when(F.col("providers").isNull() | (F.size("providers") == 0), "info").otherwise(good(~none))),
         F.when(F.col("seconds") > 0, _check("Pipeline Duration", F.lit("pass"))),

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import cut_lineage, fold_sorted, scan, time_block
+from ..functions.ordered import cut_lineage, fold_sorted, islands, scan, time_block
 from ..functions.ranges import near_pairs, overlap_pairs, points_in
 from ..functions.text import title_words, tokens
 from .joins import snap_to_speech
@@ -36,9 +36,7 @@ def _time_clusters(clips: DataFrame, keys: list[str], slack: float) -> DataFrame
     more after everything before it ended opens a new group."""
     order = ["start", "end", "clip_id"]
     d = scan(clips, keys, order, time_block("start"), peak={"_peak": F.col("end")})
-    d = scan(d, keys, order, time_block("start"), prev={"_before": F.col("_peak")})
-    opens = F.when(F.col("_before").isNotNull() & (F.col("start") - F.col("_before") >= slack), 1).otherwise(0).cast("long")
-    return scan(d.withColumn("_open", opens), keys, order, time_block("start"), total={"_cluster": F.col("_open")}).drop("_peak", "_before", "_open")
+    return islands(d, keys, order, time_block("start"), ["start", "_peak"], lambda p, c: c["start"] - p["_peak"] >= slack, "_cluster").drop("_peak")
 
 
 def _suppress(d: DataFrame, keys: list[str], order: list[str], clash, reach: float) -> DataFrame:

@@ -134,6 +134,38 @@ def condense(turns: DataFrame, zones: DataFrame, max_chars: int = 12000, size: f
     return d.where(keep).select("job_id", "run", "bucket", F.when(cut, short).otherwise(F.col("line")).alias("line"))
 
 
+def condense_hot(segments: DataFrame, zones: DataFrame, max_chars: int = 12000, hot: float = 50.0, warm: float = 20.0) -> DataFrame:
+    """Hot-zone-first form: full lines of hot segments, shortened lines of warm ones, and one
+    line per cold stretch (ten at most), each tier within its share of the characters.
+
+    A line that does not fit is skipped and later ones may still fit, so each
+    tier is an ordered pass over lengths with the used count as state.
+    ``zones``: job_id, start, end, composite.
+    """
+    z = zones.select("job_id", F.col("composite"), F.expr("CAST(start AS BIGINT)").cast("double").alias("_from"), F.expr("CAST(`end` AS BIGINT)").cast("double").alias("_to"))
+    s = segments.select("job_id", "seg_idx", "start", "end", "speaker", "text", F.expr("CAST(start AS BIGINT)").cast("double").alias("_sec"))
+    best = points_in(s.select("job_id", "seg_idx", "_sec"), z, ["job_id"], 60.0, t="_sec", span=("_from", "_to")).groupBy("job_id", "seg_idx").agg(F.max("composite").alias("_c"))
+    tier = F.when(F.col("_c") >= hot, 0).when(F.col("_c") >= warm, 1).otherwise(2)
+    s = cut_lineage(s.join(best, ["job_id", "seg_idx"], "left").withColumn("tier", tier))
+    line = F.when(F.col("tier") == 0, line_text(F.col("start"), F.col("end"), F.col("speaker"), F.col("text"))).otherwise(line_text(F.col("start"), F.col("end"), F.col("speaker"), F.substring("text", 1, 100)))
+    lines = s.where("tier < 2").select("job_id", "tier", "seg_idx", line.alias("line"))
+    budget = (int(max_chars * 0.60), int(max_chars * 0.30))
+
+    def step(used, row):
+        size = len(row[3]) + 1
+        return (used + size, [row]) if used + size <= budget[row[1]] else (used, [])
+
+    kept = fold_sorted(lines, ["job_id", "tier"], ["seg_idx"], f"job_id {_job_type(segments)}, tier int, seg_idx bigint, line string", lambda: 0, step)
+    d = islands(s.select("job_id", "seg_idx", "start", "end", (F.col("tier") == 2).alias("_cold")), ["job_id"], ["seg_idx"], F.floor(F.col("seg_idx") / 4096), ["_cold"], lambda p, c: p["_cold"] != c["_cold"], "run")
+    runs = d.groupBy("job_id", "run", "_cold").agg(F.min_by("start", "seg_idx").alias("a"), F.min("seg_idx").alias("seg_idx"))
+    end = segments.groupBy("job_id").agg(F.max("end").alias("_all"))
+    runs = scan(runs, ["job_id"], ["run"], F.floor(F.col("run") / 4096), nxt={"_n": F.col("a")}).join(end, "job_id").where("_cold").withColumn("b", F.coalesce("_n", "_all"))
+    first = runs.withColumn("_r", F.row_number().over(Window.partitionBy("job_id").orderBy("run"))).where("_r <= 10")
+    whole = lambda c: F.bround(c).cast("long").cast("string")
+    cold = F.concat(F.lit("["), whole(F.col("a")), F.lit("-"), whole(F.col("b")), F.lit("s] (low-engagement region — "), whole(F.col("b") - F.col("a")), F.lit("s of content condensed)"))
+    return kept.unionByName(first.select("job_id", F.lit(2).alias("tier"), "seg_idx", cold.alias("line")))
+
+
 # --- sampling grids --------------------------------------------------------------------------------
 
 def sample_times(jobs: DataFrame, cuts: DataFrame, windows: DataFrame, starts: DataFrame) -> DataFrame:
@@ -231,6 +263,21 @@ def _split_ranks(n: pd.Series, cuts: pd.Series, least: pd.Series) -> pd.Series:
 
 
 def position_clusters(points: DataFrame, gap: float = 10.0, least: int = 2) -> DataFrame:
+    """Position clusters of a job; where many points sit in the centre strip and others on both
+    sides, clusters without the strip compete and the fewest clusters win, the plain ones first."""
+    base = _gap_clusters(points, gap, least).withColumn("_v", F.lit(0))
+    parts = [base]
+    for v, (low, high, floor) in enumerate(((47, 53, 0.10), (44, 56, 0.15)), 1):
+        off = (F.col("x") < low) | (F.col("x") > high)
+        ok = points.groupBy("job_id").agg(F.count("*").alias("_n"), F.count_if(off).alias("_o"), F.bool_or(F.col("x") < low).alias("_l"), F.bool_or(F.col("x") > high).alias("_h"))
+        ok = ok.where((F.col("_n") >= 4) & (F.col("_n") - F.col("_o") > F.col("_n") * floor) & (F.col("_o") >= 2 * least) & F.col("_l") & F.col("_h")).select("job_id")
+        parts.append(_gap_clusters(points.where(off).join(ok, "job_id", "left_semi"), gap, least, 1).withColumn("_v", F.lit(v)))
+    every = cut_lineage(reduce(lambda a, b: a.unionByName(b), parts))
+    size = every.groupBy("job_id", "_v").agg(F.count("*").alias("_k")).groupBy("job_id").agg(F.min_by("_v", F.struct("_k", "_v")).alias("_v"))
+    return every.join(size, ["job_id", "_v"]).drop("_v")
+
+
+def _gap_clusters(points: DataFrame, gap: float, least: int, fewest: int = 4) -> DataFrame:
     """Clusters of subject positions by recursive splits at the largest gap.
 
     Only gaps of at least ``gap`` can split, so a job of positions in percent
@@ -243,7 +290,7 @@ def position_clusters(points: DataFrame, gap: float = 10.0, least: int = 2) -> D
     d = scan(d, ["job_id"], order, F.floor(F.col("x") / 2), prev={"_px": F.col("x")})
     wide = d.where(F.col("x") - F.col("_px") >= gap)
     cuts = wide.groupBy("job_id").agg(F.sort_array(F.collect_list(F.struct((F.col("_rn") - 1).alias("at"), (F.col("x") - F.col("_px")).alias("gap")))).alias("_cuts"))
-    job = d.groupBy("job_id").agg(F.count("*").alias("_n")).where("_n >= 4").join(cuts, "job_id")
+    job = d.groupBy("job_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= fewest).join(cuts, "job_id")
     job = cut_lineage(job.select("job_id", "_n", _split_ranks("_n", "_cuts", F.lit(least)).alias("_at"))).where(F.size("_at") > 0)
     d = d.select("job_id", "x", "_rn").join(job, "job_id").withColumn("_c", F.size(F.filter("_at", lambda a: a < F.col("_rn"))))
     lo = F.when(F.col("_c") == 0, 0).otherwise(F.get("_at", (F.col("_c") - 1).cast("int")))
@@ -341,7 +388,14 @@ def slot_registry(faces: DataFrame, least: int = 3, gap: float = 15.0) -> DataFr
     crowd = crowd.join(mid, "job_id", "left").select("job_id", "_most", F.when(((F.col("_most") >= 3) | (F.col("_share") > 0.05)) & F.col("_mid").isNotNull(), small).otherwise(gap).alias("_gap"))
     d = d.join(crowd, "job_id").withColumn("_outer", (F.col("_most") >= 3) | ~F.col("x").between(40, 60))
     has = d.groupBy("job_id").agg(F.bool_or("_outer").alias("_any"))
-    d = d.join(has, "job_id").withColumn("_outer", F.col("_outer") | ~F.col("_any"))
+    # a job with only central faces splits at its largest gap when both sides are seen often enough
+    lone = d.join(has.where("NOT _any"), "job_id").select("job_id", "t", "x", "face_key")
+    step = scan(lone, ["job_id"], ["x", "face_key"], block, prev={"_px": F.col("x")}).withColumn("_g", F.col("x") - F.col("_px"))
+    wide = step.groupBy("job_id").agg(F.count("*").alias("_k"), F.max_by(F.struct("_px", "x", "_g"), F.struct("_g", -F.col("x"))).alias("_m")).where((F.col("_k") >= 6) & (F.col("_m._g") >= 8))
+    sides = lone.join(wide, "job_id").groupBy("job_id").agg(F.countDistinct(F.when(F.col("x") <= F.col("_m._px"), F.col("t"))).alias("_a"), F.countDistinct(F.when(F.col("x") >= F.col("_m.x"), F.col("t"))).alias("_b"), F.max("_m._g").alias("_split"))
+    sides = sides.where((F.col("_a") >= least) & (F.col("_b") >= least)).select("job_id", (F.col("_split") * 0.8).alias("_split"))
+    d = d.join(has, "job_id").join(sides, "job_id", "left").withColumns({"_outer": F.col("_outer") | ~F.col("_any"), "_gap": F.coalesce("_split", "_gap")}).drop("_split")
+    d = cut_lineage(d)
     outer = islands(d.where("_outer"), ["job_id"], ["x", "face_key"], block, ["x", "_gap"], lambda p, c: c["x"] - p["x"] > c["_gap"], "cluster")
     means = outer.groupBy("job_id", "cluster").agg(F.avg("x").alias("x_center"))
     inner = nearest_slot(d.where("NOT _outer"), means.withColumnRenamed("cluster", "slot_id")).withColumnRenamed("near_slot", "cluster")
@@ -360,10 +414,47 @@ def slot_registry(faces: DataFrame, least: int = 3, gap: float = 15.0) -> DataFr
     s = size.join(med, keys).join(ends, keys)
     r1 = lambda c: F.bround(c, 1)
     s = s.select("job_id", "cluster", r1((F.col("_lo") + F.col("_hi")) / 2).alias("x_center"), r1(F.col("x_min")).alias("x_min"), r1(F.col("x_max")).alias("x_max"), "frame_count", r1(F.col("avg_width")).alias("avg_width"), r1(F.col("avg_height")).alias("avg_height"))
+    s = cut_lineage(s)
+    peaks = _peak_slots(d, s, least)
+    s = s.join(peaks.select("job_id").distinct(), "job_id", "left_anti").unionByName(peaks)
     number = F.row_number().over(Window.partitionBy("job_id").orderBy("x_center", "cluster")) - 1  # one row per slot
     return s.withColumn("slot_id", number.cast("long")).drop("cluster")
 
 
+def _peak_slots(faces: DataFrame, slots: DataFrame, least: int) -> DataFrame:
+    """Slots from histogram peaks (5 percent bins) for jobs that gap clustering left with one
+    slot although many faces spread over a quarter of the frame."""
+    n = slots.groupBy("job_id").agg(F.count("*").alias("_slots"))
+    job = faces.groupBy("job_id").agg(F.count("*").alias("_n"), (F.max("x") - F.min("x")).alias("_range"), F.max("_most").alias("_top")).join(n, "job_id", "left")
+    job = job.where((F.coalesce("_slots", F.lit(0)) <= 1) & (F.col("_n") >= 30) & (F.col("_top") >= 2) & (F.col("_range") > 25)).select("job_id", "_n")
+    bins = faces.select("job_id", "t", "face_key", "x", "w", "h", F.least(F.lit(19), F.greatest(F.lit(0), F.floor(F.col("x") / 5))).cast("long").alias("_bin")).join(job, "job_id")
+    count = bins.groupBy("job_id", "_n", "_bin").agg(F.count("*").alias("_k"))
+    w = Window.partitionBy("job_id").orderBy("_bin").rangeBetween(-1, 1)  # twenty bins
+    top = count.withColumn("_around", F.max("_k").over(w)).where((F.col("_k") == F.col("_around")) & (F.col("_k") >= F.greatest(F.lit(5.0), F.col("_n") * 0.02))).select("job_id", F.col("_bin").alias("cluster"))
+    near = top.select("job_id", "cluster", F.explode(F.array(F.col("cluster") - 1, F.col("cluster"), F.col("cluster") + 1)).alias("_bin"))
+    m = cut_lineage(bins.join(near, ["job_id", "_bin"]).select("job_id", "cluster", "t", "x", "w", "h"))
+    keys = ["job_id", "cluster"]
+    mid = pick_ranks(m, keys, "x", {"_m": lambda k: F.floor(k / 2)}, F.floor(F.col("x") / 2)).drop("n")
+    g = m.groupBy(*keys).agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.countDistinct("t").alias("frame_count"), F.avg("w").alias("avg_width"), F.avg("h").alias("avg_height"))
+    g = g.where(F.col("frame_count") >= least).join(mid, keys)
+    kept = keep_spaced_abs(g.select("job_id", "cluster", "_m"), 10.0)
+    g = g.join(kept, keys, "left_semi")
+    many = g.groupBy("job_id").agg(F.count("*").alias("_k")).where("_k >= 2").select("job_id")
+    r1 = lambda c: F.bround(c, 1).alias(c)
+    return g.join(many, "job_id", "left_semi").select("job_id", "cluster", F.bround("_m", 1).alias("x_center"), r1("x_min"), r1("x_max"), "frame_count", r1("avg_width"), r1("avg_height"))
+
+
+def keep_spaced_abs(peaks: DataFrame, gap: float) -> DataFrame:
+    """Peaks in bin order that lie ``gap`` away from every kept one; a job has at most twenty."""
+
+    def step(kept, row):
+        if any(abs(row[2] - k) < gap for k in kept):
+            return kept, []
+        return kept + [row[2]], [(row[0], row[1])]
+
+    return fold_sorted(peaks, ["job_id"], ["cluster"], f"job_id {_job_type(peaks)}, cluster bigint", list, step)
+
+
 def linked_components(edges: DataFrame, keys: list[str]) -> DataFrame:
     """Smallest node of the component of every node in an edge list (keys, a, b).
 

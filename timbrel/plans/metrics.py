@@ -35,7 +35,7 @@ UNION ALL SELECT job_id, 'Clip Detection', CASE WHEN n_clip > 0 THEN 'pass' WHEN
 UNION ALL SELECT job_id, 'Clip Durations', CASE WHEN n_odd = 0 THEN 'pass' ELSE 'warn' END FROM d WHERE n_clip > 0
 UNION ALL SELECT job_id, 'Clip Boundaries', CASE WHEN n_out = 0 THEN 'pass' ELSE 'fail' END FROM d WHERE n_clip > 0
 UNION ALL SELECT job_id, 'Clip Overlap', CASE WHEN n_overlap = 0 THEN 'pass' ELSE 'warn' END FROM d WHERE n_clip > 0
-UNION ALL SELECT job_id, 'ClipFocus Metadata', CASE WHEN n_rated = n_focus THEN 'pass' ELSE 'warn' END FROM d WHERE n_focus > 0
+UNION ALL SELECT job_id, 'Focus Metadata', CASE WHEN n_rated = n_focus THEN 'pass' ELSE 'warn' END FROM d WHERE n_focus > 0
 UNION ALL SELECT job_id, 'Video Summary', CASE WHEN has_summary AND length(overview) > 20 AND topics >= 2 THEN 'pass' ELSE 'warn' END FROM d
 UNION ALL SELECT job_id, 'AI Providers', CASE WHEN provider IS NULL THEN 'info' WHEN provider = 'none' THEN 'warn' ELSE 'pass' END FROM d
 UNION ALL SELECT job_id, 'Pipeline Duration', 'pass' FROM d WHERE seconds > 0)"""

@@ -73,6 +73,12 @@ def _(v):
     return op.condense(merged_turns(v.segments), z, 1500).select("job_id", "run", "bucket", "line")
 
 
+@query("topk7_condense_hot")
+def _(v):
+    z = jobs(v).select("job_id", F.explode(F.array(*[F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"), F.lit(c).alias("composite")) for a, b, c in ((0.0, 40.0, 10.0), (30.0, 90.0, 60.0), (80.0, 150.0, 30.0))])).alias("z")).select("job_id", "z.*")
+    return op.condense_hot(v.segments, z, 4000)
+
+
 @query("topk8_promote_regions", """
 WITH r AS (SELECT job_id, CAST(t AS BIGINT) AS frame, face_key, confidence, CASE WHEN slot_id = 7 AND job_id % 2 = 0 THEN 'required' WHEN slot_id <= 3 THEN 'preferred' ELSE 'optional' END AS tier FROM faces WHERE face_key % 3 = 0),
 b AS (SELECT job_id, frame, bool_or(tier = 'required') AS h, first(face_key ORDER BY confidence DESC, face_key) FILTER (tier = 'preferred' AND confidence >= 0.6) AS best FROM r GROUP BY 1, 2)
