@@ -351,3 +351,95 @@ def test_key_scenes(spark):
     assert [x[1] for x in got[1]] == [float(t) for t in range(2, 50, 4)]
     assert [x[1] for x in got[2]] == [10.0, 20.0, 30.0, 40.0] and got[2][0][2] == "Key moment 1: line 0 line 1"
     assert [x[1] for x in got[3]] == [10.0 * i for i in range(1, 13)] and got[3][0][2] == "Key moment 1 at 10.0s"
+
+
+def test_slot_registry(spark):
+    rows = []
+    for i in range(30):
+        rows += [(1, float(i), 10 * i, 20.0 + i % 3, 8.0, 9.0), (1, float(i), 10 * i + 1, 78.0 + i % 2, 6.0, 7.0)]
+    rows += [(1, 40.0, 900, 2.0, 5.0, 5.0)]                                   # outlier, trimmed
+    rows += [(2, float(i), i, 44.0 if i % 2 else 56.0, 8.0, 8.0) for i in range(12)]  # central faces, two seats
+    rows += [(3, float(i), i, 50.0, 8.0, 8.0) for i in range(2)]                # too few frames
+    d = spark.createDataFrame(rows, "job_id long, t double, face_key long, x double, w double, h double")
+    got = {(r.job_id, r.slot_id): (r.x_center, r.frame_count) for r in tr.slot_registry(d).collect()}
+    assert got == {(1, 0): (21.0, 30), (1, 1): (78.5, 30), (2, 0): (44.0, 6), (2, 1): (56.0, 6)}
+
+
+def test_merge_twin_slots(spark):
+    faces = [(1, s, 100 * s + i, e) for s, e in ((0, [1.0, 0.0]), (1, [0.9, 0.1]), (2, [0.0, 1.0])) for i in range(3)]
+    slots = [(1, 0, 20.0, 18.0, 22.0, 10, 8.0, 9.0), (1, 1, 26.0, 24.0, 28.0, 30, 6.0, 7.0), (1, 2, 28.0, 27.0, 29.0, 5, 5.0, 5.0)]
+    f = spark.createDataFrame(faces, "job_id long, slot_id long, face_id long, embedding array<double>")
+    s = spark.createDataFrame(slots, "job_id long, slot_id long, x_center double, x_min double, x_max double, frame_count long, avg_width double, avg_height double")
+    got = [(r.slot_id, r.x_center, r.x_min, r.x_max, r.frame_count) for r in tr.merge_twin_slots(s, f).orderBy("slot_id").collect()]
+    assert got == [(0, 24.5, 18.0, 28.0, 40), (1, 28.0, 27.0, 29.0, 5)]
+
+
+def test_persistent_ids(spark):
+    rnd = random.Random(8)
+    base = [[rnd.random() ** 3 for _ in range(8)] for _ in range(3)]
+    rows = [(j, i, [max(0.0, x + rnd.uniform(-0.05, 0.05)) for x in base[i % 3]]) for j in range(2) for i in range(12)]
+    from timbrel.operators.profiles import persistent_ids
+
+    got = {(r.job_id, r.track_id): r.persistent_id for r in persistent_ids(spark.createDataFrame(rows, "job_id long, track_id long, signature array<double>")).collect()}
+    for job, ts_ in groups(rows).items():
+        ids, seen = {}, []
+        for _, i, sig in ts_:
+            best = None
+            for k, other in seen:
+                bc = sum((a * b) ** 0.5 for a, b in zip(sig, other)) / (sum(sig) * sum(other)) ** 0.5
+                d = max(0.0, 1 - bc) ** 0.5
+                if d < 0.35 and (best is None or d < best[0] - 1e-12):
+                    best = (d, k)
+            ids[i] = ids[best[1]] if best else len(set(ids.values()))
+            seen.append((i, sig))
+            assert got[(job, i)] == ids[i]
+
+
+def test_interval_slot_priorities(spark):
+    iv = spark.createDataFrame([(1, i, 10.0 * i, 10.0 * i + 10) for i in range(5)], "job_id long, iv long, start double, end double")
+    segs = spark.createDataFrame([(1, 0, 0.0, 7.0, "A", 0.9), (1, 1, 10.0, 20.0, "A", 0.3)], "job_id long, seg_idx long, start double, end double, speaker string, confidence double")
+    mapping = spark.createDataFrame([(1, "A", 0)], "job_id long, speaker string, slot_id long")
+    ev = spark.createDataFrame([(1, 0, 10.0, 16.0, 1)], "job_id long, event_id long, start double, end double, slot_id long")
+    faces = [(1, 20.0 + i, 2, 30.0) for i in range(10)] + [(1, 30.0 + i, s, 0.0) for i in range(10) for s in (0, 1)]
+    f = spark.createDataFrame(faces, "job_id long, t double, slot_id long, x double")
+    slots = spark.createDataFrame([(1, 0, 20.0), (1, 1, 30.0), (1, 2, 80.0)], "job_id long, slot_id long, x_center double")
+    got = {r.iv: (r.slot, round(r.confidence, 2), r.layout, r.source) for r in tr.interval_slot(iv, segs, mapping, ev, f, slots, "iv", 31.6).collect()}
+    assert got[0] == (0, 0.7, "single", "active_speaker_slot") and got[1] == (1, 0.6, "single", "active_speaker_slot")
+    assert got[2] == (2, 0.7, "single", "dense_face_dominant") and got[3] == (0, 0.75, "single", "dense_face_dominant")
+    assert got[4] == (None, 0.3, "wide_master", "hardcoded_center")
+
+
+def test_lip_scores(spark):
+    segs = spark.createDataFrame([(1, 0, 1.0, 3.0)], "job_id long, seg_idx long, start double, end double")
+    faces = [(1, round(0.5 + i * 0.1, 1), i, 1, 8.0, 0.06 if i % 2 else 0.0) for i in range(30)] + [(1, round(0.5 + i * 0.1, 1), 100 + i, 2, 8.0, 0.0) for i in range(30)]
+    f = spark.createDataFrame(faces, "job_id long, t double, face_key long, slot_id long, w double, lip double")
+    words = spark.createDataFrame([(1, 0, 0, 1.0, 1.4), (1, 0, 1, 2.0, 2.4)], "job_id long, seg_idx long, word_idx long, start double, end double")
+    got = {r.slot_id: r.score for r in sp.lip_scores(segs, f, words).collect()}
+    assert got[2] == 0.0 and 0.7 < got[1] < 1.3
+
+
+def test_fingerprint_clusters(spark):
+    rows = [(1, 0, [1.0, 0.0]), (1, 1, [0.9, 0.1]), (1, 2, [0.0, 1.0]), (1, 3, [0.85, 0.15]), (2, 0, [0.0, 1.0])]
+    got = {(r.job_id, r.print_id): r.cluster for r in tr.fingerprint_clusters(spark.createDataFrame(rows, "job_id long, print_id long, histogram array<double>")).collect()}
+    assert got == {(1, 0): 0, (1, 1): 0, (1, 2): 1, (1, 3): 0, (2, 0): 0}
+
+
+def test_text_summary(spark):
+    from timbrel.operators.profiles import text_summary
+
+    segs = spark.createDataFrame([(1, 0, 0.0, 60.0, "A", "word " * 90), (1, 1, 60.0, 150.0, "B", "x" * 700), (1, 2, 150.0, 200.0, "C", "never reached")], "job_id long, seg_idx long, start double, end double, speaker string, text string")
+    scenes = spark.createDataFrame([(1, 0, 1.0, 9, "A red car chase. More."), (1, 1, 2.0, 8, "a red car chase again"), (1, 2, 3.0, 2, "Frame at 3"), (1, 3, 4.0, 1, "Quiet ending here")], "job_id long, scene_id long, t double, importance int, description string")
+    r = text_summary(segs, scenes).collect()[0]
+    assert (r.speakers, r.minutes, r.tone) == (2, 3, "conversational") and r.topics == ["A red car chase", "Quiet ending here"] and r.opening.endswith("...")
+
+
+def test_condense_budget(spark):
+    turns = spark.createDataFrame([(1, i, i * 30.0, i * 30.0 + 20, "A", "t" * 60, 0.9 if i else 0.1) for i in range(8)] + [(2, 0, 0.0, 1.0, "B", "short", 0.9)], "job_id long, run long, start double, end double, speaker string, text string, confidence double")
+    zones = spark.createDataFrame([(1, 60.0, 90.0)], "job_id long, start double, end double")
+    got = groups([(r.job_id, r.bucket, r.line) for r in tr.condense(turns, zones, 300).orderBy("job_id", "run").collect()])
+    assert got[2] == [(2, 0, "[0-1] B: short")]
+    assert [(b, len(x)) for _, b, x in got[1]] == [(0, 63), (1, 71), (2, 63), (3, 63)]
+    hot = spark.createDataFrame([(1, 0.0, 29.0, 60.0), (1, 30.0, 59.0, 30.0)], "job_id long, start double, end double, composite double")
+    segs = turns.select("job_id", F.col("run").alias("seg_idx"), "start", "end", "speaker", "text")
+    lines = groups([(r.job_id, r.tier, r.line) for r in tr.condense_hot(segs, hot, 1000).orderBy("job_id", "tier", "seg_idx").collect()])
+    assert [x[1] for x in lines[1]] == [0, 1, 2] and lines[1][2][2] == "[60-230s] (low-engagement region — 170s of content condensed)"

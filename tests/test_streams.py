@@ -103,3 +103,12 @@ def test_live_zones_drop_late_rows(spark, tmp_path):
 def test_latest_status(spark):
     d = spark.createDataFrame([(1, 10, 1, "run", 5.0, "a"), (1, 20, 2, "done", 100.0, "b"), (2, 5, 3, "run", 1.0, "c")], "job_id long, s long, update_id long, status string, progress double, message string").withColumn("ts", F.timestamp_seconds("s"))
     assert {r.job_id: r.status for r in st.latest_status(d).collect()} == {1: "done", 2: "run"}
+
+
+def test_upsert_stream(spark, tmp_path):
+    rows = [(f"j{i % 5}", i, f"s{i}", i // 5) for i in range(20)] + [("j1", 2, "late", 3)]
+    d = spark.createDataFrame(rows, "job_id string, version int, status string, part int")
+    table = str(tmp_path / "table")
+    st.upsert_stream(replay(spark, tmp_path, d, "changes"), table, "job_id", "version", 4).awaitTermination()
+    got = sorted((r.job_id, r.version, r.status) for r in spark.read.parquet(table).collect())
+    assert got == [(f"j{i}", 15 + i, f"s{15 + i}") for i in range(5)]

@@ -107,7 +107,7 @@ ha AS (SELECT job_id, win, CAST(least(100, sum(p) + CASE WHEN count(*) / greates
 hz AS (SELECT gr.job_id, gr.win, ws AS start, we AS "end", coalesce(transcript, 0.0) AS transcript, coalesce(speaker, 0.0) AS speaker FROM gr LEFT JOIN ha USING (job_id, win))"""
 
 
-@query("score1_transcript_hot_zones", f"WITH {ZONES} SELECT job_id, win, start, \"end\", transcript, speaker, round(transcript * 0.65 + speaker * 0.35, 1) AS composite FROM hz")
+@query("score1_transcript_hot_zones", f"WITH {ZONES} SELECT job_id, win, start, \"end\", transcript, speaker, round(transcript * 0.65 + speaker * 0.35, 1) AS composite FROM hz", doubles=("start",))
 def _(v):
     return op.hot_zones(jobs(v), v.segments).select("job_id", "win", "start", "end", "transcript", "speaker", "composite")
 
@@ -190,7 +190,7 @@ fa AS (SELECT c.clip_id, CASE WHEN oh.w IS NULL THEN 0.3 ELSE least(1.0, 0.5 + C
     curious=" OR ".join(f"contains(lower(text), '{w}')" for w in op.CURIOUS), bright=" OR ".join(f"contains(lower(text), '{w}')" for w in op.BRIGHT), dark=" OR ".join(f"contains(lower(text), '{w}')" for w in op.DARK))
 
 
-@query("score5_retention", f"WITH {RETAIN} SELECT clip_id, round(hook, 6) AS hook, pacing, round(visual, 6) AS visual, arc, round(standalone, 6) AS standalone FROM fa")
+@query("score5_retention", f"WITH {RETAIN} SELECT clip_id, round(hook, 6) AS hook, pacing, round(visual, 6) AS visual, arc, round(standalone, 6) AS standalone FROM fa", doubles=("hook", "pacing", "visual", "arc", "standalone"))
 def _(v):
     d = op.retention(v.clips, v.segments, v.scenes)
     return d.select("clip_id", F.round("hook", 6).alias("hook"), "pacing", F.round("visual", 6).alias("visual"), "arc", F.round("standalone", 6).alias("standalone"))

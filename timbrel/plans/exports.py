@@ -95,7 +95,7 @@ def _(v):
 @query("src14_plan_events", """
 WITH d AS (SELECT job_id, seg_idx, CAST(round_even(start * 5, 0) AS BIGINT) AS f, CAST(round_even("end" * 5, 0) AS BIGINT) AS l, confidence FROM segments),
 e AS (SELECT *, unnest(range(f, l)) AS frame FROM d WHERE l > f)
-SELECT job_id, seg_idx, frame, frame / 5.0 AS t, frame = f AS scene_change, confidence / 2 + 0.28125 AS crop_cx, 0.5 AS crop_cy, 0.5625 AS crop_w, 1.0 AS crop_h FROM e""")
+SELECT job_id, seg_idx, frame, frame / 5.0 AS t, frame = f AS scene_change, confidence / 2 + 0.28125 AS crop_cx, 0.5 AS crop_cy, 0.5625 AS crop_w, 1.0 AS crop_h FROM e""", doubles=("crop_cy", "crop_w", "crop_h"))
 def _(v):
     none = F.lit(None).cast("double")
     ops = v.segments.withColumns({"x": F.col("confidence") / 2, "y": none, "w": none, "h": none})
@@ -106,7 +106,7 @@ def _(v):
 WITH d AS (SELECT seg_key, CAST(round_even(start * 2, 0) AS BIGINT) AS f, CAST(round_even("end" * 2, 0) AS BIGINT) AS l, subject_x FROM crop_segments),
 e AS (SELECT *, unnest(range(f, l)) AS frame FROM d WHERE l > f)
 SELECT seg_key, frame, frame / 2.0 AS t, frame = f AS scene_change, CASE WHEN subject_x = 0 THEN 0.5 ELSE subject_x / 1920 END AS crop_cx, 0.5 AS crop_cy,
-  0.31640625 AS crop_w, 1.0 AS crop_h FROM e""")
+  0.31640625 AS crop_w, 1.0 AS crop_h FROM e""", doubles=("crop_cy", "crop_w", "crop_h"))
 def _(v):
     return sinks.segment_events(v.crop_segments.withColumn("subject_y", F.lit(None).cast("double")), 2.0, ["seg_key"], 1920, 1080)
 

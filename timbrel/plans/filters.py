@@ -83,7 +83,7 @@ def _(v):
 
 @query("flt10_job_summary", f"""
 SELECT job_id, filename, duration, status, 50.0 AS progress, progress_message, {JOBS_TS} AS created_at, clips_count,
-       provider AS provider_used, file_size_mb, cost AS estimated_cost_usd, owner_user_id FROM jobs""")
+       provider AS provider_used, file_size_mb, cost AS estimated_cost_usd, owner_user_id FROM jobs""", doubles=("progress",))
 def _(v):
     return op.job_summary(catalog(v).withColumns({
         "progress": F.lit(50.0), "provider_used": F.col("provider"), "estimated_cost_usd": F.col("cost")}))

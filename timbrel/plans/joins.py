@@ -445,7 +445,7 @@ def _(v):
 
 @query("join36_reaction_beats", """
 WITH h AS (SELECT m.moment_id, arg_min(struct_pack(k := c.seg_key, a := c.active_slot), struct_pack(s := c.start, k := c.seg_key)) AS r FROM audio_moments m JOIN crop_segments c ON c.job_id = m.job_id AND m.t >= c.start AND m.t < c."end" WHERE m.kind IN ('spike', 'silence_to_loud') GROUP BY 1)
-SELECT moment_id, r.k AS seg_key, CASE WHEN r.a = 1 THEN 2 ELSE 1 END AS reactor, 0.8 AS seconds FROM h WHERE r.a IS NOT NULL""")
+SELECT moment_id, r.k AS seg_key, CASE WHEN r.a = 1 THEN 2 ELSE 1 END AS reactor, 0.8 AS seconds FROM h WHERE r.a IS NOT NULL""", doubles=("seconds",))
 def _(v):
     return op.reaction_beats(v.crop_segments, v.audio_moments, slots(v), "seg_key", ("spike", "silence_to_loud")).select("moment_id", "seg_key", "reactor", "seconds")
 

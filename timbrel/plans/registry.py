@@ -44,13 +44,21 @@ def with_views(sql: str) -> str:
     return ("WITH " + ",\n".join(ctes) + "\n" if ctes else "") + body
 
 
-def query(name: str, sql: str | None = None):
-    """Register a query; ``sql`` is the DuckDB check over the same tables."""
+def query(name: str, sql: str | None = None, doubles: tuple[str, ...] = ()):
+    """Register a query; ``sql`` is the DuckDB check over the same tables.
+
+    ``doubles`` names check columns that DuckDB types as decimals because of
+    decimal literals; they are compared as doubles.
+    """
 
     def wrap(fn: Callable[[Inputs], DataFrame]):
         QUERIES[name] = lambda spark, sf_dir: fn(Inputs(spark, sf_dir))
         if sql is not None:
-            ORACLES[name] = with_views(sql)
+            check = with_views(sql)
+            if doubles:
+                casts = ", ".join(f'CAST("{c}" AS DOUBLE) AS "{c}"' for c in doubles)
+                check = f"SELECT * REPLACE ({casts}) FROM ({check})"
+            ORACLES[name] = check
         return fn
 
     return wrap

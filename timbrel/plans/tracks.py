@@ -98,7 +98,7 @@ def _(v):
 
 @query("set11_voiced_intervals", """
 WITH f AS (SELECT DISTINCT job_id, CAST(floor(t * 20) AS BIGINT) AS f FROM readings), g AS (SELECT *, (f - lag(f) OVER (PARTITION BY job_id ORDER BY f) - 1) * 0.05 AS gap FROM f),
-r AS (SELECT *, sum(CASE WHEN gap >= 0.6 - 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY f) AS run FROM g) SELECT job_id, round(min(f) * 0.05, 4) AS start, round((max(f) + 1) * 0.05, 4) AS "end" FROM r GROUP BY job_id, run""")
+r AS (SELECT *, sum(CASE WHEN gap >= 0.6 - 1e-9 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY f) AS run FROM g) SELECT job_id, round(min(f) * 0.05, 4) AS start, round((max(f) + 1) * 0.05, 4) AS "end" FROM r GROUP BY job_id, run""", doubles=("start", "end"))
 def _(v):
     f = v.readings.select("job_id", F.floor(F.col("t") * 20).alias("frame"), F.lit(True).alias("voiced")).distinct()
     return op.voiced_intervals(f, 0.05, 0.6).select("job_id", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"))
@@ -106,7 +106,7 @@ def _(v):
 
 @query("set12_analysis_windows", """
 WITH j AS (SELECT job_no AS job_id, 60.0 + job_no * 97 % 20000 AS d FROM jobs), w AS (SELECT *, unnest(range(CAST(ceil(d / 480) AS BIGINT))) AS win FROM j), n AS (SELECT *, count(*) OVER (PARTITION BY job_id) AS n, CASE WHEN d <= 7200 THEN 8 WHEN d <= 14400 THEN 10 ELSE 12 END AS cap FROM w),
-s AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY win) AS r FROM n WHERE n <= cap OR win % greatest(1, n // cap) = 0 OR win = n - 1) SELECT job_id, win, win * 480.0 AS start, least(win * 480.0 + 600, d) AS "end" FROM s WHERE n <= cap OR r <= cap""")
+s AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY win) AS r FROM n WHERE n <= cap OR win % greatest(1, n // cap) = 0 OR win = n - 1) SELECT job_id, win, win * 480.0 AS start, least(win * 480.0 + 600, d) AS "end" FROM s WHERE n <= cap OR r <= cap""", doubles=("start", "end"))
 def _(v):
     j = v.jobs.select(F.col("job_no").alias("job_id"), (60.0 + F.col("job_no") * 97 % 20000).alias("duration"))
     return op.analysis_windows(j, sequential=True)
@@ -217,7 +217,7 @@ def clip_raw(v):
 
 @query("fn14_clip_answers", """
 SELECT o_orderkey AS answer_id, i AS pos, CAST(o_orderkey % 200 AS DOUBLE) AS start, 5.0 + 20 * i AS duration, CASE WHEN o_orderkey % 2 = 0 THEN 88 WHEN least(100, o_orderkey % 130) > 0 THEN least(100, o_orderkey % 130) ELSE 50 END AS viral_score,
- CASE WHEN o_orderkey % 130 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 88 ELSE 50 END ELSE least(100, o_orderkey % 130) END AS hook_score FROM orders, range(3) AS r(i) WHERE i >= 1 AND NOT (o_orderkey % 3 = 0 AND i = 2)""")
+ CASE WHEN o_orderkey % 130 = 0 THEN CASE WHEN o_orderkey % 2 = 0 THEN 88 ELSE 50 END ELSE least(100, o_orderkey % 130) END AS hook_score FROM orders, range(3) AS r(i) WHERE i >= 1 AND NOT (o_orderkey % 3 = 0 AND i = 2)""", doubles=("duration",))
 def _(v):
     return op.clip_answers(clip_raw(v)).select("answer_id", F.col("pos").cast("long").alias("pos"), "start", "duration", "viral_score", "hook_score")
 

@@ -156,3 +156,24 @@ def overwrite_partitions(df: DataFrame, path: str, by: str) -> None:
 
 def union_all(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)
+
+
+def upsert_partitions(changes: DataFrame, path: str, key: str, version: str, buckets: int = 64) -> None:
+    """Merge changed rows into a table partitioned by key hash; only touched partitions are rewritten.
+
+    The list of touched partitions is at most ``buckets`` numbers.
+    """
+    spark = changes.sparkSession
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    new = changes.withColumn("bucket", bucket)
+    touched = [r.bucket for r in new.select("bucket").distinct().collect()]
+    if not touched:
+        return
+    try:
+        base = spark.read.schema(new.schema).parquet(path).where(F.col("bucket").isin(touched))
+    except Exception as e:  # the analysis error of a table that does not exist yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        base = new.limit(0)
+    merged = latest_versions(base.select(new.columns), new, key, version)
+    overwrite_partitions(merged, path, "bucket")
