@@ -365,6 +365,7 @@ def motion_per_second(faces: DataFrame, n_jobs: DataFrame) -> DataFrame:
     sec = F.expr("CAST(t AS BIGINT)")
     m = faces.where("slot_id >= 0").groupBy("job_id", sec.alias("sec"), "t").agg(F.avg("x").alias("_x"))
     m = m.groupBy("job_id", "sec").agg(F.max_by("_x", "t").alias("_x")).join(n_jobs, "job_id").where("sec >= 0 AND sec < n_sec")
+    m = cut_lineage(m)
     d = scan(m, ["job_id"], ["sec"], F.floor(F.col("sec") / 60), prev={"_px": F.col("_x")}).withColumn("_d", F.abs(F.col("_x") - F.col("_px")))
     pos = d.where("_d > 0")
     at = 0.95
@@ -391,7 +392,7 @@ def pacing(grid: DataFrame, signals: list[DataFrame], weights: tuple[float, floa
     size = F.least(F.col("n_sec"), F.col("sec") + reach + 1) - F.greatest(F.lit(0), F.col("sec") - reach)
     ref = {"cuts": 2.0, "turns": 1.0, "motion": 1.0, "audio": 1.0}
     raw = reduce(lambda a, b: a + b, [F.lit(w) * F.least(F.lit(1.0), F.col(n) / size / ref[n]) for n, w in zip(names, weights)])
-    s = s.select("job_id", "n_sec", "sec", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)).alias("raw"))
+    s = cut_lineage(s.select("job_id", "n_sec", "sec", F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)).alias("raw")))
     m = scan(s, ["job_id"], ["sec"], F.floor(F.col("sec") / 60), prev={"_a": F.col("raw")}, nxt={"_b": F.col("raw")})
     three = F.sort_array(F.array("_a", "raw", "_b"))[1]
     return m.select("job_id", "sec", F.when(F.col("_a").isNull() | F.col("_b").isNull(), F.col("raw")).otherwise(three).alias("pacing"))
