@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_output, decontaminate, language, near_dedup, packing
+from . import arrow_output, decontaminate, language, near_dedup, packing, personal
 from .common import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": lambda spark, d: packing.pack(tables(spark, d, "documents")),
     "op3_arrow_token_files": lambda spark, d: arrow_output.token_files(tables(spark, d, "documents")),
+    "op4_personal_data": lambda spark, d: personal.report(tables(spark, d, "documents")),
     "op6_language_id": lambda spark, d: language.predictions(tables(spark, d, "documents")),
     "op7_decontamination": lambda spark, d: decontaminate.report(tables(spark, d, "documents"), tables(spark, d, "benchmark")),
     "op8_minhash_near_dedup": lambda spark, d: near_dedup.classes(tables(spark, d, "documents")),
