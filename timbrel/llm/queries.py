@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_output, chat, decontaminate, language, near_dedup, packing, personal, toxicity
+from . import arrow_output, chat, decontaminate, language, near_dedup, neighbours, packing, personal, toxicity
 from .common import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": lambda spark, d: packing.pack(tables(spark, d, "documents")),
+    "op2_balanced_lists_ann": lambda spark, d: neighbours.report(tables(spark, d, "embeddings")),
     "op3_arrow_token_files": lambda spark, d: arrow_output.token_files(tables(spark, d, "documents")),
     "op4_personal_data": lambda spark, d: personal.report(tables(spark, d, "documents")),
     "op5_chat_format": lambda spark, d: chat.report(chat.with_control_strings(tables(spark, d, "conversations"))),
