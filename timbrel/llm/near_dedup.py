@@ -6,8 +6,9 @@ weighted Jaccard similarity; bands of samples bring candidates together, and eve
 verified by the exact weighted Jaccard similarity of the whole texts.
 
 Copies are first reduced to their text.  In a bucket each text is compared with the bucket's first
-one, so a bucket of m alike texts costs m comparisons.  Only buckets whose texts are then still in
-several classes compare texts of different classes, if length and samples allow the similarity.
+one, so a bucket of m alike texts costs m comparisons.  Buckets whose texts are then still in several
+classes compare each text with a few others in some turns, which joins what is densely linked, and at
+last all texts of different classes, if length and samples allow the similarity.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ BANDS, ROWS = 10, 4
 DF_BITS = 18
 #: Of a pair of similarity 0.8 fewer than half of the samples agree once in 100,000 pairs.
 AGREE = BANDS * ROWS // 2
+#: Turns in which further members of a bucket are compared with the others, and how many in each.
+TURNS, HUBS = 4, 4
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _SCALE = np.float32(2.0**-32)
 
@@ -205,22 +208,36 @@ def text_classes(docs: DataFrame) -> DataFrame:
         return F.least(x, y) >= SIMILARITY * F.greatest(x, y)
 
     first = stored(near.where((F.col("id") != F.col("hub.id")) & alike(F.col("weight"), F.col("hub.weight"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = stored(similar(first, docs, texts, idf).select("a", "b"), "links")
-    roots = components(links)
-    with_root = near.join(roots, "id", "left").select("band", "key", "id", "weight", F.coalesce("root", "id").alias("root"))
-    open_ = with_root.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
-    rest = stored(with_root.join(open_, ["band", "key"]).join(texts.select("id", "agree"), "id"), "open")
-    x, y = rest.alias("x"), rest.alias("y")
-    equal = F.aggregate(F.zip_with("x.agree", "y.agree", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-    second = (
-        x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & alike(F.col("x.weight"), F.col("y.weight")))
-        .where(equal >= AGREE).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-    )
-    second = stored(second, "pairs")
-    if not second.isEmpty():
-        more = stored(similar(second, docs, texts, idf).select("a", "b"), "links")
+    roots = components(similar(first, docs, texts, idf))
+    tried = first
+    for turn in range(TURNS + 1):
+        with_root = near.join(roots, "id", "left").select("band", "key", "id", "weight", F.coalesce("root", "id").alias("root"))
+        open_ = with_root.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
+        rest = stored(with_root.join(open_, ["band", "key"]).join(texts.select("id", "agree"), "id"), "open")
+        if rest.isEmpty():
+            break
+        x, y = rest.alias("x"), rest.alias("y")
+        if turn < TURNS:  # a few members of each bucket, others in every turn, meet the bucket's members
+            slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(HUBS))
+            own = F.struct(F.xxhash64("id", F.lit(turn + 1000)).alias("o"), "id", "weight", "root", "agree")
+            y = rest.groupBy("band", "key", slot.alias("slot")).agg(F.min(own).alias("h")).select("band", "key", "h.id", "h.weight", "h.root", "h.agree").alias("y")
+        equal = F.aggregate(F.zip_with("x.agree", "y.agree", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
+        met = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & alike(F.col("x.weight"), F.col("y.weight")) & (equal >= AGREE)
+        met = met if turn < TURNS else met & (F.col("x.id") < F.col("y.id"))  # what is left is compared in full
+        pairs = x.join(y, met).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
+        if pairs.isEmpty():
+            continue
+        more = stored(similar(pairs, docs, texts, idf), "links")
+        tried = tried.union(pairs)
         if not more.isEmpty():
-            roots = components(links.union(more))
+            by_root = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
+            joined = more.join(by_root, "a", "left").join(by_root.toDF("b", "rb"), "b", "left")
+            merged = components(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
+            # roots that were joined lead to their new root; texts without a class so far are their own
+            moved = roots.join(merged.toDF("root", "new"), "root", "left").select("id", F.coalesce("new", "root").alias("root"))
+            alone = merged.join(roots, "id", "left_anti")
+            roots = stored(moved.unionByName(alone), "roots")
     grouped = texts.join(roots, "id", "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return stored(grouped.join(lowest, "root").select("id", "doc_id", "class_id"), "classes")
