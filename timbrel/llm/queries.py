@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_output, chat, decontaminate, language, near_dedup, neighbours, packing, personal, toxicity
+from . import arrow_output, chat, decontaminate, language, licenses, near_dedup, neighbours, packing, personal, toxicity
 from .common import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -18,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_language_id": lambda spark, d: language.predictions(tables(spark, d, "documents")),
     "op7_decontamination": lambda spark, d: decontaminate.report(tables(spark, d, "documents"), tables(spark, d, "benchmark")),
     "op8_minhash_near_dedup": lambda spark, d: near_dedup.classes(tables(spark, d, "documents")),
+    "op9_license_scan": lambda spark, d: licenses.report(tables(spark, d, "documents")),
     "op10_toxicity": lambda spark, d: toxicity.report(tables(spark, d, "documents"), tables(spark, d, "labels")),
 }
 ORACLES: dict[str, str] = {
