@@ -77,7 +77,7 @@ class Automaton:
 
     def run(self, codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Words that are accepted (by place in begin), their terms, and whether with an edit."""
-        if not len(self.term) or not len(begin):
+        if not len(self.letters) or not len(begin):
             return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, bool)
         at = np.minimum(np.searchsorted(self.letters, codes), len(self.letters) - 1)
         kind = np.where(self.letters[at] == codes, at + 1, 0).astype(np.int32)
