@@ -12,25 +12,39 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 BLOCK = "_blk"
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``, which driver and executors share.
+
+    A local session without one gets a temporary folder; on a cluster that is an
+    error, since executors could not read each other's files.
+    """
+    import tempfile
+
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write an intermediate result to the shared checkpoint folder and go on from there.
 
     A scan reads its input twice, so long chains of scans are cut between steps,
-    preferably after the rows were reduced.  The folder is the session's
-    ``spark.checkpoint.dir``; a local one is made only where that is unset.
+    preferably after the rows were reduced.
     """
-    import tempfile
-
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoints-"))
+        sc.setCheckpointDir(checkpoint_folder(df.sparkSession))
     return df.checkpoint()
 
 

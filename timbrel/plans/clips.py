@@ -281,10 +281,10 @@ def _(v):
 @query("fn8_proportional_words", r"""
 WITH w AS (SELECT job_id, seg_idx, start, "end" - start AS span, unnest(toks) AS word, generate_subscripts(toks, 1) AS i FROM segments),
 c AS (SELECT *, sum(length(word)) OVER (PARTITION BY job_id, seg_idx ORDER BY i) AS upto, sum(length(word)) OVER (PARTITION BY job_id, seg_idx) AS total FROM w)
-SELECT job_id, seg_idx, i - 1 AS word_idx, word, round(start + span * (upto - length(word)) / total, 5) AS start, round(start + span * upto / total, 5) AS "end" FROM c""")
+SELECT job_id, seg_idx, i - 1 AS word_idx, word, start + span * (upto - length(word)) / total AS start, start + span * upto / total AS "end" FROM c""")
 def _(v):
     w = tx.proportional_words(F.array_join("toks", " "), F.col("start"), F.col("end"), digits=None)
-    return v.segments.select("job_id", "seg_idx", F.posexplode(w).alias("word_idx", "w")).select("job_id", "seg_idx", F.col("word_idx").cast("long").alias("word_idx"), "w.word", F.round("w.start", 5).alias("start"), F.round("w.end", 5).alias("end"))
+    return v.segments.select("job_id", "seg_idx", F.posexplode(w).alias("word_idx", "w")).select("job_id", "seg_idx", F.col("word_idx").cast("long").alias("word_idx"), "w.word", "w.start", "w.end")
 
 
 @query("fn9_spoken_window", """SELECT job_id, seg_idx, CASE WHEN seg_idx % 3 = 0 THEN start ELSE greatest(start - 0.02, start + 0.1) END AS start, round(CASE WHEN seg_idx % 3 = 0 THEN "end" + 0.1 ELSE greatest("end", "end" + 0.3) + 0.1 END, 6) AS "end" FROM segments""")

@@ -276,10 +276,10 @@ md3 AS (SELECT job_id, sec, raw, lag(raw) OVER w AS a, lead(raw) OVER w AS b FRO
 pc AS (SELECT job_id, sec, CASE WHEN a IS NULL OR b IS NULL THEN raw ELSE list_sort([a, raw, b])[2] END AS pacing FROM md3)"""
 
 
-@query("win17_pacing", f"WITH {PACED} SELECT job_id, sec, round(pacing, 5) AS pacing FROM pc")
+@query("win17_pacing", f"WITH {PACED} SELECT job_id, sec, round(pacing, 9) AS pacing FROM pc")
 def _(v):
     grid, signals = _pacing_inputs(v)
-    return op.pacing(grid, signals, op.PACING_WEIGHTS["vlog"]).withColumn("pacing", F.round("pacing", 5))
+    return op.pacing(grid, signals, op.PACING_WEIGHTS["vlog"]).withColumn("pacing", F.round("pacing", 9))
 
 
 @query("win19_hold_and_lead", f"WITH {PACED} SELECT job_id, sec, round(2.0 - power(greatest(0, least(1, pacing)), 0.75) * 1.75, 5) AS min_hold, CAST(round_even(400 - round(pacing, 6) * 280, 0) AS BIGINT) AS lead_ms FROM pc")

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import math
 import pickle
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
-from ..functions.ordered import ema, fold_sorted, islands, scan, time_block
+from ..functions.ordered import checkpoint_folder, ema, fold_sorted, islands, scan, time_block
 
 
 def keyed_stream(stream: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable, step: Callable) -> DataFrame:
@@ -51,9 +50,8 @@ def _fold(df: DataFrame, keys, order, schema, start, step) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """New folder under the session's shared checkpoint folder; a local one only where that is unset."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="streams-")
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    """New folder under the session's shared checkpoint folder."""
+    return f"{checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
