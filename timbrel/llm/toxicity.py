@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import code_points, steps
+from .common import code_points, steps, stored
 from .language import held_out
 
 #: Most terms of the lexicon, those of highest score; bounds what is broadcast.
@@ -293,5 +293,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document; learned from the labelled rows that are not held out."""
     own = labels.select(F.col("doc_id").alias("_l"), "toxic")
-    training = docs.select("doc_id", "text").where(~held_out(3, 1)).join(own, F.col("doc_id") == F.col("_l")).select("text", "toxic")
+    # joined by a shuffle whatever the size of labels, and stored, as counting and fitting both read it
+    training = docs.select("doc_id", "text").where(~held_out(3, 1)).join(own.hint("merge"), F.col("doc_id") == F.col("_l")).select("text", "toxic")
+    training = stored(training, "labelled")
     return score(docs, train(training)).select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
