@@ -205,7 +205,3 @@ def plan_coverage(ops: DataFrame, totals: DataFrame) -> DataFrame:
     g = d.groupBy("job_id").agg(F.count("*").alias("n_ops"), F.sum(F.col("end") - F.col("start")).alias("covered"), F.sum(gaps).alias("gaps"), F.count_if(jump < -0.001).alias("overlaps"),
                                 F.sum(outside).alias("out_of_range"), F.count_if(F.col("end") - F.col("start") < 1e-3).alias("zero_length"))
     return g.withColumn("ok", (F.col("gaps") + F.col("overlaps") + F.col("out_of_range") + F.col("zero_length")) == 0)
-
-
-def overlap_total(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return adjacent_overlaps(rows, keys, order).groupBy(*keys).agg(F.count("*").alias("overlap_count"))

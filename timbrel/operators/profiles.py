@@ -246,8 +246,3 @@ def persistent_ids(tracks: DataFrame, limit: float = 0.35) -> DataFrame:
             break
     roots = numbered(link.where("up = track_id").select("job_id", "track_id"), ["job_id"], ["track_id"], index_block("track_id"), "_n")
     return link.join(roots.select("job_id", F.col("track_id").alias("up"), (F.col("_n") - 1).alias("persistent_id")), ["job_id", "up"]).drop("up")
-
-
-def tracked_pass_rate(shots: DataFrame, faces: DataFrame, shot_id: str, crop_pct: float, floor: float = 0.40) -> DataFrame:
-    """Shots whose tracked face is in the crop often enough to keep the crop."""
-    return crop_pass_rate(shots, faces, shot_id, crop_pct).withColumn("keep", F.col("pass_rate") >= floor)

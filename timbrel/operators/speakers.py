@@ -162,11 +162,3 @@ def game_events(spikes: DataFrame, envelope: DataFrame, path: DataFrame | None =
         lock = lock_events(path, envelope).select("job_id", (-F.round(F.col("t") * 1000)).cast("long").alias("event_id"), "t", F.lit("locked_on").alias("kind"), F.lit(0.65).alias("confidence"), F.lit(0.8).alias("event_len"))
         ev = without_swing_kills(cut_lineage(ev.unionByName(lock)), path)
     return merge_close(cut_lineage(ev))
-
-
-def speaking_share(events: DataFrame) -> DataFrame:
-    """Seconds and share of speech per slot."""
-    g = events.where("slot_id >= 0").groupBy("job_id", "slot_id").agg(F.sum(F.col("end") - F.col("start")).alias("seconds"))
-    t = g.groupBy("job_id").agg(F.sum("seconds").alias("_t"))
-    return g.join(t, "job_id").select("job_id", "slot_id", "seconds", (F.col("seconds") / F.col("_t")).alias("share"))
-

@@ -154,10 +154,6 @@ def overwrite_partitions(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
-def union_all(*dfs: DataFrame) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), dfs)
-
-
 def upsert_partitions(changes: DataFrame, path: str, key: str, version: str, buckets: int = 64) -> None:
     """Merge changed rows into a table partitioned by key hash; only touched partitions are rewritten.
 
