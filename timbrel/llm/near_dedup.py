@@ -201,7 +201,9 @@ def text_classes(docs: DataFrame) -> DataFrame:
     )
     member = texts.select("id", "weight", F.posexplode("bands").alias("band", "key"))
     bucket = member.groupBy("band", "key").agg(F.min(F.struct("id", "weight")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    near = stored(member.join(bucket, ["band", "key"]).select("band", "key", "id", "weight", "hub"), "members")
+    near = stored(member.join(bucket, ["band", "key"]).select("band", "key", "id", "weight", "hub", "n"), "members")
+    # a text that many others resemble shares more and larger buckets than they do among each other
+    degree = near.groupBy("id").agg(F.sum("n").alias("degree"))
 
     def alike(x: Column, y: Column) -> Column:
         """The smaller total over the larger one bounds the similarity."""
@@ -213,13 +215,14 @@ def text_classes(docs: DataFrame) -> DataFrame:
     for turn in range(TURNS + 1):
         with_root = near.join(roots, "id", "left").select("band", "key", "id", "weight", F.coalesce("root", "id").alias("root"))
         open_ = with_root.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
-        rest = stored(with_root.join(open_, ["band", "key"]).join(texts.select("id", "agree"), "id"), "open")
+        rest = stored(with_root.join(open_, ["band", "key"]).join(texts.select("id", "agree"), "id").join(degree, "id"), "open")
         if rest.isEmpty():
             break
         x, y = rest.alias("x"), rest.alias("y")
-        if turn < TURNS:  # a few members of each bucket, others in every turn, meet the bucket's members
+        if turn < TURNS:  # a few members of each bucket, by degree or by chance, meet the bucket's members
             slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(HUBS))
-            own = F.struct(F.xxhash64("id", F.lit(turn + 1000)).alias("o"), "id", "weight", "root", "agree")
+            order = F.xxhash64("id", F.lit(turn + 1000)) if turn % 2 else -F.col("degree")
+            own = F.struct(order.alias("o"), "id", "weight", "root", "agree")
             y = rest.groupBy("band", "key", slot.alias("slot")).agg(F.min(own).alias("h")).select("band", "key", "h.id", "h.weight", "h.root", "h.agree").alias("y")
         equal = F.aggregate(F.zip_with("x.agree", "y.agree", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
         met = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & alike(F.col("x.weight"), F.col("y.weight")) & (equal >= AGREE)
