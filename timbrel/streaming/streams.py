@@ -7,11 +7,11 @@ same rows for input that arrives in order.
 
 from __future__ import annotations
 
-import math
-import pickle
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,24 +24,24 @@ from ..functions.ordered import checkpoint_folder, ema, fold_sorted, islands, sc
 def keyed_stream(stream: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable, step: Callable) -> DataFrame:
     """Run a fold step with state per key; the rows of one micro-batch are put in order first.
 
-    The state is a small picklable value, so a key costs a few numbers however
-    many rows it has seen.
+    The state is a small value of lists, numbers and texts, kept as JSON, so a key costs
+    a few numbers however many rows it has seen and no class name is part of a checkpoint.
     """
     cols = stream.columns
     names = StructType.fromDDL(schema).names
     rank = [cols.index(c) for c in order]
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value = pickle.loads(state.get[0]) if state.exists else start()
+        value = json.loads(state.get[0]) if state.exists else start()
         rows = sorted((r for pdf in pdfs for r in zip(*(pdf[c].tolist() for c in cols))), key=lambda r: tuple(r[i] for i in rank))
         out: list[tuple] = []
         for row in rows:
             value, emitted = step(value, row)
             out.extend(emitted)
-        state.update((pickle.dumps(value),))
+        state.update((json.dumps(value),))
         yield pd.DataFrame(out, columns=names).astype(object)
 
-    return stream.groupBy(*keys).applyInPandasWithState(run, schema, "s binary", "append", GroupStateTimeout.NoTimeout)
+    return stream.groupBy(*keys).applyInPandasWithState(run, schema, "s string", "append", GroupStateTimeout.NoTimeout)
 
 
 def _fold(df: DataFrame, keys, order, schema, start, step) -> DataFrame:
@@ -144,54 +144,46 @@ def baseline_triggers(readings: DataFrame, threshold: float = 8.0, alpha: float
 
 # --- idle fallback and trigger bus -----------------------------------------------------------------
 
-class _Bus:
-    """State of one job's sensors: running means, last firings and the idle fallback."""
-
-    def __init__(self):
-        self.mean: dict[int, float] = {}
-        self.fired: dict[int, float] = {}
-        self.noted: dict[int, float] = {}
-        self.any_at = 0.0
-
-
-def idle_choice(bus: _Bus, t: float, sensors: list[tuple[int, float]], interval: float) -> int | None:
-    """Best sensor by confidence times age when nothing fired for the interval."""
-    if t - bus.any_at < interval:
-        return None
-    best = None
-    for sid, conf in sensors:
-        age = t - bus.noted.get(sid, 0.0)
-        if age < interval * 0.5:
-            continue
-        score = conf * min(age / interval, 3.0)
-        if best is None or score > best[0]:
-            best = (score, sid)
-    return best[1] if best else None
-
-
-def idle_step_of(interval: float):
-    def step(bus, row):
-        job, t, fired, sensors = row
-        for sid in fired:
-            bus.noted[sid] = bus.any_at = t
-        if len(fired):
-            return bus, []
-        pick = idle_choice(bus, t, [(s["sensor"], s["confidence"]) for s in sensors], interval)
-        if pick is None:
-            return bus, []
-        bus.noted[pick] = bus.any_at = t
-        return bus, [(job, t, pick)]
-    return step
+NEVER = -1e18
+
+
+def stalest(sensors: list, seen: dict[str, float], t: float, interval: float) -> int | None:
+    """The sensor of highest confidence times age, the first of equals.
+
+    Ages are in intervals and count up to three; a sensor seen within half an interval is out.
+    """
+    ages = [(conf, sid, t - seen.get(str(sid), 0.0)) for sid, conf in sensors]
+    ranked = [(conf * min(age / interval, 3.0), -i, sid) for i, (conf, sid, age) in enumerate(ages) if age >= interval / 2]
+    return max(ranked)[2] if ranked else None
+
+
+def _quiet_start() -> dict:
+    """Times per sensor of the last glance and of the last firing, and the time of the last glance at all."""
+    return {"seen": {}, "fired": {}, "last": 0.0}
+
+
+def _glance(state: dict, sid: int, t: float) -> None:
+    state["seen"][str(sid)] = state["last"] = t
 
 
 def idle_glances(frames: DataFrame, interval: float = 10.0) -> DataFrame:
     """Fallback choices of quiet stretches; batch or stream.
 
     ``frames``: job_id, t, fired array<bigint>, sensors array<struct<sensor, confidence>>;
-    a job has a handful of sensors.
+    a job has a handful of sensors.  Each choice is a glance itself and so delays the next one.
     """
+
+    def step(state, row):
+        job, t, fired, sensors = row
+        due = not len(fired) and t - state["last"] >= interval
+        pick = stalest([(s["sensor"], s["confidence"]) for s in sensors], state["seen"], t, interval) if due else None
+        glances = list(fired) if pick is None else [pick]
+        for sid in glances:
+            _glance(state, sid, t)
+        return state, [] if pick is None else [(job, t, pick)]
+
     d = frames.select("job_id", "t", "fired", "sensors")
-    return _fold(d, ["job_id"], ["t"], "job_id bigint, t double, sensor bigint", _Bus, idle_step_of(interval))
+    return _fold(d, ["job_id"], ["t"], "job_id bigint, t double, sensor bigint", _quiet_start, step)
 
 
 def near_peaks(frames: DataFrame, peaks: DataFrame, window: float = 0.2) -> DataFrame:
@@ -204,39 +196,65 @@ def near_peaks(frames: DataFrame, peaks: DataFrame, window: float = 0.2) -> Data
     return frames.join(hit.withColumn("near_peak", F.lit(True)), ["job_id", "t"], "left").fillna(False, ["near_peak"])
 
 
-def bus_step_of(threshold: float, alpha: float, interval: float, quiet: float, boost: float):
-    def step(bus, row):
-        job, t, near, sensors = row
-        out = []
-        for s in sensors:
-            sid, value = s["sensor"], s["value"]
-            mean = bus.mean.get(sid)
-            if mean is None:
-                bus.mean[sid] = value
-                continue
-            limit = threshold / boost if near and s["hint"] in ("health", "killfeed") else threshold
-            if abs(value - mean) >= limit and t - bus.fired.get(sid, -math.inf) >= quiet:
-                out.append((job, t, sid, "delta"))
-                bus.fired[sid] = bus.noted[sid] = bus.any_at = t
-            bus.mean[sid] = (1 - alpha) * mean + alpha * value
-        if not out:
-            pick = idle_choice(bus, t, [(s["sensor"], s["confidence"]) for s in sensors], interval)
-            if pick is not None:
-                bus.noted[pick] = bus.any_at = t
-                if t - bus.fired.get(pick, -math.inf) >= quiet:
-                    bus.fired[pick] = t
-                    out.append((job, t, pick, "scheduled"))
-        return bus, out
-    return step
+def _limit(threshold: float, boost: float, near: Column, hint: Column) -> Column:
+    """Health and kill-feed sensors are more sensitive near an audio peak."""
+    return F.when(near & hint.isin("health", "killfeed"), threshold / boost).otherwise(F.lit(threshold))
+
+
+def crossings(frames: DataFrame, threshold: float, alpha: float, boost: float) -> DataFrame:
+    """job_id, t, crossed (sensors far from their running mean before this frame, in order), sensors.
+
+    Column form: the mean of each sensor is a blocked moving average.
+    """
+    keys = ["job_id", "sensor"]
+    d = frames.select("job_id", "t", "near_peak", F.posexplode("sensors").alias("at", "s")).select("job_id", "t", "near_peak", "at", "s.*")
+    d = ema(d, keys, ["t"], time_block("t"), {"_mean": "value"}, alpha)
+    d = scan(d, keys, ["t"], time_block("t"), prev={"_before": F.col("_mean")})
+    far = F.abs(F.col("value") - F.col("_before")) >= _limit(threshold, boost, F.col("near_peak"), F.col("hint"))
+    d = d.withColumn("s", F.struct("at", "sensor", "confidence", F.coalesce(far, F.lit(False)).alias("far")))
+    d = d.groupBy("job_id", "t").agg(F.sort_array(F.collect_list("s")).alias("s"))  # a frame has a handful of sensors
+    crossed = F.transform(F.filter("s", lambda x: x["far"]), lambda x: x["sensor"])
+    return d.select("job_id", "t", crossed.alias("crossed"), F.transform("s", lambda x: F.struct(x["sensor"].alias("sensor"), x["confidence"].alias("confidence"))).alias("sensors"))
 
 
 def trigger_bus(frames: DataFrame, threshold: float = 8.0, alpha: float = 0.1, interval: float = 10.0, quiet: float = 2.0, boost: float = 2.0) -> DataFrame:
     """Combined triggers per job; batch or stream.
 
-    ``frames``: job_id, t, near_peak, sensors array<struct<sensor, value, confidence, hint>>.
+    ``frames``: job_id, t (unique in a job), near_peak, sensors array<struct<sensor, value, confidence, hint>>.
+    Crossings are found first, by columns in batch and with a mean per sensor in a stream.  Only the
+    quiet time and the fallback, which depend on earlier firings, go through the ordered pass.
     """
-    d = frames.select("job_id", "t", "near_peak", "sensors")
-    return _fold(d, ["job_id"], ["t"], "job_id bigint, t double, sensor bigint, source string", _Bus, bus_step_of(threshold, alpha, interval, quiet, boost))
+
+    def rested(state, sid, t):
+        return t - state["fired"].get(str(sid), NEVER) >= quiet
+
+    def fire(state, row):
+        job, t, crossed, sensors = row
+        hits = [sid for sid in crossed if rested(state, sid, t)]
+        for sid in hits:
+            _glance(state, sid, t)
+        source = "delta"
+        if not hits and t - state["last"] >= interval:
+            source, pick = "scheduled", stalest([(s["sensor"], s["confidence"]) for s in sensors], state["seen"], t, interval)
+            if pick is not None:
+                _glance(state, pick, t)  # even where the quiet time holds it back
+                hits = [pick] if rested(state, pick, t) else []
+        state["fired"].update({str(sid): t for sid in hits})
+        return state, [(job, t, sid, source) for sid in hits]
+
+    def follow(state, row):
+        """Stream form of the crossings: the means are part of the state."""
+        job, t, sensors = row
+        before = state.setdefault("mean", {})
+        crossed = [s["sensor"] for s in sensors if abs(s["value"] - before.get(str(s["sensor"]), s["value"])) >= s["limit"]]
+        before |= {k: (1 - alpha) * before.get(k, v) + alpha * v for k, v in ((str(s["sensor"]), s["value"]) for s in sensors)}
+        return fire(state, (job, t, crossed, sensors))
+
+    schema = "job_id bigint, t double, sensor bigint, source string"
+    if not frames.isStreaming:
+        return fold_sorted(crossings(frames, threshold, alpha, boost), ["job_id"], ["t"], schema, _quiet_start, fire)
+    own = F.transform("sensors", lambda s: F.struct(*(s[c].alias(c) for c in ("sensor", "value", "confidence")), _limit(threshold, boost, F.col("near_peak"), s["hint"]).alias("limit")))
+    return keyed_stream(frames.select("job_id", "t", own.alias("sensors")), ["job_id"], ["t"], schema, _quiet_start, follow)
 
 
 # --- live highlights -------------------------------------------------------------------------------
@@ -255,26 +273,49 @@ def live_zones(segments: DataFrame, late: str = "2 minutes", size: str = "30 sec
 
 # --- hold and decay --------------------------------------------------------------------------------
 
-def decay_step_of(hold: int, tau: float, floor: float):
-    def step(state, row):
-        job, sensor, frame, peak = row
-        weight, last = state
-        if peak is not None and peak == peak:
-            weight, last = max(weight, peak), frame
-        if weight <= 0.0:
-            return (weight, last), []
-        past = frame - last - hold
-        if past > 0:
-            weight *= math.exp(-past / tau)
-        return (weight, last), [(job, sensor, frame, weight)] if weight >= floor else []
-    return step
+#: A weight that was divided by e so many times is zero as a double.
+GONE = 750.0
 
 
 def decaying_weights(frames: DataFrame, hold: int = 9, tau: float = 30.0, floor: float = 0.05) -> DataFrame:
     """Weight of each sensor per frame: held after a trigger, then decayed again at every frame
-    from the already decayed value; batch or stream."""
-    d = frames.select("job_id", "sensor", "frame", "peak")
-    return _fold(d, ["job_id", "sensor"], ["frame"], "job_id bigint, sensor bigint, frame bigint, weight double", lambda: (0.0, 0), decay_step_of(hold, tau, floor))
+    from the already decayed value; batch or stream.
+
+    With the decay summed up over the frames, the weight of a frame is the greatest of the earlier
+    peaks, each less what was summed since: a fill, a running sum and a running maximum.
+    """
+    keys = ["job_id", "sensor"]
+    d = frames.select(*keys, "frame", F.nanvl("peak", F.lit(None).cast("double")).alias("peak"))
+    if d.isStreaming:
+        return d.groupBy(*keys).applyInPandasWithState(_decay_batch(hold, tau, floor), "job_id bigint, sensor bigint, frame bigint, weight double", "weight double, last bigint", "append", GroupStateTimeout.NoTimeout)
+    block = F.floor(F.col("frame") / 1024)
+    d = scan(d, keys, ["frame"], block, fill={"_last": F.when(F.col("peak").isNotNull(), F.col("frame"))})
+    past = F.greatest(F.col("frame") - F.coalesce("_last", F.lit(0)) - hold, F.lit(0)) / F.lit(float(tau))
+    d = scan(d.withColumn("_down", F.least(past, F.lit(GONE))), keys, ["frame"], block, total={"_sum": F.col("_down")})
+    since = F.col("_sum") - F.col("_down")
+    d = scan(d, keys, ["frame"], block, peak={"_top": F.when(F.col("peak") > 0, F.struct((F.ln("peak") + since).alias("rank"), F.col("peak").alias("peak"), since.alias("since")))})
+    weight = F.col("_top.peak") * F.exp(F.col("_top.since") - F.col("_sum"))
+    return d.select(*keys, "frame", weight.alias("weight")).where(F.col("weight") >= floor)
+
+
+def _decay_batch(hold: int, tau: float, floor: float) -> Callable:
+    """The same for one micro-batch of a key; the state is the last weight and the frame of the last peak."""
+
+    def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        weight, last = state.get if state.exists else (0.0, 0)
+        d = pd.concat(list(pdfs)).sort_values("frame")
+        frame, peak = d.frame.to_numpy(), d.peak.to_numpy(float)
+        last_peak = d.frame.where(d.peak.notna()).ffill().fillna(last).to_numpy()
+        down = np.minimum(np.maximum(frame - last_peak - hold, 0) / tau, GONE)
+        summed = np.cumsum(down)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            rank = np.where(peak > 0, np.log(peak) + summed - down, -np.inf)
+            weights = np.exp(np.maximum.accumulate(np.maximum(rank, np.log(weight))) - summed)
+        state.update((float(weights[-1]), int(last_peak[-1])))
+        out = pd.DataFrame({"job_id": key[0], "sensor": key[1], "frame": frame, "weight": weights})
+        yield out[out.weight >= floor]
+
+    return run
 
 
 def points_of(text: Column) -> Column:
