@@ -1,5 +1,6 @@
 """Streams against their batch forms over a file source in several micro-batches."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -91,6 +92,28 @@ def test_decaying_weights(spark, tmp_path):
     assert close(batch, rows_of(st.run_available(st.decaying_weights(replay(spark, tmp_path, d, "decay")), "decay")))
 
 
+def test_decaying_weights_with_gaps_and_odd_peaks(spark, tmp_path):
+    rnd = random.Random(4)
+    odd = [0.0, -1.0, float("nan"), 0.4, 1.2, 0.9]
+    rows = [(1, s, i + 2000 * (i // 150), rnd.choice(odd) if rnd.random() < 0.08 else None, i // 75) for s in (1, 2) for i in range(300)]
+    d = spark.createDataFrame(rows, "job_id long, sensor long, frame long, peak double, part int")
+    want = []
+    for s in (1, 2):
+        peaks: dict[int, float] = {}  # the part of each peak that is left
+        last = 0
+        for _, _, frame, peak, _ in (r for r in rows if r[1] == s):
+            if peak is not None and peak == peak:
+                last = frame
+                peaks[frame] = max(peak, 0.0)
+            peaks = {k: v * math.exp(-max(0, frame - last - 9) / 30.0) for k, v in peaks.items()}
+            if max(peaks.values(), default=0.0) >= 0.05:
+                want.append((1, s, frame, max(peaks.values())))
+    batch = rows_of(st.decaying_weights(d.drop("part")))
+    assert close(batch, sorted(want))
+    assert close(batch, rows_of(st.run_available(st.decaying_weights(replay(spark, tmp_path, d, "odd")), "odd")))
+    assert st.decaying_weights(d.drop("part").limit(0)).count() == 0
+
+
 def test_live_zones_drop_late_rows(spark, tmp_path):
     rows = [(1, float(s), float(s) + 2.0, 5, s // 100) for s in range(0, 400, 10)]
     d = spark.createDataFrame(rows, "job_id long, s double, e double, points int, part int")
