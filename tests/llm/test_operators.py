@@ -143,6 +143,25 @@ def test_language_model_is_kneser_ney(spark):
         assert abs(float(model.log_probabilities(key)[0, 0]) - np.log(p(g))) < 1e-5
 
 
+def test_language_model_keeps_all_ngrams(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+
+    def text(letters):
+        return " ".join("".join(rng.choice(list(letters), rng.integers(2, 8))) for _ in range(30))
+
+    rows = [(text("abcdefghij"), "hot") for _ in range(60)] + [(text("αβγδε龍鼠abc"), "rare") for _ in range(3)]
+    table = spark.createDataFrame(rows, "text string, lang string")
+    texts = [t for t, _ in rows[::7]] + [text("αβγδε龍鼠abc"), text("xyzα"), "", "..."]
+    whole = language.train(table)
+    monkeypatch.setattr(language, "MODEL_NGRAMS", 50)
+    small = language.train(table)
+    for a, b in zip(whole.entropies(texts), small.entropies(texts), strict=True):
+        assert np.allclose(a, b, atol=1e-5)
+    assert small.predict(texts)[-4][0] == "rare" and whole.limits.keys() == small.limits.keys()
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert [r.lang_pred for r in language.identify(docs, small).collect()] == [p[0] for p in whole.predict(texts)]
+
+
 def test_language_held_out(spark, sf_dir):
     got = QUERIES["op6_language_id"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
