@@ -162,6 +162,19 @@ def test_language_model_keeps_all_ngrams(spark, monkeypatch):
     assert [r.lang_pred for r in language.identify(docs, small).collect()] == [p[0] for p in whole.predict(texts)]
 
 
+def test_language_limits_of_rare_languages(spark, monkeypatch):
+    monkeypatch.setattr(language, "CALIBRATION_TEXTS", 40)
+    rows = [(words_of(i, 30) + " " + "".join(chr(0x4E00 + 5 * i + j) for j in range(5)), "common") for i in range(400)]  # many letters, so that the unseen ones are unlikely
+    rows += [(words_of(1000 + i, 30).translate(str.maketrans("abcdefghij", "αβγδεζηθικ")), "rare") for i in range(20)]
+    rows += [(words_of(2000 + i, 30).translate(str.maketrans("abcdefghij", "бвгджзклмн")), "few") for i in range(3)]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    assert set(model.limits) == {"common", "rare", "few"}
+    garbage = "ωщ" + "".join(chr(0x0531 + i * 7 % 38) + chr(0x10D0 + i * 5 % 33) for i in range(200))
+    for own, lang in (("αβγδ ", "rare"), ("бвгд ", "few")):
+        found = model.predict([own + garbage, rows[0][0]])
+        assert found[0][0] == lang and found[0][3] and not found[1][3]
+
+
 def test_language_held_out(spark, sf_dir):
     got = QUERIES["op6_language_id"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)
