@@ -335,6 +335,33 @@ def test_automaton_accepts_one_edit():
         assert got.get(i) == ((exact[0], False) if exact else (near[0], True) if near else None)
 
 
+def test_automaton_with_swaps():
+    rng = np.random.default_rng(7)
+    terms = sorted({"".join(rng.choice(list("abc"), rng.integers(2, 8))) for _ in range(30)})
+    words = ["".join(rng.choice(list("abcd"), rng.integers(1, 9))) for _ in range(2000)]
+    codes, begin, end, _ = toxicity.split_words([" ".join(words)])
+    word, term, edited = toxicity.build_automaton(terms, 4, swaps=True).run(codes, begin, end)
+    got = {int(w): (int(t), bool(e)) for w, t, e in zip(word, term, edited)}
+
+    def close(t, w):
+        return distance(t, w) == 1 or any(t[:i] + t[i + 1] + t[i] + t[i + 2 :] == w for i in range(len(t) - 1))
+
+    for i, w in enumerate(words):
+        exact = [n for n, t in enumerate(terms) if t == w]
+        near = [n for n, t in enumerate(terms) if len(t) >= 4 and close(t, w)]
+        assert got.get(i) == ((exact[0], False) if exact else (near[0], True) if near else None)
+
+
+def test_toxicity_disguised_terms(spark):
+    rows = [(i, words_of(i, 40) + (" you idiot and stupid scum 他是个笨蛋吗 मूर्ख" if i % 4 == 0 else " 他是个好人吗"), int(i % 4 == 0)) for i in range(300)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    assert set(model.terms) >= {"idiot", "stupid", "scum", "笨蛋", "मूर्ख"}
+    texts = ["an id1ot here", "so st*pid", "(st*pid)", "it,id1ot,it", "idoit", "scvm", "sc*m", "那笨蛋走了", "मूर्ख"]
+    assert (model.features(texts)[:, 0] > 0).all()
+    assert (model.features(["an id 1ot here", "", "id  ot", "那好人走了"])[:, 0] == 0).all()
+    assert np.allclose(model.features(["idiot-like", "idiot5"])[:, 0], model.features(["idiot like", "idiot"])[:, 0])
+
+
 def test_toxicity_scores(spark, none):
     rows = [(i, words_of(i, 40) + (" you idiot and stupid moron" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(300)]
     table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")

@@ -2,14 +2,18 @@
 
 The lexicon holds the words whose share of toxic documents is far above the rest; it is counted over
 all labelled training rows.  Its trie is intersected with the Levenshtein automata of its terms into one
-deterministic automaton that accepts every word within one edit of a term.  The words of a step of
-texts run through it side by side, one character at a time; most leave it after three.  Each match is
+deterministic automaton that accepts every word within one edit of a term: a letter changed, added, left
+out, or swapped with the next.  The words of a step of texts run through it side by side, one character
+at a time; most leave it after three.  A digit or sign between two letters may be the edit, so two words
+with one such character between them also run as one; in scripts without spaces so does every window of
+two to four characters.  Each match is
 weighted by its exactness and by its context window: quotation and talk about a word count for less,
 other matches near by for more.  A logistic curve, fitted on a bounded sample, gives the score.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,8 +31,14 @@ LEXICON_TERMS = 2000
 #: Least number of toxic documents with a term, least log-ratio of its shares in toxic and other documents, and
 #: least log-likelihood statistic, so that rare words don't become terms by chance.
 LEAST_DOCS, LEAST_RATIO, LEAST_EVIDENCE = 3, 2.0, 18.0
-#: Terms from this length on also match with one edit.
+#: Terms from this length on also match with one edit in an automaton of its own.
 FUZZY_LENGTH = 5
+#: The same in the automaton of the model, which also takes two swapped letters as one edit.
+MODEL_FUZZY_LENGTH = 4
+#: Characters of the windows in scripts without spaces.
+WINDOWS = (2, 3, 4)
+#: Code points of the scripts without spaces: Thai to Lao, Myanmar, Khmer, kana, Han and its extensions; fixed values.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF))
 #: Labelled rows that the logistic curve is fitted on, about.
 FITTED_ROWS = 20_000
 #: Words on each side of a match that are its context.
@@ -51,11 +61,13 @@ def _folded() -> np.ndarray:
         if c.isalpha():
             low = c.lower()
             out[i] = ord(low) if len(low) == 1 else i
+        elif unicodedata.category(c) in ("Mn", "Mc"):  # vowel signs and accents
+            out[i] = i
     return out
 
 
 def split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Folded codes of all texts, begin and end of every word (a run of letters), and the number of words of each text."""
+    """Folded codes of all texts, begin and end of every word (a run of letters and their marks), and the number of words of each text."""
     if not _FOLD:
         _FOLD.append(_folded())
     codes = _FOLD[0][code_points("\n".join(texts) + "\n")]
@@ -66,6 +78,29 @@ def split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return codes, begin, end, np.diff(np.searchsorted(begin, ends), prepend=0)
 
 
+def joined_words(texts: list[str], begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Places of the words that only one character, no white space, parts from the next word."""
+    close = np.flatnonzero(begin[1:] - end[:-1] == 1)
+    between = code_points("\n".join(texts) + "\n")[end[close]]
+    kinds, back = np.unique(between, return_inverse=True)
+    return close[~np.array([chr(c).isspace() for c in kinds.tolist()], bool)[back]]
+
+
+def windows(codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Begin, end and word of every window of a script without spaces that is shorter than its word."""
+    unspaced = np.zeros(len(codes), bool)
+    for low, high in UNSPACED:
+        unspaced |= (codes >= low) & (codes <= high)
+    places = np.flatnonzero(unspaced)
+    word = np.searchsorted(begin, places, side="right") - 1
+    found = []
+    for n in WINDOWS:
+        ok = (places + n <= end[word]) & (end[word] - begin[word] > n)
+        ok[ok] = np.logical_and.reduce([unspaced[places[ok] + i] for i in range(n)])
+        found.append((places[ok], places[ok] + n, word[ok]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 @dataclass
 class Automaton:
     """Transitions (state, letter class) and what each state accepts: term number and whether with an edit."""
@@ -100,18 +135,20 @@ class Automaton:
         return word[ok][order], self.term[last[ok]][order], self.edited[last[ok]][order]
 
 
-def build_automaton(terms: list[str]) -> Automaton:
+def build_automaton(terms: list[str], fuzzy: int = FUZZY_LENGTH, swaps: bool = False) -> Automaton:
     """One deterministic automaton of the trie of terms and the automata of one edit.
 
     A state is the set of trie places that the letters read so far can stand for, each with the
     edits spent.  Of several terms one without an edit is accepted first, then the first in the list.
+    Terms of at least fuzzy letters match with one edit; with swaps two swapped letters are one.  A place
+    after the first of two swapped letters has 2 plus the code of the letter that must follow as its edits.
     """
     children: list[dict[int, int]] = [{}]
     ending: list[int] = [-1]
-    reach: list[bool] = [False]  # a term of FUZZY_LENGTH or more lies below
+    reach: list[bool] = [False]  # a term of fuzzy letters or more lies below
     for number, term in enumerate(terms):
         node = 0
-        reach[0] |= len(term) >= FUZZY_LENGTH
+        reach[0] |= len(term) >= fuzzy
         for c in map(ord, term):
             if c not in children[node]:
                 children[node][c] = len(children)
@@ -119,11 +156,11 @@ def build_automaton(terms: list[str]) -> Automaton:
                 ending.append(-1)
                 reach.append(False)
             node = children[node][c]
-            reach[node] |= len(term) >= FUZZY_LENGTH
+            reach[node] |= len(term) >= fuzzy
         if ending[node] < 0:
             ending[node] = number
     letters = sorted({c for kids in children for c in kids})
-    short = {n for n, t in enumerate(terms) if len(t) < FUZZY_LENGTH}
+    short = {n for n, t in enumerate(terms) if len(t) < fuzzy}
 
     def closed(places: set[tuple[int, int]]) -> frozenset[tuple[int, int]]:
         """With the places that leaving out one letter of a term gives."""
@@ -135,7 +172,14 @@ def build_automaton(terms: list[str]) -> Automaton:
     while len(rows) < len(queue):
         state = queue[len(rows)]
         row = np.full(len(letters) + 1, -1, np.int32)
-        useful = {c for node, _ in state for c in children[node]}
+        useful = {c for node, spent in state for c in (children[node] if spent < 2 else (spent - 2,))}
+        swapped: dict[int, set[tuple[int, int]]] = {}
+        if swaps:
+            for node, spent in state:
+                for x, kid in children[node].items() if not spent and reach[node] else ():
+                    for c, end in children[kid].items():
+                        if c != x and reach[end]:
+                            swapped.setdefault(c, set()).add((end, 2 + x))
         other = {p for node, spent in state if not spent and reach[node] for p in [(node, 1), *((kid, 1) for kid in children[node].values() if reach[kid])]}
 
         def number(places: set[tuple[int, int]]) -> int:
@@ -149,12 +193,13 @@ def build_automaton(terms: list[str]) -> Automaton:
 
         row[:] = number(other)
         for i, c in enumerate(letters):
-            if c in useful:
-                step = {(children[node][c], spent) for node, spent in state if c in children[node] and (not spent or reach[children[node][c]])}
+            if c in useful or c in swapped:
+                step = {(children[node][c], spent) for node, spent in state if spent < 2 and c in children[node] and (not spent or reach[children[node][c]])}
+                step |= {(node, 1) for node, spent in state if spent == 2 + c and (node, 0) not in step} | swapped.get(c, set())
                 row[i + 1] = number(step | {p for p in other if (p[0], 0) not in step})
         rows.append(row)
         exact = [ending[node] for node, spent in state if not spent and ending[node] >= 0]
-        near = [ending[node] for node, spent in state if spent and ending[node] >= 0 and ending[node] not in short]
+        near = [ending[node] for node, spent in state if spent == 1 and ending[node] >= 0 and ending[node] not in short]
         term.append(min(exact) if exact else min(near) if near else -1)
         edited.append(not exact)
     return Automaton(np.array(letters, np.uint32), np.array(rows, np.int32), np.array(term, np.int32), np.array(edited, bool))
@@ -173,22 +218,22 @@ class Model:
         out = np.zeros((len(texts), 2))
         if not len(begin):
             return out
-        word, term, edited = self.automaton.run(codes, begin, end)
-        if not len(word):
+        first_word, last_word, lo_, hi_, term, edited = self._matches(texts, codes, begin, end)
+        if not len(term):
             return out
         raw = "\n".join(texts) + "\n"
-        owner = np.searchsorted(np.cumsum(counts), word, side="right")
+        owner = np.searchsorted(np.cumsum(counts), first_word, side="right")
         first = np.cumsum(counts) - counts
         spoken = set(MENTIONS)
         held: dict[tuple[int, int], tuple[float, int]] = {}  # per text and term: best value, matches
-        for i in range(len(word)):
-            w, t = int(word[i]), int(owner[i])
-            lo, hi = max(int(first[t]), w - CONTEXT), min(int(first[t] + counts[t]), w + CONTEXT + 1)
+        for i in range(len(term)):
+            w, v, t, own, till = int(first_word[i]), int(last_word[i]), int(owner[i]), int(lo_[i]), int(hi_[i])
+            lo, hi = max(int(first[t]), w - CONTEXT), min(int(first[t] + counts[t]), v + CONTEXT + 1)
             value = float(self.weight[term[i]]) * (EDITED if edited[i] else 1.0)
-            before, after = raw[max(0, begin[w] - 1) : begin[w]], raw[end[w] : end[w] + 1]
-            if before and after and before in QUOTES and after in QUOTES or _inside_quotes(raw[begin[lo] : begin[w]], raw[end[w] : end[hi - 1]]):
+            before, after = raw[max(0, own - 1) : own], raw[till : till + 1]
+            if before and after and before in QUOTES and after in QUOTES or _inside_quotes(raw[begin[lo] : own], raw[till : end[hi - 1]]):
                 value *= QUOTED
-            elif any(raw[begin[k] : end[k]].lower() in spoken for k in range(lo, hi) if k != w):
+            elif any(raw[begin[k] : end[k]].lower() in spoken for k in range(lo, hi) if not w <= k <= v):
                 value *= MENTIONED
             best, many = held.get((t, int(term[i])), (0.0, 0))
             held[t, int(term[i])] = max(best, value), many + 1
@@ -197,6 +242,26 @@ class Model:
         out[:, 1] = out[:, 0] / np.sqrt(1 + counts / 100.0)
         return out
 
+    def _matches(self, texts: list[str], codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+        """First and last word, begin and end, term and whether with an edit of every match, in order of the text.
+
+        Joined words count only where neither of the two matches by itself, windows only without an edit.
+        """
+        word, term, edited = self.automaton.run(codes, begin, end)
+        found = [(word, word, begin[word], end[word], term, edited)]
+        pair = joined_words(texts, begin, end)
+        at, term, edited = self.automaton.run(codes, begin[pair], end[pair + 1])
+        ok = ~np.isin(pair[at], word) & ~np.isin(pair[at] + 1, word)
+        first = pair[at][ok]
+        found.append((first, first + 1, begin[first], end[first + 1], term[ok], edited[ok]))
+        lo, hi, within = windows(codes, begin, end)
+        at, term, edited = self.automaton.run(codes, lo, hi)
+        at, term = at[~edited], term[~edited]
+        found.append((within[at], within[at], lo[at], hi[at], term, np.zeros(len(at), bool)))
+        columns = [np.concatenate(x) for x in zip(*found, strict=True)]
+        order = np.lexsort((columns[3], columns[2]))
+        return tuple(c[order] for c in columns)
+
     def scores(self, texts: list[str]) -> np.ndarray:
         x = np.log1p(self.features(texts))
         base, a, b = self.curve
@@ -219,8 +284,9 @@ def _document_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             found: dict[str, list[int]] = {}
             for text, label in zip(texts[a:b], toxic[a:b], strict=True):
                 lowered = text.lower()
-                _, begin, end, _ = split_words([lowered])
-                for w in {lowered[i:j] for i, j in zip(begin.tolist(), end.tolist(), strict=True) if 2 < j - i <= 40}:
+                codes, begin, end, _ = split_words([lowered])
+                lo, hi, _ = windows(codes, begin, end)
+                for w in {lowered[i:j] for i, j in zip([*begin.tolist(), *lo.tolist()], [*end.tolist(), *hi.tolist()], strict=True)}:
                     found.setdefault(w, [0, 0])[label] += 1
             words = list(found)
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array([found[w][1] for w in words], pa.int64()), pa.array([found[w][0] for w in words], pa.int64())], ["word", "toxic", "other"])
@@ -244,7 +310,7 @@ def train(labelled: DataFrame) -> Model:
     top = counted.where(F.col("toxic") >= LEAST_DOCS).withColumn("ratio", ratio).where((F.col("ratio") >= LEAST_RATIO) & (evidence >= LEAST_EVIDENCE))
     lexicon = top.orderBy(F.desc(F.col("ratio") * F.sqrt("toxic")), "word").limit(LEXICON_TERMS).toPandas()
     terms = lexicon.word.tolist()
-    model = Model(terms, (lexicon.ratio * np.minimum(1.0, np.log2(1 + lexicon.toxic) / 4)).to_numpy(), build_automaton(terms))
+    model = Model(terms, (lexicon.ratio * np.minimum(1.0, np.log2(1 + lexicon.toxic) / 4)).to_numpy(), build_automaton(terms, MODEL_FUZZY_LENGTH, swaps=True))
     sample = rows.sample(min(1.0, FITTED_ROWS / max(1, n_toxic + n_other)), seed=11)
     shared = sample.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON_TERMS
 
