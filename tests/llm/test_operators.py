@@ -362,6 +362,19 @@ def test_toxicity_disguised_terms(spark):
     assert np.allclose(model.features(["idiot-like", "idiot5"])[:, 0], model.features(["idiot like", "idiot"])[:, 0])
 
 
+def test_toxicity_keeps_all_terms(spark, monkeypatch):
+    terms = sorted({w for w in words_of(9, 90).split() if len(w) > 3})
+    rows = [(i, words_of(i, 40).upper().translate(str.maketrans("ABCDEFGHIJ", "klmnopqrst")) + (" " + " ".join(terms[i % 7 :: 3]) if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(600)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    texts = [t for _, t, _ in rows[:40]] + terms + [t[:-1] + "z" for t in terms]
+    whole = toxicity.train(table)
+    monkeypatch.setattr(toxicity, "LEXICON_TERMS", 5)
+    small = toxicity.train(table)
+    assert len(whole.terms) > 20 and small.terms == whole.terms and len(small.files) > 3
+    assert np.allclose(small.features(texts), whole.features(texts)) and np.allclose(small.curve, whole.curve)
+    assert np.allclose([r.score for r in toxicity.score(table, small).orderBy("doc_id").collect()], whole.scores([t for _, t, _ in rows]))
+
+
 def test_toxicity_scores(spark, none):
     rows = [(i, words_of(i, 40) + (" you idiot and stupid moron" if i % 4 == 0 else ""), int(i % 4 == 0)) for i in range(300)]
     table = spark.createDataFrame(rows, "doc_id long, text string, toxic int")

@@ -13,21 +13,24 @@ other matches near by for more.  A logistic curve, fitted on a bounded sample, g
 
 from __future__ import annotations
 
+import pickle
 import unicodedata
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import code_points, steps, stored
+from .common import code_points, shared_folder, steps, stored
 from .language import held_out
 
-#: Most terms of the lexicon, those of highest score; bounds what is broadcast.
-LEXICON_TERMS = 2000
+#: Terms of one automaton, about, and its letters at most; a larger lexicon is held in several, which a task
+#: reads from the shared folder and runs one by one. All terms are kept at any size.
+LEXICON_TERMS, LEXICON_LETTERS = 2000, 40_000
 #: Least number of toxic documents with a term, least log-ratio of its shares in toxic and other documents, and
 #: least log-likelihood statistic, so that rare words don't become terms by chance.
 LEAST_DOCS, LEAST_RATIO, LEAST_EVIDENCE = 3, 2.0, 18.0
@@ -206,19 +209,103 @@ def build_automaton(terms: list[str], fuzzy: int = FUZZY_LENGTH, swaps: bool = F
 
 
 @dataclass
-class Model:
+class Lexicon:
+    """Terms in order of strength, their weights and their automaton."""
+
     terms: list[str]
     weight: np.ndarray
     automaton: Automaton
+
+
+def _lexicon(table: pa.Table) -> Lexicon:
+    terms, ratio, toxic = table.column("word").to_pylist(), table.column("ratio").to_numpy(), table.column("toxic").to_numpy()
+    return Lexicon(terms, ratio * np.minimum(1.0, np.log2(1 + toxic) / 4), build_automaton(terms, MODEL_FUZZY_LENGTH, swaps=True))
+
+
+def _chunks(words: list[str]) -> Iterator[tuple[int, int]]:
+    """Slices of at most LEXICON_TERMS words and LEXICON_LETTERS letters, or one word."""
+    begin = letters = 0
+    for i, word in enumerate(words):
+        if i > begin and (i - begin >= LEXICON_TERMS or letters + len(word) > LEXICON_LETTERS):
+            yield begin, i
+            begin, letters = i, 0
+        letters += len(word)
+    if begin < len(words):
+        yield begin, len(words)
+
+
+def _lexicon_files(spark: SparkSession, top: DataFrame, many: int) -> tuple[str, list[str]]:
+    """Folder and files of the lexicon in order of strength, each written by a task under a name of its own."""
+    folder = f"{shared_folder(spark)}/lexicon-{uuid.uuid4().hex}"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, path = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            words = batch.column("word").to_pylist()
+            for a, b in _chunks(words):
+                name = f"{uuid.uuid4().hex}.pickle"
+                store.create_dir(path, recursive=True)
+                with store.open_output_stream(f"{path}/{name}") as sink:
+                    sink.write(pickle.dumps(_lexicon(pa.Table.from_batches([batch.slice(a, b - a)]))))
+                yield pa.RecordBatch.from_pydict({"rank": [batch.column("rank")[a].as_py()], "word": [words[a]], "name": [name]})
+
+    order = [F.desc("rank"), F.asc("word")]
+    dealt = top.repartitionByRange(-(-many // LEXICON_TERMS), *order).sortWithinPartitions(*order)
+    return folder, [r["name"] for r in stored(dealt.mapInArrow(run, "rank double, word string, name string"), "lexicons").orderBy(*order).collect()]  # one row per file
+
+
+@dataclass
+class Model:
+    """A lexicon, or the folder and files of a large one in order of strength; and the logistic curve."""
+
+    lexicon: Lexicon | None
+    folder: str = ""
+    files: tuple[str, ...] = ()
     curve: tuple[float, float, float] = (-4.0, 1.0, 1.0)
 
+    def lexicons(self) -> Iterator[Lexicon]:
+        if self.lexicon is not None:
+            yield self.lexicon
+        if self.files:
+            from pyarrow import fs
+
+            store, path = fs.FileSystem.from_uri(self.folder)
+            for name in self.files:
+                with store.open_input_file(f"{path}/{name}") as source:
+                    yield pickle.loads(source.read())
+
+    @property
+    def terms(self) -> list[str]:
+        return [t for x in self.lexicons() for t in x.terms]
+
+    def _run(self, codes: np.ndarray, spans: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """For each list of (begin, end): accepted places, numbers of their terms, weights, and whether with an edit.
+
+        As with one automaton, a term without an edit is accepted first, then the strongest.
+        """
+        base, found = 0, [[(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool))] for _ in spans]
+        for x in self.lexicons():
+            for own, (begin, end) in zip(found, spans, strict=True):
+                at, term, edited = x.automaton.run(codes, begin, end)
+                own.append((at, term.astype(np.int64) + base, x.weight[term], edited))
+            base += len(x.terms)
+        out = []
+        for own in found:
+            at, term, weight, edited = (np.concatenate(c) for c in zip(*own, strict=True))
+            order = np.lexsort((term, edited, at))
+            order = order[np.diff(at[order], prepend=-1) != 0]
+            out.append((at[order], term[order], weight[order], edited[order]))
+        return out
+
     def features(self, texts: list[str]) -> np.ndarray:
         """Per text: weighted sum of its matches, and that sum per square root of hundred words."""
         codes, begin, end, counts = split_words(texts)
         out = np.zeros((len(texts), 2))
         if not len(begin):
             return out
-        first_word, last_word, lo_, hi_, term, edited = self._matches(texts, codes, begin, end)
+        first_word, last_word, lo_, hi_, term, weight, edited = self._matches(texts, codes, begin, end)
         if not len(term):
             return out
         raw = "\n".join(texts) + "\n"
@@ -229,7 +316,7 @@ class Model:
         for i in range(len(term)):
             w, v, t, own, till = int(first_word[i]), int(last_word[i]), int(owner[i]), int(lo_[i]), int(hi_[i])
             lo, hi = max(int(first[t]), w - CONTEXT), min(int(first[t] + counts[t]), v + CONTEXT + 1)
-            value = float(self.weight[term[i]]) * (EDITED if edited[i] else 1.0)
+            value = float(weight[i]) * (EDITED if edited[i] else 1.0)
             before, after = raw[max(0, own - 1) : own], raw[till : till + 1]
             if before and after and before in QUOTES and after in QUOTES or _inside_quotes(raw[begin[lo] : own], raw[till : end[hi - 1]]):
                 value *= QUOTED
@@ -243,21 +330,21 @@ class Model:
         return out
 
     def _matches(self, texts: list[str], codes: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
-        """First and last word, begin and end, term and whether with an edit of every match, in order of the text.
+        """First and last word, begin and end, term, weight and whether with an edit of every match, in order of the text.
 
         Joined words count only where neither of the two matches by itself, windows only without an edit.
         """
-        word, term, edited = self.automaton.run(codes, begin, end)
-        found = [(word, word, begin[word], end[word], term, edited)]
         pair = joined_words(texts, begin, end)
-        at, term, edited = self.automaton.run(codes, begin[pair], end[pair + 1])
+        lo, hi, within = windows(codes, begin, end)
+        alone, joined, windowed = self._run(codes, [(begin, end), (begin[pair], end[pair + 1]), (lo, hi)])
+        word, term, weight, edited = alone
+        found = [(word, word, begin[word], end[word], term, weight, edited)]
+        at, term, weight, edited = joined
         ok = ~np.isin(pair[at], word) & ~np.isin(pair[at] + 1, word)
         first = pair[at][ok]
-        found.append((first, first + 1, begin[first], end[first + 1], term[ok], edited[ok]))
-        lo, hi, within = windows(codes, begin, end)
-        at, term, edited = self.automaton.run(codes, lo, hi)
-        at, term = at[~edited], term[~edited]
-        found.append((within[at], within[at], lo[at], hi[at], term, np.zeros(len(at), bool)))
+        found.append((first, first + 1, begin[first], end[first + 1], term[ok], weight[ok], edited[ok]))
+        at, term, weight, edited = (c[~windowed[3]] for c in windowed)
+        found.append((within[at], within[at], lo[at], hi[at], term, weight, edited))
         columns = [np.concatenate(x) for x in zip(*found, strict=True)]
         order = np.lexsort((columns[3], columns[2]))
         return tuple(c[order] for c in columns)
@@ -308,11 +395,15 @@ def train(labelled: DataFrame) -> Model:
     rest = F.when(F.col("other") > 0, F.col("other") * F.log(F.col("other") / (many * max(1 - share, 1e-9)))).otherwise(0.0)
     evidence = 2 * (F.col("toxic") * F.log(F.col("toxic") / (many * max(share, 1e-9))) + rest)
     top = counted.where(F.col("toxic") >= LEAST_DOCS).withColumn("ratio", ratio).where((F.col("ratio") >= LEAST_RATIO) & (evidence >= LEAST_EVIDENCE))
-    lexicon = top.orderBy(F.desc(F.col("ratio") * F.sqrt("toxic")), "word").limit(LEXICON_TERMS).toPandas()
-    terms = lexicon.word.tolist()
-    model = Model(terms, (lexicon.ratio * np.minimum(1.0, np.log2(1 + lexicon.toxic) / 4)).to_numpy(), build_automaton(terms, MODEL_FUZZY_LENGTH, swaps=True))
+    top = stored(top.select("word", "ratio", "toxic", (F.col("ratio") * F.sqrt("toxic")).alias("rank")), "terms")
+    sizes = top.agg(F.count("*"), F.coalesce(F.sum(F.length("word")), F.lit(0))).first()
+    if sizes[0] <= LEXICON_TERMS and sizes[1] <= LEXICON_LETTERS:
+        model = Model(_lexicon(top.orderBy(F.desc("rank"), "word").toArrow()))
+    else:
+        folder, files = _lexicon_files(rows.sparkSession, top, sizes[0])
+        model = Model(None, folder, tuple(files))
     sample = rows.sample(min(1.0, FITTED_ROWS / max(1, n_toxic + n_other)), seed=11)
-    shared = sample.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON_TERMS
+    shared = sample.sparkSession.sparkContext.broadcast(model)  # a lexicon beyond LEXICON_TERMS is names of files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -344,7 +435,7 @@ def _fitted(sample: pd.DataFrame) -> tuple[float, float, float]:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score (0 to 1) of every document; null text counts as empty and gets the lowest score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by LEXICON_TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a lexicon beyond LEXICON_TERMS is names of files
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
