@@ -313,6 +313,21 @@ def test_licenses_inherit(spark):
     assert got == sorted([("a/LICENSE", "MIT", "own"), ("a/b/c/x.py", "GPL-3.0", "inherited"), ("a/b/LICENSE", "GPL-3.0", "own"), ("a/y.py", "MIT", "inherited"), ("a/y.py", "MIT", "inherited"), ("z/q.py", None, None), ("z/h.py", "Apache-2.0", "own"), ("", None, None)], key=str)
 
 
+def test_license_statements(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a\ncopy of this software " + words_of(8, 150)
+    bsd = "Copyright X.\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted. "
+    gnu = "it under the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, either version {} of the License"
+    want = [
+        ("// SPDX-License-Identifier: BSD-2-Clause\ncode", "BSD-2-Clause"), (gnu.format("", "2"), "GPL-2.0"), (gnu.format("Lesser ", "2.1"), "LGPL-2.1"), (gnu.format("Affero ", "3"), "AGPL-3.0"),
+        ("GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n" + words_of(9, 300), "GPL-3.0"), ("GNU General Public License, version 2", "GPL-2.0"), ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0"),
+        ("Copyright 2020 John Smith. Released under the MIT License.", "MIT"), (mit, "MIT"), (bsd, "BSD-2-Clause"), (bsd + "Neither the name of X", "BSD-3-Clause"), ("Mozilla Public License Version 2.0\n" + words_of(7, 90), "MPL-2.0"),
+        ("Apache License\n  Version 2.0, January 2004", "Apache-2.0"), ("ISC License\n", "ISC"), ("Licensed under CC BY-SA 4.0", "CC-BY-SA-4.0"), (licenses.TEMPLATES["CC-BY-NC-4.0"], "CC-BY-NC-4.0"), ("the general public, version 2", None), ("He had no license.", None),
+    ]
+    rows = [(f"f{i}/f", t) for i, (t, _) in enumerate(want)] + [("d/LICENSE", mit), ("d/x.py", "code")]
+    got = {r.path: r.license for r in licenses.inherit(licenses.scan(spark.createDataFrame(rows, "path string, text string"))).collect()}
+    assert {f"f{i}/f": got[f"f{i}/f"] for i in range(len(want))} == {f"f{i}/f": n for i, (_, n) in enumerate(want)} and got["d/x.py"] == "MIT"
+
+
 def distance(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
