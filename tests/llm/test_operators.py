@@ -306,6 +306,21 @@ def test_neighbours_small(spark):
     assert hits >= 0.9 * 20 * 15 and set(got) == set(range(0, 300, 20))
 
 
+def test_neighbours_recall_with_hundreds_of_lists(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(20_000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    got = {}
+    for r in neighbours.report(spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = 0
+    for q in range(0, 20_000, 20):
+        x = v @ v[q]
+        x[q] = -2
+        hits += len(got[q] & set(np.argpartition(-x, 20)[:20].tolist()))
+    assert len(got) == 1000 and hits >= 0.9 * 20 * 1000, hits / 20_000
+
+
 def test_licenses_inherit(spark):
     text = licenses.TEMPLATES["MIT"]
     rows = [("a/LICENSE", text), ("a/b/c/x.py", "code"), ("a/b/LICENSE", licenses.TEMPLATES["GPL-3.0"]), ("a/y.py", None), ("z/q.py", "nothing"), ("z/h.py", licenses.TEMPLATES["Apache-2.0"] + "\n" + words_of(5, 400)), (None, "x"), ("a/y.py", None)]
