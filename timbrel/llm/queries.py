@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import arrow_output, chat, decontaminate, language, licenses, near_dedup, neighbours, packing, personal, toxicity
+from . import arrow_output, chat, decontaminate, language, licenses, merkle, mixing, near_dedup, neighbours, packing, personal, prefix_trie, toxicity
 from .common import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,7 +20,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_minhash_near_dedup": lambda spark, d: near_dedup.classes(tables(spark, d, "documents")),
     "op9_license_scan": lambda spark, d: licenses.report(tables(spark, d, "documents")),
     "op10_toxicity": lambda spark, d: toxicity.report(tables(spark, d, "documents"), tables(spark, d, "labels")),
+    "op11_prefix_trie": lambda spark, d: prefix_trie.report(tables(spark, d, "conversations")),
+    "op12_merkle_manifest": lambda spark, d: merkle.report(tables(spark, d, "documents")),
+    "op13_source_mixing": lambda spark, d: mixing.report(tables(spark, d, "documents")),
 }
+#: CRC-32 of a decimal number in SQL, before the last inversion, and a document's leaf.
+_CRC = """list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda z: 0::BIGINT)), lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))"""
+
+
+def _leaf(n_chars: str) -> str:
+    parts = [f"coalesce(strlen(({c})::VARCHAR)::VARCHAR || ':' || ({c})::VARCHAR, '-')" for c in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(parts)})"
+
+
 ORACLES: dict[str, str] = {
     # what the output must hold, from the input alone: escaped texts between the template's marks
     "op5_chat_format": r"""
@@ -37,5 +50,95 @@ SELECT conv_id, count(*) AS n_turns,
     + length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n'))
     + length(replace(replace(text, '\', '\\'), '<|', '<\|'))) AS BIGINT) AS formatted_chars
 FROM rows GROUP BY conv_id
+""",
+    # prefixes as lists of turn digests; each node's subtree by the prefixes of its smallest member
+    "op11_prefix_trie": rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, list({{'digest': md5(role || chr(10) || text), 'words': len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))}}
+    ORDER BY turn NULLS FIRST, md5(strlen(role)::VARCHAR || ':' || role || text)) AS own FROM turns GROUP BY conv_id
+), hashed AS (
+  SELECT conv_id, own, xor({_CRC.format(x="conv_id")}, 4294967295) % 4 AS h FROM own
+), rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.own[:a.h], []), a.own[a.h + 1:]) AS t
+  FROM hashed a LEFT JOIN own b ON b.conv_id = a.conv_id - a.conv_id % 20
+), prefixes AS (
+  SELECT conv_id, len(t) AS len, d, list_transform(t[:d], lambda x: x.digest) AS prefix, CASE WHEN d = 0 THEN 0 ELSE t[d].words END AS words
+  FROM rebuilt, unnest(range(len(t) + 1)) AS u(d)
+), node AS (
+  SELECT d, prefix, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE len = d), '')) AS ends
+  FROM prefixes GROUP BY d, prefix
+), children AS (
+  SELECT d - 1 AS d, prefix[:d - 1] AS prefix, count(*) AS n FROM node WHERE d > 0 GROUP BY ALL
+), tree AS (
+  SELECT node.*, coalesce(children.n, 0) AS n_children FROM node LEFT JOIN children USING (d, prefix)
+), below AS (
+  SELECT p.d, p.prefix, count(*) FILTER (WHERE v.n_children = 0) AS n_leaves, sum((v.n_convs - 1) * v.words) AS saved
+  FROM tree v JOIN prefixes p ON p.conv_id = v.conv_id AND p.d <= v.d GROUP BY ALL
+)
+SELECT t.conv_id, t.d AS depth, p.conv_id AS parent_conv_id, t.n_convs, t.n_children, b.n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, t.ends AS ends_sha256
+FROM tree t JOIN below b USING (d, prefix) LEFT JOIN tree p ON p.d = t.d - 1 AND p.prefix = t.prefix[:t.d - 1]
+""",
+    # levels of the trees one by one; a leaf's node at a level is its place shifted by the level
+    "op12_merkle_manifest": rf"""
+WITH RECURSIVE docs AS (
+  SELECT *, {_leaf("n_chars")} AS leaf, {_leaf("n_chars + 1")} AS changed, xor({_CRC.format(x="doc_id")}, 4294967295) % 7 = 0 AS tampered FROM documents
+), leaves AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i FROM docs
+), level AS (
+  SELECT coalesce('=' || lang, '') AS tree, 0 AS h, i, leaf AS node, count(*) OVER (PARTITION BY lang) AS n FROM leaves
+  UNION ALL
+  SELECT tree, h + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM level WHERE n > 1 GROUP BY tree, h, i // 2
+), subs AS (
+  SELECT tree, node, row_number() OVER (ORDER BY tree) - 1 AS i FROM level WHERE n = 1
+), top AS (
+  SELECT 0 AS h, i, node, count(*) OVER () AS n FROM subs
+  UNION ALL
+  SELECT h + 1, i // 2, sha256(string_agg(node, '' ORDER BY i)), (any_value(n) + 1) // 2 FROM top WHERE n > 1 GROUP BY h, i // 2
+), up AS (
+  SELECT l.doc_id, l.leaf, l.i, l.tree, list(coalesce((CASE WHEN s.i < v.i THEN 'L' ELSE 'R' END) || s.node, '') ORDER BY v.h) AS way
+  FROM (SELECT *, coalesce('=' || lang, '') AS tree FROM leaves) l JOIN level v ON v.tree = l.tree AND v.i = l.i >> v.h AND v.n > 1
+  LEFT JOIN level s ON s.tree = v.tree AND s.h = v.h AND s.i = xor(v.i, 1) GROUP BY ALL
+), over AS (
+  SELECT q.tree, q.node AS subroot, list(coalesce((CASE WHEN s.i < v.i THEN 'L' ELSE 'R' END) || s.node, '') ORDER BY v.h) AS way
+  FROM subs q JOIN top v ON v.i = q.i >> v.h AND v.n > 1 LEFT JOIN top s ON s.h = v.h AND s.i = xor(v.i, 1) GROUP BY ALL
+), proved AS (
+  SELECT l.doc_id, l.leaf, CASE WHEN l.tampered THEN l.changed ELSE l.leaf END AS used, q.node AS subroot,
+    list_concat(coalesce(u.way, []), coalesce(o.way, [])) AS way, (SELECT node FROM top WHERE n = 1) AS root
+  FROM leaves l JOIN subs q ON q.tree = coalesce('=' || l.lang, '')
+  LEFT JOIN up u ON u.tree = q.tree AND u.i = l.i LEFT JOIN over o ON o.tree = q.tree
+), done AS (
+  SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(way, lambda s: s[2:]), '')) AS proof_sha256,
+    list_reduce(list_prepend(used, way), lambda a, s: sha256(CASE WHEN s[:1] = 'L' THEN s[2:] || a WHEN s[:1] = 'R' THEN a || s[2:] ELSE a END)) AS folded_root
+  FROM proved
+)
+SELECT *, folded_root = root AS verified FROM done
+""",
+    # sources fill up in the order of size by weight; the first that stays open sets the level
+    "op13_source_mixing": r"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-
+]+')), 0) AS BIGINT) AS size FROM documents
+), sources AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS source_size, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM sized GROUP BY source
+), filling AS (
+  SELECT *, sum(source_size) OVER () * 3 - 4 * coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS rest,
+    sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS weights, row_number() OVER o AS k
+  FROM sources WINDOW o AS (ORDER BY source_size / w, source NULLS LAST)
+), level AS (
+  SELECT rest, weights, k FROM filling WHERE rest * w <= 4 * source_size * weights ORDER BY k LIMIT 1
+), targets AS (
+  SELECT f.source, f.source_size, CASE WHEN f.k < l.k THEN 2.0::DOUBLE * f.source_size ELSE CAST(f.w * l.rest AS DOUBLE) / CAST(2 * l.weights AS DOUBLE) END AS target
+  FROM filling f, level l
+), ordered AS (
+  SELECT doc_id, size, source_size, target, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY md5('mix:' || coalesce(doc_id::VARCHAR, '')), doc_id NULLS FIRST, size
+    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, CAST(floor(target) AS BIGINT) AS budget
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, CAST(CASE WHEN source_size = 0 THEN 0 ELSE
+  budget // source_size * size + greatest(0, least(size, budget % source_size - before)) END AS BIGINT) AS taken
+FROM ordered
 """,
 }
