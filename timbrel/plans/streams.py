@@ -38,15 +38,29 @@ def sensors(v):
     return v.readings.select("job_id", (F.col("event_id") % 3).alias("sensor"), F.col("event_id").alias("sample_id"), "t", "value")
 
 
-@query("str3_baseline_triggers", """
+BASELINE = """
 WITH a AS (SELECT job_id, event_id % 3 AS sensor, event_id, value AS v, row_number() OVER w AS i FROM readings WINDOW w AS (PARTITION BY job_id, event_id % 3 ORDER BY t, event_id)),
 m AS (SELECT y.job_id, y.sensor, y.event_id, y.v, sum(CASE WHEN x.i = 1 THEN 1.0 ELSE 0.1 END * power(0.9, y.i - 1 - x.i) * x.v) AS mean FROM a y JOIN a x ON x.job_id = y.job_id AND x.sensor = y.sensor AND x.i < y.i GROUP BY 1, 2, 3, 4)
-SELECT job_id, sensor, event_id AS sample_id, round(least(1.0, abs(v - mean) / 60), 6) AS confidence FROM m WHERE abs(v - mean) >= 60""")
+SELECT job_id, sensor, event_id AS sample_id, round(least(1.0, abs(v - mean) / 60), 6) AS confidence FROM m WHERE abs(v - mean) >= 60"""
+
+
+@query("str3_baseline_triggers", BASELINE)
 def _(v):
     return st.baseline_triggers(sensors(v), 60.0).select("job_id", "sensor", "sample_id", F.round("confidence", 6).alias("confidence"))
 
 
-def _frames(v, fields):
+@query("str3_baseline_triggers_stream", BASELINE)
+def _(v):
+    from .rules import ORIGIN
+    from .rules import arriving as readings
+
+    r = readings(v).withColumn("sensor", F.col("sample_id") % 3)
+    d = r.select("job_id", "sensor", "sample_id", ((F.unix_millis("ts") - ORIGIN) / 1000).alias("t"), "value")
+    got = st.run_available(st.baseline_triggers_stream(d, 60.0), "baseline")
+    return got.select("job_id", "sensor", "sample_id", F.round("confidence", 6).alias("confidence"))
+
+
+def half_second_frames(v, fields):
     """Sensor readings of each half second as one frame."""
     r = sensors(v).withColumn("t", F.floor(F.col("t") * 2) / 2).groupBy("job_id", "t", "sensor").agg(F.avg("value").alias("value"))
     r = r.withColumns({"confidence": (F.col("sensor") + 1) / 4.0, "hint": F.when(F.col("sensor") == 0, "health").otherwise("map")})
@@ -55,7 +69,7 @@ def _frames(v, fields):
 
 @query("str4_idle_glances")
 def _(v):
-    f = _frames(v, ("sensor", "confidence", "value"))
+    f = half_second_frames(v, ("sensor", "confidence", "value"))
     fired = F.transform(F.filter("sensors", lambda s: s["value"] > 200), lambda s: s["sensor"])
     return st.idle_glances(f.withColumn("fired", fired), 5.0)
 
@@ -67,12 +81,6 @@ def _(v):
     return st.near_peaks(f, v.readings.where("kind = 'purchase'"), 1.0)
 
 
-@query("str5_trigger_bus")
-def _(v):
-    f = _frames(v, ("sensor", "value", "confidence", "hint"))
-    return st.trigger_bus(st.near_peaks(f, v.readings.where("kind = 'purchase'"), 1.0), 60.0)
-
-
 LIVE = """
 WITH s AS (SELECT job_id, start, "end" AS e, CASE WHEN contains(text, '!') THEN 8 ELSE 0 END + CASE WHEN contains(text, '?') THEN 6 ELSE 0 END + 1 AS p FROM segments), w AS (SELECT s.*, unnest([floor(start / 20), floor(start / 20) - 1]) * 20 AS ws FROM s)
 SELECT job_id, CAST(ws AS BIGINT) AS w_start, CAST(least(100, sum(p)) AS BIGINT) AS transcript, count(*) AS n FROM w WHERE start < ws + 30 AND e <= ws + 30 GROUP BY 1, 2"""
