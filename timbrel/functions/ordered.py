@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -249,7 +250,8 @@ def fold_sorted(
         for pdf in batches:
             out: list[tuple] = []
             for row in zip(*(pdf[c].tolist() for c in cols)):
-                key = tuple(row[i] for i in at)
+                # pandas shows a missing key as NaN, which differs from itself
+                key = tuple(None if row[i] != row[i] else row[i] for i in at)
                 if key != current:
                     if current is not None and finish is not None:
                         out.extend(finish(state))
@@ -265,28 +267,85 @@ def fold_sorted(
     )
 
 
-def keep_spaced(df: DataFrame, keys: Sequence[str], t: str, gap: float, order: Sequence[str], seconds: float = 60.0, strict: bool = False) -> DataFrame:
-    """Greedy thinning: keep a row when it is ``gap`` away from the last KEPT row.
+#: A block of greedy thinning is this many gaps long.
+GAPS = 64
+
+
+def _next_far(x: np.ndarray, last: np.ndarray, gap: float, strict: bool) -> np.ndarray:
+    """For each last kept time the index of the first of the sorted times that is far enough."""
+    at = np.searchsorted(x, last + gap, "right" if strict else "left")
+    # a sum rounds otherwise than the difference that decides
+    for step in (-1, 1):
+        seen = np.clip(at + min(step, 0), 0, len(x) - 1)
+        far = (x[seen] - last > gap) if strict else (x[seen] - last >= gap)
+        at = np.where((at > 0) & far, at - 1, at) if step < 0 else np.where((at < len(x)) & ~far, at + 1, at)
+    return at
 
-    A row that far from its predecessor is kept whatever happened before, so the
-    sequence is cut there and each run is thinned on its own.
-    """
 
-    def far(a: Column, b: Column) -> Column:
-        return (b - a) > gap if strict else (b - a) >= gap
+def _last_kept(x: np.ndarray, start: float, gap: float, strict: bool) -> tuple[list[float], list[float]]:
+    """What a block does to the last kept time: its times that can be the first one kept, and the last one kept then."""
+    after = np.maximum(_next_far(x, x, gap, strict), np.arange(len(x)) + 1)
+    last = x.copy()
+    for i in range(len(x) - 1, -1, -1):
+        if after[i] < len(x):
+            last[i] = last[after[i]]
+    n = min(len(x), int(np.searchsorted(x, start + gap, "right")) + 1)
+    return x[:n].tolist(), last[:n].tolist()
 
-    runs = islands(df, keys, order, time_block(t, seconds), [t], lambda p, c: far(p[t], c[t]), "_run_id")
-    cols = runs.columns
-    ti = cols.index(t)
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema.fields)
 
-    def step(last, row):
-        v = row[ti]
-        if last is None or ((v - last) > gap if strict else (v - last) >= gap):
-            return v, [row]
-        return last, []
+def _kept(x: np.ndarray, entry: float | None, gap: float, strict: bool) -> list[int]:
+    """Indexes of the times of a block that are kept, given the last time kept before it."""
+    at = 0 if entry is None or entry != entry else int(_next_far(x, np.array([entry]), gap, strict)[0])
+    after, out = np.maximum(_next_far(x, x, gap, strict), np.arange(len(x)) + 1), []
+    while at < len(x):
+        out.append(at)
+        at = int(after[at])
+    return out
 
-    return fold_sorted(runs, [*keys, "_run_id"], order, schema, lambda: None, step).drop("_run_id")
+
+def keep_spaced(df: DataFrame, keys: Sequence[str], t: str, gap: float, order: Sequence[str], seconds: float = 60.0, strict: bool = False) -> DataFrame:
+    """Greedy thinning: keep a row when it is ``gap`` away from the last KEPT row.
+
+    A row is followed by the first one that is far enough from it, so a block of a key is a map
+    from the last time kept before it to the last time kept in it, which the few rows in its first
+    gap describe.  Blocks make their maps side by side, one pass over the maps of a key (a
+    sixty-fourth of its rows, if they lie evenly) gives each block its entry, and blocks choose
+    their rows side by side.  Of rows at one time the first by ``order`` stands for all.  Rows
+    without a time are left out.  A gap of 0 keeps one row of each time.
+    """
+    keys, cols = list(keys), df.columns
+    width = max(GAPS * float(gap), 1e-3)
+    rest = [c for c in cols if c not in keys and c != t]
+    first = df.where(F.col(t).isNotNull()).groupBy(*keys, t).agg(F.min_by(F.struct(F.lit(0).alias("_"), *rest), F.struct(*order)).alias("_row"))
+    cells = first.groupBy(*keys, F.floor(F.col(t) / width).alias(BLOCK)).agg(F.sort_array(F.collect_list(F.struct(F.col(t).cast("double").alias("at"), F.col(t).alias("t"), "_row"))).alias("_rows"))
+    cells = cut_lineage(cells)
+    times = F.col("_rows.at")
+
+    @F.pandas_udf("struct<first:array<double>,last:array<double>>")
+    def mapped(x: pd.Series, start: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_last_kept(np.asarray(v), s, gap, strict) for v, s in zip(x, start)], columns=["first", "last"])
+
+    @F.pandas_udf("array<int>")
+    def chosen(x: pd.Series, entry: pd.Series) -> pd.Series:
+        return pd.Series([_kept(np.asarray(v), e, gap, strict) for v, e in zip(x, entry)])
+
+    maps = cells.select(*keys, BLOCK, mapped(times, F.col(BLOCK) * width).alias("_map")).select(*keys, BLOCK, "_map.first", "_map.last")
+    own = [maps.columns.index(k) for k in keys]
+
+    def step(entry, row):
+        heads, tails = row[-2], row[-1]
+        at = 0 if entry is None else int(_next_far(np.asarray(heads), np.array([entry]), gap, strict)[0])
+        return (tails[at] if at < len(heads) else entry), [(*(row[i] for i in own), row[-3], entry)]
+
+    kinds = [f"{k} {df.schema[k].dataType.simpleString()}" for k in keys]
+    entries = fold_sorted(maps, keys, [BLOCK], ", ".join([*kinds, f"{BLOCK} long", "_entry double"]), lambda: None, step)
+    named = entries.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col(BLOCK).alias("_k_blk"), "_entry")
+    same = F.col(BLOCK) == F.col("_k_blk")
+    for k in keys:
+        same &= F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    hit = cells.join(named, same).withColumn("_at", chosen.asNondeterministic()(times, F.col("_entry")))
+    out = hit.select(*keys, F.explode(F.transform("_at", lambda i: F.get("_rows", i))).alias("_r"))
+    return out.select(*[F.col(c) if c in keys else F.col("_r.t").alias(c) if c == t else F.col(f"_r._row.`{c}`").alias(c) for c in cols])
 
 
 def ema(df: DataFrame, keys: Sequence[str], order: Sequence[str], block: Column, cols: dict[str, str], alpha: float, reverse: bool = False) -> DataFrame:

@@ -39,11 +39,74 @@ def _time_clusters(clips: DataFrame, keys: list[str], slack: float) -> DataFrame
     return islands(d, keys, order, time_block("start"), ["start", "_peak"], lambda p, c: c["start"] - p["_peak"] >= slack, "_cluster").drop("_peak")
 
 
-def _suppress(d: DataFrame, keys: list[str], order: list[str], clash, reach: float) -> DataFrame:
-    """Greedy pass in rank order per time cluster; returns the kept clips' keys.
+#: Groups of more touching clips are decided in rounds; at most so many rounds before the ordered pass takes the rest.
+DENSE, ROUNDS = 20_000, 24
 
-    Kept clips are indexed by 30 s cells, so a candidate is compared only with
-    kept clips near it.
+
+def _suppress(d: DataFrame, keys: list[str], order: list[str], clash, slack: float, meets, dense: int = DENSE) -> DataFrame:
+    """Greedy suppression in rank order; returns the kept clips' keys.
+
+    Clips that can touch each other are a group, and small groups go through an ordered pass
+    each.  Of larger ones, those are decided first that no undecided better clip clashes with,
+    in rounds; what they leave falls into smaller groups.  Both give the clips that are kept in
+    rank order one by one: a clip is kept when no better kept clip clashes with it.
+    """
+    order = [*order, "clip_id"]
+    groups = _time_clusters(d, keys, slack)
+    large = cut_lineage(groups.groupBy(*keys, "_cluster").agg(F.count("*").alias("_n")).where(F.col("_n") > dense).drop("_n"))
+    if large.isEmpty():
+        return _in_order(groups, keys, order, clash, slack)
+    named = large.select(*[F.col(c).alias(f"_l_{c}") for c in large.columns])
+    same = F.lit(True)
+    for c in large.columns:
+        same &= F.col(c).eqNullSafe(F.col(f"_l_{c}"))
+    kept, rest = _in_rounds(groups.join(named, same, "left_semi").drop("_cluster"), keys, order, meets, slack)
+    few = _in_order(groups.join(named, same, "left_anti"), keys, order, clash, slack)
+    left = _in_order(_time_clusters(rest, keys, slack), keys, order, clash, slack)
+    return few.unionByName(kept).unionByName(left)
+
+
+def _in_rounds(clips: DataFrame, keys: list[str], order: list[str], meets, reach: float, width: float = 30.0) -> tuple[DataFrame, DataFrame]:
+    """Clips kept by rounds of local winners, and the clips that are still undecided then.
+
+    The best undecided clip of a cell (a stretch of time) wins when no better undecided clip that it
+    clashes with is anywhere; what clashes with a winner is out.  Every clip meets the best ones of
+    the cells near it only, so a round costs a few comparisons a clip however many share a cell.
+    """
+    own = ["start", "end", "duration"]
+    rank = F.struct(*order).alias("rank")
+    todo = cut_lineage(clips.select(*keys, "clip_id", *own, rank, *order[:-1]))
+    kept = todo.select("job_id", "clip_id").limit(0)
+    cells = F.explode(F.sequence(F.floor((F.col("start") - reach) / width), F.floor((F.col("end") + reach) / width))).alias("cell")
+    for _ in range(ROUNDS):
+        best = todo.groupBy(*keys, F.floor(F.col("start") / width)).agg(F.min_by(F.struct("clip_id", *own, "rank"), "rank").alias("b")).select(*keys, "b")
+        best = best.select(*[F.col(k).alias(f"_{k}") for k in keys], "b", cells_of("b", reach, width))
+        near = todo.select(*keys, F.struct("clip_id", *own, "rank").alias("a"), cells)
+        same = F.col("cell") == F.col("_cell")
+        for k in keys:
+            same &= F.col(k).eqNullSafe(F.col(f"_{k}"))
+        pairs = near.join(best, same).where((F.col("a.clip_id") != F.col("b.clip_id")) & meets(F.col("a"), F.col("b")))
+        pairs = cut_lineage(pairs.select("job_id", F.col("a.clip_id").alias("clip_id"), F.col("b.clip_id").alias("best"), (F.col("a.rank") < F.col("b.rank")).alias("over")).distinct())
+        beaten = pairs.where("over").select("job_id", F.col("best").alias("clip_id")).distinct()
+        won = best.select(F.col("_job_id").alias("job_id"), F.col("b.clip_id").alias("clip_id")).distinct().join(beaten, KEY, "left_anti")
+        won = cut_lineage(won)
+        out = pairs.join(won.withColumnRenamed("clip_id", "best"), ["job_id", "best"], "left_semi").select("job_id", "clip_id").distinct()
+        kept = kept.unionByName(won)
+        todo = cut_lineage(todo.join(won, KEY, "left_anti").join(out, KEY, "left_anti"))
+        if todo.isEmpty():
+            break
+    return kept, todo.select(*keys, "clip_id", *own, *order[:-1])
+
+
+def cells_of(clip: str, reach: float, width: float) -> Column:
+    """Cells of time in which a clip can meet others."""
+    return F.explode(F.sequence(F.floor((F.col(f"{clip}.start") - reach) / width), F.floor((F.col(f"{clip}.end") + reach) / width))).alias("_cell")
+
+
+def _in_order(d: DataFrame, keys: list[str], order: list[str], clash, reach: float) -> DataFrame:
+    """Greedy pass in rank order per time cluster.
+
+    Kept clips are indexed by 30 s cells, so a candidate is compared only with kept clips near it.
     """
     cols = d.columns
     j, c, s, e, n = (cols.index(x) for x in ("job_id", "clip_id", "start", "end", "duration"))
@@ -64,12 +127,11 @@ def _suppress(d: DataFrame, keys: list[str], order: list[str], clash, reach: flo
     return fold_sorted(d, [*keys, "_cluster"], order, f"job_id {job_type}, clip_id bigint", lambda: defaultdict(list), step)
 
 
-def drop_time_duplicates(clips: DataFrame, limit: float = 0.6) -> DataFrame:
+def drop_time_duplicates(clips: DataFrame, limit: float = 0.6, dense: int = DENSE) -> DataFrame:
     """Drop clips whose time IoU with a better kept clip of the same focus reaches the limit.
 
-    Of exact copies only the best can survive, so copies are reduced before the
-    ordered pass.  Clips clash only where they overlap, so the pass runs per
-    group of overlapping clips.
+    Of exact copies only the best can survive, so copies are reduced before the choice.  Clips clash
+    only where they overlap, so groups of overlapping clips are decided apart.
     """
     rank = F.coalesce("focus_relevance", "viral_score", F.lit(0)).cast("long")
     d = clips.select(*KEY, "start", "end", "duration", F.coalesce("clip_focus", F.lit("")).alias("_focus"), (-rank).alias("_rank"), "position")
@@ -81,11 +143,16 @@ def drop_time_duplicates(clips: DataFrame, limit: float = 0.6) -> DataFrame:
         union = max(a[1], b[1]) - min(a[0], b[0])
         return inter > 0 and union > 0 and inter / union >= limit
 
-    keep = _suppress(_time_clusters(best, ["job_id", "_focus"], 0.0), ["job_id", "_focus"], ["_rank", "position"], clash, 0.0)
+    def meets(a: Column, b: Column) -> Column:
+        inter = F.least(a["end"], b["end"]) - F.greatest(a["start"], b["start"])
+        union = F.greatest(a["end"], b["end"]) - F.least(a["start"], b["start"])
+        return (inter > 0) & (inter / F.when(union > 0, union) >= limit)
+
+    keep = _suppress(best, ["job_id", "_focus"], ["_rank", "position"], clash, 0.0, meets, dense)
     return clips.join(keep, KEY, "left_semi")
 
 
-def drop_overlapping(clips: DataFrame, limit: float = 0.5) -> DataFrame:
+def drop_overlapping(clips: DataFrame, limit: float = 0.5, dense: int = DENSE) -> DataFrame:
     """Drop clips covering more than ``limit`` of the shorter one of a better kept clip, or
     sitting next to it (gap under 5 s) with hardly any extra span.
 
@@ -105,8 +172,17 @@ def drop_overlapping(clips: DataFrame, limit: float = 0.5) -> DataFrame:
         total = a[2] + b[2]
         return gap < 5 and total > 0 and (max(a[1], b[1]) - min(a[0], b[0])) / total < 1.15
 
+    def meets(a: Column, b: Column) -> Column:
+        inter = F.greatest(F.lit(0.0), F.least(a["end"], b["end"]) - F.greatest(a["start"], b["start"]))
+        short = F.least(a["duration"], b["duration"])
+        gap = F.least(F.abs(a["start"] - b["end"]), F.abs(b["start"] - a["end"]))
+        total = a["duration"] + b["duration"]
+        span = F.greatest(a["end"], b["end"]) - F.least(a["start"], b["start"])
+        covers = F.coalesce(inter / F.when(short > 0, short) > limit, F.lit(False))
+        return covers | ((gap < 5) & F.coalesce(span / F.when(total > 0, total) < 1.15, F.lit(False)))
+
     slim = d.select(*KEY, "start", "end", "duration", (-F.col("viral_score")).alias("_rank"), "position")
-    keep = _suppress(_time_clusters(slim, ["job_id"], 5.0), ["job_id"], ["_rank", "position"], clash, 5.0)
+    keep = _suppress(slim, ["job_id"], ["_rank", "position"], clash, 5.0, meets, dense)
     return d.join(keep, KEY, "left_semi").select(*clips.columns)
 
 
