@@ -72,6 +72,10 @@ def test_packing_is_gapless_and_whole(docs, rows):
     assert len(by) <= -(-sum(r.length for r in got) // 1024) + 1
 
 
+def test_packing_of_no_rows(none):
+    assert packing.pack(none).collect() == []
+
+
 def test_packing_plan_against_items():
     rng = np.random.default_rng(0)
     for _ in range(20):

@@ -136,7 +136,7 @@ def place(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """
     per = pieces.groupBy("block", "length").agg(F.count("*").alias("_n"))
     histogram = {r[0]: r[1] for r in per.groupBy("length").agg(F.sum("_n")).collect()}  # at most capacity rows
-    segments = pd.DataFrame(plan_sequences(histogram, capacity), columns=["length", "n", "first", "each", "offset"])
+    segments = pd.DataFrame(plan_sequences(histogram, capacity), columns=["length", "n", "first", "each", "offset"], dtype=np.int64)
     segments["till"] = segments.groupby("length").n.cumsum()
     by_length = {int(n): g[["till", "n", "first", "each", "offset"]].to_numpy(np.int64) for n, g in segments.groupby("length")}
     plan = pieces.sparkSession.sparkContext.broadcast(by_length)  # bounded by the capacity
@@ -180,7 +180,11 @@ def digests(pieces: DataFrame) -> DataFrame:
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
+    """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
+
+    Nulls, empty texts and repeated rows as in tokenized_pieces(); other columns are left out, whatever
+    their names; no rows give no rows.
+    """
     placed = place(digests(tokenized_pieces(docs, capacity)), capacity)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
