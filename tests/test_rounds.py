@@ -6,6 +6,7 @@ import pytest
 
 from timbrel.functions import ordered
 from timbrel.operators import clips as cl
+from timbrel.operators import joins, windows
 
 
 def thinned(rows, gap, strict=False):
@@ -85,3 +86,41 @@ def test_rounds_leave_a_rest_for_the_ordered_pass(spark, monkeypatch):
     rows = [(1, i, 2.0 * i, 2.0 * i + 9.0, 9.0, None, None, 1 + i % 100, i) for i in range(300)]
     got = cl.drop_time_duplicates(spark.createDataFrame(rows, CLIPS), dense=0)
     assert sorted(r.clip_id for r in got.collect()) == greedy(rows, iou, lambda r: r[0])
+
+
+def test_spikes_against_all_pairs(spark):
+    rng = random.Random(5)
+    samples = [(j, round(rng.uniform(0, 60), 3), rng.choice([1.0, 2.0, 2.5, 40.0]) if j < 3 else 55.3) for j in (1, 2, 3) for _ in range(400)]
+    samples += [(4, float(t), 1.0 + (t == 7) * 50) for t in range(20)] + [(5, 0.0, 1.0), (5, 1.0, None)]
+    targets = [(j, 1000 * j + i, float(i) if j >= 4 else round(rng.uniform(-3, 63), 3)) for j in (1, 2, 3, 4, 5, 6) for i in range(40)]
+    env = spark.createDataFrame(samples, "job_id long, t double, energy double")
+    got = joins.spikes_at(spark.createDataFrame(targets, "job_id long, target long, t double"), env, "target", sigma=1.5)
+    want = []
+    for j, i, t in targets:
+        at = round(t * 1e6)
+        own = [(round(s * 1e6), e) for k, s, e in samples if k == j and e is not None and abs(round(s * 1e6) - at) <= 2_000_000]
+        near = [e for s, e in own if abs(s - at) <= 200_000]
+        spike = False
+        if len(own) >= 3 and near:
+            mean = sum(e for _, e in own) / len(own)
+            spread = (sum((e - mean) ** 2 for _, e in own) / len(own)) ** 0.5
+            spike = spread > 1e-9 and max(near) - mean >= 1.5 * spread
+        want.append((i, spike))
+    assert sorted((r.target, r.spike) for r in got.collect()) == sorted(want) and any(s for _, s in want)
+    around = joins.around(spark.createDataFrame(targets, "job_id long, target long, t double"), env, "target", "energy", {"a": 2.0})
+    assert "Join" not in around._jdf.queryExecution().executedPlan().toString()
+
+
+def test_merge_close_in_a_dense_job(spark):
+    rng = random.Random(6)
+    rows = [(1, i, round(i * 0.3 + rng.random() * 0.2, 2), rng.choice(["kill", "hud"]), rng.random(), 0.25) for i in range(3000)]
+    rows += [(1, 5000, rows[7][2], "kill", 0.5, 0.0), (2, 6000, 1.0, "hud", 0.5, 0.5)]
+    d = spark.createDataFrame(rows, "job_id long, event_id long, t double, kind string, confidence double, event_len double")
+    got = sorted((r.job_id, r.event_id, r.n, r.kind) for r in windows.merge_close(d).collect())
+    want, group = [], []
+    for r in [*sorted(rows, key=lambda r: (r[0], r[2], r[1])), (9, 0, 0.0, "", 0, 0)]:
+        if group and (r[0] != group[0][0] or r[2] - group[0][2] > 1.5):
+            want.append((group[0][0], group[0][1], len(group), "chaos" if len(group) > 1 else group[0][3]))
+            group = []
+        group.append(r)
+    assert got == sorted(want)

@@ -439,13 +439,39 @@ def pulse_cuts(segments: DataFrame, grid: DataFrame, seg_id: str, edge: float =
     return points_in(grid.select("job_id", F.col("beat").alias("t")), inner, ["job_id"], 10.0, span=("_from", "_to"), ends="()").select("job_id", seg_id, "t")
 
 
+def around(targets: DataFrame, samples: DataFrame, target_id: str, value: str, reach: dict[str, float]) -> DataFrame:
+    """Count, sum, sum of squares and maximum of the samples within a reach of each target, without pairs.
+
+    Returns job_id, target_id and for each name in ``reach`` the columns n, s, q and top behind that
+    name.  Time is cut into blocks as long as the span that is looked at (2 * reach, both ends
+    included, in whole microseconds).  A span is then the end of one block and the beginning of the
+    next: running values from both sides of each block, read at the two ends of the span.
+    """
+    micros = lambda c: F.round(F.col(c) * 1_000_000).cast("long")
+    grids = [(name, round(r * 1_000_000), 2 * round(r * 1_000_000) + 1) for name, r in reach.items()]
+    table = F.array(*[F.struct(F.lit(name).alias("grid"), F.lit(r).alias("r"), F.lit(w).alias("w")) for name, r, w in grids])
+    v = F.col(value)
+    rows = samples.where(v.isNotNull()).groupBy("job_id", micros("t").alias("_at")).agg(F.count("*").alias("n"), F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.max(v).alias("top"))
+    rows = rows.withColumn("g", F.explode(table)).select("job_id", "g.grid", F.floor(F.col("_at") / F.col("g.w")).alias("_b"), "_at", F.lit(None).cast(targets.schema[target_id].dataType).alias("_id"), F.lit(0).alias("_side"), "n", "s", "q", "top")
+    ends = targets.select("job_id", F.col(target_id).alias("_id"), micros("t").alias("_t"), F.explode(table).alias("g"))
+    low = F.col("_t") - F.col("g.r")
+    first = F.floor(low / F.col("g.w"))
+    side = F.explode(F.array(F.struct(first.alias("_b"), low.alias("_at"), F.lit(1).alias("_side")), F.struct((first + 1).alias("_b"), (F.col("_t") + F.col("g.r")).alias("_at"), F.lit(2).alias("_side"))))
+    ends = ends.select("job_id", "g.grid", "_id", side.alias("e")).select("job_id", "grid", "e._b", "e._at", "_id", "e._side", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("n", "s", "q", "top")])
+    w = Window.partitionBy("job_id", "grid", "_b").orderBy("_at")
+    before, after = w.rangeBetween(Window.unboundedPreceding, 0), w.rangeBetween(0, Window.unboundedFollowing)
+    parts = {c: F.when(F.col("_side") == 1, f(c).over(after)).otherwise(f(c).over(before)) for c, f in (("n", F.sum), ("s", F.sum), ("q", F.sum), ("top", F.max))}
+    got = rows.unionByName(ends).withColumns({f"_{c}": x for c, x in parts.items()}).where("_side > 0")
+    wide = [f(F.when(F.col("grid") == name, F.col(f"_{c}"))).alias(f"{name}_{c}") for name in reach for c, f in (("n", F.sum), ("s", F.sum), ("q", F.sum), ("top", F.max))]
+    return got.groupBy("job_id", "_id").agg(*wide).withColumnRenamed("_id", target_id)
+
+
 def spikes_at(targets: DataFrame, envelope: DataFrame, target_id: str, near: float = 0.2, local: float = 2.0, sigma: float = 2.0) -> DataFrame:
     """Whether the loudest sample near a time stands ``sigma`` deviations over its surroundings."""
-    pairs = near_pairs(targets.select("job_id", target_id, "t"), envelope.select("job_id", F.col("t").alias("r_t"), "energy"), ["job_id"], local)
-    g = pairs.groupBy("job_id", target_id).agg(
-        F.count("*").alias("_n"), F.avg("energy").alias("_m"), F.stddev_pop("energy").alias("_sd"),
-        F.max(F.when(F.abs(F.col("r_t") - F.col("t")) <= near, F.col("energy"))).alias("_peak"))
-    hit = (F.col("_n") >= 3) & (F.col("_sd") > 1e-9) & (F.col("_peak") - F.col("_m") >= sigma * F.col("_sd"))
+    g = around(targets, envelope, target_id, "energy", {"local": local, "near": near})
+    mean = F.col("local_s") / F.col("local_n")
+    spread = F.sqrt(F.greatest(F.col("local_q") / F.col("local_n") - mean * mean, F.lit(0.0)))
+    hit = (F.col("local_n") >= 3) & (spread > 1e-9) & (F.col("near_top") - mean >= sigma * spread)
     d = targets.join(g.select("job_id", target_id, F.coalesce(hit, F.lit(False)).alias("spike")), ["job_id", target_id], "left")
     return d.fillna(False, ["spike"])
 

@@ -272,21 +272,13 @@ def without_swing_kills(events: DataFrame, path: DataFrame, limit: float = 20.0)
 def merge_close(events: DataFrame, window: float = 1.5, least: float = 0.8) -> DataFrame:
     """Events within ``window`` of the FIRST event of their group become one "chaos" event.
 
-    A gap over ``window`` always starts a group, so runs are cut there first.
+    The first events are those that greedy thinning keeps, and each event belongs to the last of
+    them up to it, so both steps run on blocks of a job.
     """
     order = ["t", "event_id"]
-    runs = islands(events, ["job_id"], order, time_block("t"), ["t"], lambda p, c: c["t"] - p["t"] > window, "_seq")
-    cols = runs.columns
-    ti = cols.index("t")
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in runs.schema.fields) + ", _anchor bigint"
-    ei = cols.index("event_id")
-
-    def step(state, row):
-        if state is None or row[ti] - state[0] > window:
-            state = (row[ti], row[ei])
-        return state, [(*row, state[1])]
-
-    d = fold_sorted(runs, ["job_id", "_seq"], order, schema, lambda: None, step)
+    first = keep_spaced(events.select("job_id", *order), ["job_id"], "t", window, order, strict=True)
+    d = events.join(first.select("job_id", F.col("event_id"), F.lit(True).alias("_first")), ["job_id", "event_id"], "left")
+    d = scan(d, ["job_id"], order, time_block("t"), fill={"_anchor": F.when(F.col("_first"), F.col("event_id"))})
     g = d.groupBy("job_id", "_anchor").agg(
         F.count("*").alias("n"), F.min("t").alias("t"), F.max(F.col("t") + F.col("event_len")).alias("_to"), F.min("kind").alias("_kind"), F.min("event_len").alias("_len"),
         F.max("confidence").alias("confidence"), F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("_kinds"))
