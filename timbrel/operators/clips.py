@@ -52,8 +52,8 @@ def _suppress(d: DataFrame, keys: list[str], order: list[str], clash, slack: flo
     rank order one by one: a clip is kept when no better kept clip clashes with it.
     """
     order = [*order, "clip_id"]
-    groups = _time_clusters(d, keys, slack)
-    large = cut_lineage(groups.groupBy(*keys, "_cluster").agg(F.count("*").alias("_n")).where(F.col("_n") > dense).drop("_n"))
+    groups = cut_lineage(_time_clusters(d, keys, slack))
+    large = groups.groupBy(*keys, "_cluster").agg(F.count("*").alias("_n")).where(F.col("_n") > dense).drop("_n")
     if large.isEmpty():
         return _in_order(groups, keys, order, clash, slack)
     named = large.select(*[F.col(c).alias(f"_l_{c}") for c in large.columns])
