@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import speakers as sp
 from ..operators import tracks as op
+from ..operators.fingerprints import match_to_slots
 from ..operators.windows import difference_spikes, merged_turns
 from .clips import JOBS, jobs
 from .filters import catalog
@@ -129,6 +130,38 @@ def _(v):
     return op.fingerprint_clusters(histograms(v))
 
 
+def whole_histograms(v):
+    from ..functions.text import unit_mass
+
+    return v.embeddings.select((F.col("vec_id") % 20).alias("job_id"), F.col("vec_id").alias("print_id"), unit_mass(F.transform("embedding", lambda x: F.abs(x.cast("double")))).alias("histogram"))
+
+
+def known_slots(prints):
+    """Slots 0, 5 and 10 of every second job: the mean histogram of each third of its fingerprints."""
+    entry = prints.where("job_id % 2 = 0").select("job_id", (F.floor(F.col("print_id") / 20) % 3 * 5).alias("slot_id"), F.posexplode("histogram").alias("i", "x"))
+    mean = entry.groupBy("job_id", "slot_id", "i").agg(F.round(F.avg("x"), 9).alias("x"))
+    return mean.groupBy("job_id", "slot_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("centroid"))
+
+
+@query("set14_match_to_slots", """
+WITH RECURSIVE a AS (SELECT vec_id % 20 AS job_id, vec_id AS print_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS w FROM embeddings),
+h AS (SELECT job_id, print_id, list_transform(w, lambda x: x / list_sum(w)) AS v FROM a),
+e AS (SELECT job_id, print_id // 20 % 3 * 5 AS slot_id, unnest(range(1, 65)) AS i, unnest(v) AS x FROM h WHERE job_id % 2 = 0),
+s AS (SELECT job_id, slot_id, list(x ORDER BY i) AS v FROM (SELECT job_id, slot_id, i, round(avg(x), 9) AS x FROM e GROUP BY ALL) GROUP BY ALL),
+m AS (SELECT job_id, slot_id AS slot, CAST(NULL AS BIGINT) AS born, v FROM s UNION ALL SELECT job_id, NULL, print_id, v FROM h),
+d AS (SELECT h.job_id, print_id, slot, born, list_sum(list_transform(range(1, 65), lambda i: (h.v[i] - m.v[i]) ** 2 / (h.v[i] + m.v[i] + 1e-9))) AS far FROM h JOIN m ON m.job_id = h.job_id AND (born IS NULL OR born <= print_id)),
+n AS (SELECT job_id, print_id, bool_or(slot IS NOT NULL) AS known, list(born) FILTER (born < print_id) AS near, row_number() OVER (PARTITION BY job_id ORDER BY print_id) AS rn FROM d WHERE far <= 0.36 GROUP BY 1, 2),
+r AS (SELECT job_id, CAST(0 AS BIGINT) AS rn, CAST([] AS BIGINT[]) AS made FROM (SELECT DISTINCT job_id FROM n)
+UNION ALL SELECT r.job_id, n.rn, CASE WHEN known OR coalesce(list_has_any(near, made), false) THEN made ELSE list_append(made, print_id) END FROM r JOIN n ON n.job_id = r.job_id AND n.rn = r.rn + 1),
+l AS (SELECT job_id, unnest(made) AS born, unnest(range(len(made))) AS k FROM (SELECT job_id, max_by(made, rn) AS made FROM r GROUP BY 1)),
+t AS (SELECT job_id, max(slot_id) AS top FROM s GROUP BY 1),
+c AS (SELECT d.job_id, print_id, far, CAST(coalesce(slot, coalesce(top, -1) + 1 + k) AS BIGINT) AS slot_id FROM d LEFT JOIN l ON l.job_id = d.job_id AND l.born = d.born LEFT JOIN t ON t.job_id = d.job_id WHERE far <= 0.36 AND (slot IS NOT NULL OR k IS NOT NULL))
+SELECT job_id, print_id, slot_id FROM c QUALIFY row_number() OVER (PARTITION BY job_id, print_id ORDER BY far, slot_id) = 1""")
+def _(v):
+    prints = whole_histograms(v)
+    return match_to_slots(prints, known_slots(prints), 0.36)[0]
+
+
 @query("set15_position_clusters")
 def _(v):
     x = F.col("value") % 9 + F.when(F.col("event_id") % 3 == 0, 10).when(F.col("event_id") % 3 == 1, 45).otherwise(80)
