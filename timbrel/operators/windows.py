@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -132,25 +134,161 @@ def merge_slot_events(events: DataFrame, gap: float | None = 1.0) -> DataFrame:
     return d.groupBy("job_id", "run", "slot_id").agg(F.min_by("start", at).alias("start"), F.max_by("end", at).alias("end"), F.max("confidence").alias("confidence"))
 
 
-def hysteresis(events: DataFrame, attack: float = 0.7, release: float = 0.3, decay: float = 0.95) -> DataFrame:
-    """Suppress low-confidence slot switches: a switch needs a strong new event or a weak
-    current one; a suppressed event extends the current one and decays it."""
-    d = events.select("job_id", "start", "run", "end", "slot_id", "confidence")
+#: Events of a job that one block of the switch rule holds.
+SWITCH_ROWS = 512
 
-    def step(cur, row):
-        job, start, _, end, slot, conf = row
-        if cur is None:
-            return [job, start, end, slot, conf], []
-        if slot == cur[3]:
-            cur[2], cur[4] = end, max(cur[4], conf)
-            return cur, []
-        if slot < 0 or conf >= attack or cur[4] < release:
-            return [job, start, end, slot, conf], [tuple(cur)]
-        cur[2], cur[4] = end, cur[4] * decay
-        return cur, []
 
+class SwitchRule:
+    """What a block of ordered events does to the event that is current when it begins.
+
+    A current event stays until a switch, and a switch forgets it.  So a block sends the entry to one
+    of its own events that start afresh, or keeps it; and what each own start leads to is the same
+    for every entry.  While an entry is kept, its confidence is its own one, decayed some times, or a
+    value known from the block, whichever is larger: decay and maximum keep the order of numbers, so
+    the two can be followed apart, in floating point too.
+    """
+
+    def __init__(self, slots, confs, attack: float, release: float, decay: float, top: float = float("inf")):
+        self.slots, self.confs, self.n = list(slots), list(confs), len(slots)
+        self.attack, self.release, self.decay, self.top = attack, release, decay, top
+
+    def hold(self, i: int, slot: int, conf: float) -> tuple[int, float]:
+        """First event from ``i`` on that replaces the current one, and its confidence until then."""
+        for at in range(i, self.n):
+            if self.slots[at] == slot:
+                conf = max(conf, self.confs[at])
+            elif self.slots[at] < 0 or self.confs[at] >= self.attack or conf < self.release:
+                return at, conf
+            else:
+                conf *= self.decay
+        return self.n, conf
+
+    def map_of(self) -> list[tuple]:
+        """Rows (slot, decays, floor, at) for entries of this slot (null: any other), in order.
+
+        Where floor is null, the entry is replaced at ``at`` if its confidence is below the release
+        after so many decays.  The last row of a slot is for what is left: it is replaced at ``at``, or, where
+        that is null, kept to the end with its decayed confidence, but at least ``floor``.  As no entry
+        is above ``top``, a slot has some dozens of rows at most with the usual limits.
+        """
+        out = []
+        for slot in [*dict.fromkeys(self.slots), None]:
+            decays, floor, most, gone = 0, float("-inf"), self.top, None
+            for at in range(self.n):
+                if self.slots[at] == slot:
+                    floor = max(floor, self.confs[at])
+                elif self.slots[at] < 0 or self.confs[at] >= self.attack or max(most, floor) < self.release:
+                    gone = at
+                    break
+                else:
+                    if floor < self.release:
+                        out.append((slot, decays, None, at))
+                    decays, floor, most = decays + 1, floor * self.decay, most * self.decay
+            out.append((slot, decays, floor, gone))
+        return out
+
+    def exits(self, starts: list[int]) -> dict[int, tuple[int, float]]:
+        """Last start and its confidence at the end of the block, for every start in question."""
+        known: dict[int, tuple[int, float]] = {}
+        for first in starts:
+            way, at = [], first
+            while at not in known:
+                way.append(at)
+                then, conf = self.hold(at + 1, self.slots[at], self.confs[at])
+                if then == self.n:
+                    known[at] = (at, conf)
+                else:
+                    at = then
+            for w in way:
+                known[w] = known[at]
+        return known
+
+
+def _after(entry: tuple, rules: list, decay: float, release: float) -> tuple[int | None, float]:
+    """Where an entry (slot, confidence) is replaced in a block, or null and its confidence at the end."""
+    slot, conf = entry
+    own = any(r[0] == slot for r in rules)
+    done = 0
+    for s, decays, floor, at in rules:
+        if s != (slot if own else None):
+            continue
+        while done < decays:
+            conf, done = conf * decay, done + 1
+        if floor is None:
+            if conf < release:
+                return at, conf
+        else:
+            return at, max(conf, floor)
+    raise ValueError("a block without a rule for its entry")
+
+
+def hysteresis(events: DataFrame, attack: float = 0.7, release: float = 0.3, decay: float = 0.95, rows: int = SWITCH_ROWS) -> DataFrame:
+    """Suppress low-confidence slot switches: a switch needs a strong new event or a weak
+    current one; a suppressed event extends the current one and decays it.
+
+    Blocks of a job's events turn into maps from the current event before them to the one after them
+    side by side, one pass over the maps gives each block its entry, and the blocks then make their
+    part of the result side by side.  Events have start, run, end, slot_id and confidence, none of
+    them null, and go by start, then run.
+    """
     job_type = events.schema["job_id"].dataType.simpleString()
-    return fold_sorted(d, ["job_id"], ["start", "run"], f"job_id {job_type}, start double, end double, slot_id bigint, confidence double", lambda: None, step, lambda cur: [tuple(cur)])
+    d = events.select("job_id", F.col("start").cast("double").alias("start"), F.col("run").cast("long").alias("run"), F.col("end").cast("double").alias("end"),
+                      F.col("slot_id").cast("long").alias("slot_id"), F.col("confidence").cast("double").alias("confidence"))
+    d = cut_lineage(d)
+    top = d.agg(F.max("confidence")).first()[0] if decay <= 1 else None
+    top = float("inf") if top is None else top
+    d = numbered(d, ["job_id"], ["start", "run"], time_block("start"), "_at")
+    event = F.struct("_at", "start", "end", "slot_id", "confidence")
+    blocks = cut_lineage(d.groupBy("job_id", F.floor((F.col("_at") - 1) / rows).alias("_b")).agg(F.sort_array(F.collect_list(event)).alias("_e")))
+
+    def rule_of(e) -> SwitchRule:
+        return SwitchRule([x["slot_id"] for x in e], [x["confidence"] for x in e], attack, release, decay, top)
+
+    def make(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for job, b, e in zip(pdf["job_id"], pdf["_b"], pdf["_e"]):
+                rule = rule_of(e)
+                rules = rule.map_of()
+                ends = rule.exits(sorted({0, *(r[3] for r in rules if r[3] is not None)}))
+                out.append((job, b, [dict(zip(("slot", "decays", "floor", "at"), r)) for r in rules],
+                            [{"at": at, "last": last, "slot": rule.slots[last], "conf": conf} for at, (last, conf) in ends.items()]))
+            yield pd.DataFrame(out, columns=["job_id", "_b", "_rules", "_ends"])
+
+    maps = blocks.mapInPandas(make, f"job_id {job_type}, _b long, _rules array<struct<slot:long,decays:int,floor:double,at:int>>, _ends array<struct<at:int,last:int,slot:long,conf:double>>")
+
+    def step(entry, row):
+        job, b, rules, ends = row
+        at, conf = (0, 0.0) if entry is None else _after(entry[:2], [(r["slot"], r["decays"], r["floor"], r["at"]) for r in rules], decay, release)
+        given = (job, b, *(entry or (None, None, None)))
+        if at is None:
+            return (entry[0], conf, entry[2]), [given]
+        end = next(x for x in ends if x["at"] == at)
+        return (end["slot"], end["conf"], b * rows + end["last"] + 1), [given]
+
+    entries = fold_sorted(maps, ["job_id"], ["_b"], f"job_id {job_type}, _b long, _slot long, _conf double, _from long", lambda: None, step)
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for job, e, slot, conf, since in zip(pdf["job_id"], pdf["_e"], pdf["_slot"], pdf["_conf"], pdf["_from"]):
+                rule, at = rule_of(e), 0
+                if since == since and since is not None:
+                    at, conf = rule.hold(0, slot, conf)
+                    if at > 0:
+                        out.append((job, int(since), e[at - 1]["_at"], None, e[at - 1]["end"], int(slot), conf))
+                while at < rule.n:
+                    then, conf = rule.hold(at + 1, rule.slots[at], rule.confs[at])
+                    out.append((job, e[at]["_at"], e[then - 1]["_at"], e[at]["start"], e[then - 1]["end"], rule.slots[at], conf))
+                    at = then
+            yield pd.DataFrame(out, columns=["job_id", "_from", "_to", "start", "end", "slot_id", "confidence"]).astype(object)
+
+    same = F.col("job_id").eqNullSafe(F.col("_job")) & (F.col("_b") == F.col("_block"))
+    entered = entries.select(F.col("job_id").alias("_job"), F.col("_b").alias("_block"), "_slot", "_conf", "_from")
+    parts = blocks.join(entered, same).select("job_id", "_e", "_slot", "_conf", "_from").mapInPandas(
+        settle, f"job_id {job_type}, _from long, _to long, start double, end double, slot_id long, confidence double")
+    return parts.groupBy("job_id", "_from").agg(
+        F.max("start").alias("start"), F.max_by("end", "_to").alias("end"), F.first("slot_id").alias("slot_id"), F.max_by("confidence", "_to").alias("confidence")).drop("_from")
 
 
 def collapse_short_runs(events: DataFrame, dwell: float = 0.6, margin: float = 0.08) -> DataFrame:
