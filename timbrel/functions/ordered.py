@@ -49,6 +49,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared checkpoint folder as a table and read it again.
+
+    For long loops: a checkpoint keeps what the optimizer has derived about its columns, which can
+    double with every round, and a table starts anew, with its size known.
+    """
+    import uuid
+
+    path = f"{checkpoint_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def time_block(t: str, seconds: float = 60.0) -> Column:
     """Block number of a time column; a minute keeps blocks small in dense jobs."""
     return F.floor(F.col(t) / F.lit(float(seconds)))
