@@ -390,12 +390,25 @@ def _detected(v):
     return v.readings.where("kind IN ('error', 'purchase')").select("job_id", F.col("event_id").alias("det_id"), "t", kinds.alias("kind"))
 
 
-@query("join32_match_events")
+EVENT_MATCH_SQL = """
+tr AS (SELECT job_id, event_id AS truth_id, t, CASE kind WHEN 'view' THEN 'kill' WHEN 'click' THEN 'ult' ELSE 'scoreboard' END AS k FROM readings WHERE kind IN ('view', 'click', 'signup')),
+dt AS (SELECT job_id, event_id AS det_id, t, CASE WHEN kind = 'error' THEN 'chaos' WHEN event_id % 2 = 0 THEN 'kill' ELSE 'scoreboard' END AS k FROM readings WHERE kind IN ('error', 'purchase')),
+nr AS (SELECT dt.job_id, det_id, list(truth_id ORDER BY truth_id) AS near, row_number() OVER (PARTITION BY dt.job_id ORDER BY det_id) AS rn
+  FROM dt JOIN tr ON tr.job_id = dt.job_id AND abs(dt.t - tr.t) <= 1.0 AND (dt.k = tr.k OR (dt.k = 'chaos' AND tr.k IN ('kill', 'ult'))) GROUP BY 1, 2),
+mt AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS det_id, CAST(NULL AS BIGINT) AS truth_id, CAST([] AS BIGINT[]) AS taken FROM nr
+UNION ALL SELECT job_id, rn, det_id, hit, CASE WHEN hit IS NULL THEN taken ELSE list_append(taken, hit) END
+  FROM (SELECT nr.job_id, nr.rn, nr.det_id, taken, list_filter(near, lambda x: NOT list_contains(taken, x))[1] AS hit FROM mt JOIN nr ON nr.job_id = mt.job_id AND nr.rn = mt.rn + 1) q)"""
+
+
+@query("join32_match_events", f"WITH RECURSIVE {EVENT_MATCH_SQL} SELECT job_id, det_id, truth_id FROM mt WHERE truth_id IS NOT NULL")
 def _(v):
     return op.match_events(_truth(v), _detected(v))
 
 
-@query("join32_match_scores")
+@query("join32_match_scores", f"""
+WITH RECURSIVE {EVENT_MATCH_SQL}, c AS (SELECT job_id, (SELECT count(*) FROM tr WHERE tr.job_id = j.job_id) AS n_truth, (SELECT count(*) FROM dt WHERE dt.job_id = j.job_id) AS n_detected,
+  (SELECT count(*) FROM mt WHERE mt.job_id = j.job_id AND truth_id IS NOT NULL) AS m FROM (SELECT DISTINCT job_id FROM readings) j)
+SELECT job_id, CASE WHEN n_truth > 0 THEN round(m / n_truth, 3) ELSE 1.0 END AS recall, CASE WHEN n_detected > 0 THEN round(m / n_detected, 3) ELSE 1.0 END AS "precision", n_truth, n_detected FROM c""")
 def _(v):
     t, d = _truth(v), _detected(v)
     return op.match_scores(v.readings.select("job_id").distinct(), t, d, op.match_events(t, d))

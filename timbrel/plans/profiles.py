@@ -117,7 +117,14 @@ def _(v):
     return op.text_summary(v.segments, v.scenes)
 
 
-@query("join19_persistent_ids")
+@query("join19_persistent_ids", """
+WITH RECURSIVE q AS (SELECT vec_id % 20 AS job_id, vec_id AS track_id, list_transform(embedding, lambda x: CAST(x * x AS DOUBLE)) AS w FROM embeddings),
+g AS (SELECT job_id, track_id, list_transform(w, lambda x: sqrt(x / list_sum(w))) AS s FROM q),
+d AS (SELECT b.job_id, b.track_id, a.track_id AS up, sqrt(greatest(0, 1 - list_sum(list_transform(range(1, 65), lambda i: a.s[i] * b.s[i])))) AS far FROM g a JOIN g b ON a.job_id = b.job_id AND a.track_id < b.track_id),
+u AS (SELECT job_id, track_id, up FROM d WHERE far < 0.35 QUALIFY row_number() OVER (PARTITION BY job_id, track_id ORDER BY far, up) = 1),
+r AS (SELECT job_id, track_id, track_id AS root, row_number() OVER (PARTITION BY job_id ORDER BY track_id) - 1 AS persistent_id FROM g ANTI JOIN u USING (job_id, track_id)
+UNION ALL SELECT u.job_id, u.track_id, r.root, r.persistent_id FROM r JOIN u ON u.job_id = r.job_id AND u.up = r.track_id)
+SELECT job_id, track_id, persistent_id FROM r""")
 def _(v):
     t = v.embeddings.select((F.col("vec_id") % 20).alias("job_id"), F.col("vec_id").alias("track_id"), F.transform("embedding", lambda x: x * x).alias("signature"))
     return op.persistent_ids(t)
