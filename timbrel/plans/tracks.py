@@ -125,7 +125,16 @@ def histograms(v):
     return v.embeddings.select((F.col("vec_id") % 20).alias("job_id"), F.col("vec_id").alias("print_id"), unit_mass(F.transform(F.slice("embedding", 1, 8), lambda x: F.abs(x.cast("double")))).alias("histogram"))
 
 
-@query("set14_fingerprint_clusters")
+@query("set14_fingerprint_clusters", """
+WITH RECURSIVE a AS (SELECT vec_id % 20 AS job_id, vec_id AS print_id, list_transform(embedding[1:8], lambda x: abs(CAST(x AS DOUBLE))) AS w FROM embeddings),
+h AS (SELECT job_id, print_id, list_transform(w, lambda x: x / list_sum(w)) AS v, row_number() OVER (PARTITION BY job_id ORDER BY print_id) AS rn FROM a),
+r AS (SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS print_id, CAST(NULL AS BIGINT) AS cluster, CAST([] AS STRUCT(c DOUBLE[], n BIGINT)[]) AS cs FROM h
+UNION ALL SELECT job_id, rn, print_id, slot, CASE WHEN slot = len(cs) THEN list_append(cs, {'c': v, 'n': CAST(1 AS BIGINT)})
+  ELSE list_transform(cs, lambda s, i: CASE WHEN i = slot + 1 THEN {'c': list_transform(range(1, 9), lambda k: (s.c[k] * s.n + v[k]) / (s.n + 1)), 'n': s.n + 1} ELSE s END) END
+  FROM (SELECT *, CASE WHEN list_min(ds) <= 0.3 THEN CAST(list_position(ds, list_min(ds)) - 1 AS BIGINT) ELSE CAST(len(cs) AS BIGINT) END AS slot
+    FROM (SELECT h.job_id, h.rn, h.print_id, h.v, cs, list_transform(cs, lambda s: list_sum(list_transform(range(1, 9), lambda k: (v[k] - s.c[k]) ** 2 / (v[k] + s.c[k] + 1e-9)))) AS ds
+      FROM r JOIN h ON h.job_id = r.job_id AND h.rn = r.rn + 1)))
+SELECT job_id, print_id, cluster FROM r WHERE print_id IS NOT NULL""")
 def _(v):
     return op.fingerprint_clusters(histograms(v))
 

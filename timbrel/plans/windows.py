@@ -385,7 +385,22 @@ def _(v):
     return d.select("job_id", "seg_idx", F.round("start", 4).alias("start"), F.round("end", 4).alias("end"), "moved")
 
 
-@query("win27_stable_layout")
+def merged_modes_sql(source, name):
+    """Adjacent segments of one mode as one."""
+    return f"""{name}_p AS (SELECT *, lag(mode) OVER (PARTITION BY job_id ORDER BY start) AS pm FROM {source}),
+{name}_g AS (SELECT *, sum(CASE WHEN pm = mode THEN 0 ELSE 1 END) OVER (PARTITION BY job_id ORDER BY start) AS g FROM {name}_p),
+{name} AS (SELECT job_id, mode, min(start) AS start, max("end") AS "end" FROM {name}_g GROUP BY job_id, g, mode)"""
+
+
+@query("win27_stable_layout", f"""
+WITH vt AS (SELECT job_id, t AS start, min(CASE WHEN event_id % 4 < 2 THEN 'single' WHEN event_id % 4 = 2 THEN 'split' ELSE 'triple' END) AS mode FROM readings GROUP BY 1, 2),
+vs AS (SELECT job_id, mode, start, start AS "end" FROM vt), {merged_modes_sql("vs", "rn")},
+sg AS (SELECT job_id, mode, start, coalesce(lead(start) OVER (PARTITION BY job_id ORDER BY start), "end" + 0.5) AS "end" FROM rn),
+fg AS (SELECT *, sum(CASE WHEN "end" - start >= 6 OR first THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY start) AS h FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY start) = 1 AS first FROM sg)),
+fw AS (SELECT job_id, arg_min(mode, start) AS mode, min(start) AS start, max("end") AS "end" FROM fg GROUP BY job_id, h), {merged_modes_sql("fw", "fm")},
+bg AS (SELECT *, coalesce(sum(CASE WHEN "end" - start >= 6 THEN 1 ELSE 0 END) OVER (PARTITION BY job_id ORDER BY start ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS h FROM fm),
+bw AS (SELECT job_id, arg_max(mode, start) AS mode, min(start) AS start, max("end") AS "end" FROM bg GROUP BY job_id, h), {merged_modes_sql("bw", "bm")}
+SELECT job_id, start, "end", mode FROM bm""")
 def _(v):
     votes = v.readings.groupBy("job_id", "t").agg(F.min(F.expr("CASE WHEN event_id % 4 < 2 THEN 'single' WHEN event_id % 4 = 2 THEN 'split' ELSE 'triple' END")).alias("mode"))
     return op.stable_layout(votes, 6.0).select("job_id", "start", "end", "mode")
