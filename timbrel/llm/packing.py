@@ -10,6 +10,7 @@ pieces of its length.  No task and no driver holds more than the histogram and t
 from __future__ import annotations
 
 import bisect
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,18 +24,20 @@ from .tokens import encoder
 
 CAPACITY = 1024
 END_ID = 2
-PIECES = "doc_id long, piece int, start long, length long, ids binary, block int, rank long"
 
 
-def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
+def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, digest: bool = False) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids (little-endian unsigned 32-bit), block, rank.
 
+    With ``digest`` their CRC-32 (ids_crc32) stands in place of the ids, so that no ids are stored.
+
     Null text counts as empty (one piece, the end id alone); a null doc_id stays null; repeated rows
     are documents of their own.  Other columns of docs are ignored.  Documents longer than the
     capacity are cut into full pieces, the first one takes the remainder.  ``rank`` numbers the
     pieces of one length within their task's ``block``.  The table is stored once, so both are fixed.
     """
     path = vocabulary or public_tokenizer("byte_bpe_50k.json")
+    content, kind = ("ids_crc32", "long") if digest else ("ids", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -53,14 +56,15 @@ def tokenized_pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = EN
                     cuts = [0, *range(n % capacity or capacity, n + 1, capacity)]
                     for piece in range(len(cuts) - 1):
                         start, stop = cuts[piece], cuts[piece + 1]
-                        rows.append((doc_id, piece, start, stop - start, ids[4 * start : 4 * stop], block, int(seen[stop - start])))
+                        own = ids[4 * start : 4 * stop]
+                        rows.append((doc_id, piece, start, stop - start, zlib.crc32(own) if digest else own, block, int(seen[stop - start])))
                         seen[stop - start] += 1
                 columns = list(zip(*rows, strict=True))
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int64())
-                names = ["doc_id", "piece", "start", "length", "ids", "block", "rank"]
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64() if digest else pa.binary(), pa.int32(), pa.int64())
+                names = ["doc_id", "piece", "start", "length", content, "block", "rank"]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return stored(docs.select("doc_id", "text").mapInArrow(run, PIECES), "pieces")
+    return stored(docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, piece int, start long, length long, {content} {kind}, block int, rank long"), "pieces")
 
 
 def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, int, int, int, int]]:
@@ -174,18 +178,13 @@ def sequences(placed: DataFrame) -> DataFrame:
     )
 
 
-def digests(pieces: DataFrame) -> DataFrame:
-    """Replace the ids of pieces by their CRC-32."""
-    return pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-
-
 def pack(docs: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document.
 
     Nulls, empty texts and repeated rows as in tokenized_pieces(); other columns are left out, whatever
     their names; no rows give no rows.
     """
-    placed = place(digests(tokenized_pieces(docs, capacity)), capacity)
+    placed = place(tokenized_pieces(docs, capacity, digest=True), capacity)
     return placed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 

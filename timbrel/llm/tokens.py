@@ -6,6 +6,7 @@ the ids of its pieces in order.  Pieces repeat (words), so each is encoded once
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import numpy as np
@@ -20,6 +21,8 @@ LONG_PIECE = 64
 JOINED = 60
 #: Marks the first piece of a text, which has no blank before it.
 FIRST = "\x01"
+#: A short piece without white space and marks: independent of its neighbours and kept.
+SIMPLE = re.compile(rf"[^\s<{FIRST}]{{1,{LONG_PIECE}}}")
 
 
 class Encoder:
@@ -65,8 +68,12 @@ class Encoder:
 
     def learn(self, keys: Iterable[str]) -> tuple[set[str], set[str]]:
         """Encode new pieces; returns the keys that aren't independent, and those not to be kept."""
-        bad, long, some, held = set(), set(), [], []
+        bad, long, some, odd, odd_texts = set(), set(), [], [], []
+        simple = SIMPLE.fullmatch
         for key in keys:
+            if simple(key):
+                some.append(key)
+                continue
             text = self.as_text(key)
             if text is None:
                 bad.add(key)
@@ -74,17 +81,21 @@ class Encoder:
                 self.known[key] = self.whole(text)
                 long.add(key)
             else:
-                some.append(key)
-                held.append(text)
-        joined = [self.mark.join(held[i : i + JOINED]) for i in range(0, len(some), JOINED)]
+                odd.append(key)
+                odd_texts.append(text)
+        lead = " " if self.joins_blank else ""
+        self._tabulate(some, [lead + (self.mark + lead).join(some[i : i + JOINED]) for i in range(0, len(some), JOINED)])
+        self._tabulate(odd, [self.mark.join(odd_texts[i : i + JOINED]) for i in range(0, len(odd), JOINED)])
+        return bad, long
+
+    def _tabulate(self, keys: list[str], joined: list[str]) -> None:
+        """Enter the ids of keys; each joined text holds JOINED of them, with marks between."""
         for i, found in enumerate(self.marked.encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(found.ids, dtype="<u4")
-            ends = [*np.flatnonzero(ids == self.mark_id).tolist(), len(ids)]
-            data, begin = ids.tobytes(), 0
-            for key, end in zip(some[i * JOINED : (i + 1) * JOINED], ends, strict=True):
-                self.known[key] = data[4 * begin : 4 * end]
-                begin = end + 1
-        return bad, long
+            marks = np.flatnonzero(ids == self.mark_id) * 4
+            data = ids.tobytes()
+            cuts = zip([0, *(marks + 4).tolist()], [*marks.tolist(), len(data)], strict=True)
+            self.known.update(zip(keys[i * JOINED : (i + 1) * JOINED], [data[a:b] for a, b in cuts], strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
