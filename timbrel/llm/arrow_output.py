@@ -34,19 +34,21 @@ def _schema(length: int, width: str) -> pa.Schema:
 
 
 class ShardWriter:
-    """Gathers tokens and writes them batch by batch; at most one batch and one document in memory."""
+    """Gathers tokens and writes them batch by batch; at most one batch and one step of documents in memory."""
 
     def __init__(self, sink, length: int, width: str):
         self.length, self.width, self.schema = length, width, _schema(length, width)
         self.file = pa.ipc.new_file(sink, self.schema)
         self.held, self.ends, self.doc_ids, self.n, self.tokens = [], [], [], 0, 0
 
-    def add(self, doc_id: int | None, ids: np.ndarray) -> None:
-        self.held.append(ids.astype(self.width))
-        self.n += len(ids)
-        self.tokens += len(ids)
-        self.ends.append(self.n - 1)
-        self.doc_ids.append(doc_id)
+    def add(self, doc_ids: list[int | None], ids: list[bytes]) -> None:
+        """Documents in order, each with its ids (unsigned 32-bit, end id included)."""
+        till = np.cumsum([len(x) // 4 for x in ids])
+        self.held.append(np.frombuffer(b"".join(ids), "<u4").astype(self.width))
+        self.ends += (self.n + till - 1).tolist()
+        self.doc_ids += doc_ids
+        self.n += int(till[-1])
+        self.tokens += int(till[-1])
         size = self.length * BATCH
         if self.n >= size:
             whole = np.concatenate(self.held)
@@ -95,18 +97,17 @@ def write_shards(docs: DataFrame, folder: str, length: int = SEQUENCE, end_id: i
 
         shard = TaskContext.get().partitionId()
         store, top = fs.FileSystem.from_uri(folder)
-        enc, end, writer, n_docs = encoder(path, False), np.array([end_id], "<u4"), None, 0
+        enc, end, writer, n_docs = encoder(path, False), np.array([end_id], "<u4").tobytes(), None, 0
         for batch in batches:
             doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in steps(texts):
-                for doc_id, ids in zip(doc_ids[a:b], enc.encode(texts[a:b]), strict=True):
-                    if writer is None:
-                        store.create_dir(top, recursive=True)
-                        draft = f"{top}/.{shard:06d}-{uuid.uuid4().hex}"
-                        sink = store.open_output_stream(draft)
-                        writer = ShardWriter(sink, length, width)
-                    writer.add(doc_id, np.concatenate([np.frombuffer(ids, "<u4"), end]))
-                    n_docs += 1
+                if writer is None:
+                    store.create_dir(top, recursive=True)
+                    draft = f"{top}/.{shard:06d}-{uuid.uuid4().hex}"
+                    sink = store.open_output_stream(draft)
+                    writer = ShardWriter(sink, length, width)
+                writer.add(doc_ids[a:b], [ids + end for ids in enc.encode(texts[a:b])])
+                n_docs += b - a
         if writer is not None:
             writer.close()
             sink.close()
