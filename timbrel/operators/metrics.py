@@ -11,7 +11,7 @@ from ..functions.ordered import cut_lineage, pick_ranks, scan, time_block
 from ..functions.ranges import nearest, points_in
 from .filters import framing_label
 from .joins import cut_deviation
-from .windows import adjacent_overlaps, jump_cuts, resample, smoothness
+from .windows import adjacent_overlaps, boundaries, jump_cuts, resample, smoothness, switch_times
 
 
 def share(cond: Column) -> Column:
@@ -156,6 +156,33 @@ def metric_bundle(events: DataFrame) -> DataFrame:
     return hold.join(smooth, "job_id", "left")
 
 
+def switch_recall(expected: DataFrame, actual: DataFrame, reach: float = 0.5) -> DataFrame:
+    """Share of the expected switches (job_id, t) with an actual one at most ``reach`` seconds away."""
+    got = nearest(expected.select("job_id", "t"), actual.select("job_id", F.col("t").alias("_a")), ["job_id"], "t", "_a", [], tolerance=reach)
+    return got.groupBy("job_id").agg(share(F.col("near").isNotNull()).alias("switch_recall"))
+
+
+def fixture_scores(jobs: DataFrame, spans: DataFrame, expected: DataFrame, frames: DataFrame, regions: DataFrame, grid: DataFrame, faces: DataFrame, crop_pct: float,
+                   zones: tuple[tuple[float, float], ...] = ()) -> DataFrame:
+    """The whole metric bundle, one row for each of ``jobs`` (distinct job_id).
+
+    ``spans``: job_id, span_id, start, end, active_slot, the shots in use; a switch is a change of slot, a
+    cut any start after 0.  ``expected``: job_id, t.  ``frames``: job_id, frame, cx in percent.
+    ``regions``: job_id, frame, left, right.  ``grid``: job_id, beat.  ``faces``: job_id, y from 0 to 1.
+    A job without expected switches has recall 1, one without cuts or beats no downbeat errors, one
+    without frames no zone kept; every other missing input gives 0.  Each metric is one aggregate by job.
+    """
+    recall = switch_recall(expected, switch_times(spans, "span_id"))
+    overlaps = adjacent_overlaps(spans, ["job_id"], ["start", "span_id"]).groupBy("job_id").agg(F.count("*").alias("overlap_count"))
+    smooth = smoothness(frames.select("job_id", F.col("frame").cast("double").alias("t"), F.col("frame").alias("sample_id"), F.col("cx").alias("x")))
+    beat = downbeat_error(boundaries(spans, "span_id"), grid).withColumnRenamed("count", "cuts")
+    d = jobs.select("job_id")
+    for part in (recall, overlaps, smooth, region_miss_rate(frames, regions, crop_pct), beat, zone_preservation(frames, zones, crop_pct), thirds_rate(faces, "y")):
+        d = d.join(part, "job_id", "left")
+    d = d.fillna(1.0, ["switch_recall"]).fillna(0, ["overlap_count", "cuts", "snapped"])
+    return d.fillna(0.0, ["max_acceleration", "max_jerk", "miss_rate", "snap_rate", "preserved", "thirds_rate"])
+
+
 # Hold targets by clip type: median from, median to, share under 1 s.
 TARGET_ZONES = {
     "multi_speaker_panel": (3.0, 6.0, 0.05), "animation": (0.8, 2.0, 0.10), "animation_dialogue": (2.5, 5.0, 0.05), "sports_basketball": (1.5, 3.5, 0.10),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import cut_lineage, ema, fold_sorted, index_block, islands, keep_spaced, numbered, pick_ranks, scan, time_block, with_halo
-from ..functions.ranges import as_of
+from ..functions.ranges import as_of, points_in
 from .joins import snap_to_grid, spikes_at
 
 SEG_BLOCK = "seg_idx"
@@ -704,6 +704,41 @@ def stable_layout(votes: DataFrame, least: float = 2.0) -> DataFrame:
     return _merge_modes(back)
 
 
+# Weight of each source of the intent signal; strength taken where a row has none.
+INTENT_WEIGHTS = {"speaker": 0.6, "lip": 0.5, "track": 0.2, "region": 0.4}
+INTENT_DEFAULTS = {"speaker": 0.7, "face": 0.9, "region": 0.4}
+
+
+def intent_signal(times: DataFrame, events: DataFrame, faces: DataFrame, tracks: DataFrame, regions: DataFrame) -> DataFrame:
+    """Raw confidence (at most 1) of every subject at each of ``times`` (distinct job_id, t).
+
+    ``events``: job_id, start, end, slot_id, confidence; ``faces``: job_id, t, slot_id, lip, confidence, looked up
+    at the exact time; ``tracks``: job_id, start, end, slot_id (null: unnamed), persistent_id, confidence;
+    ``regions``: job_id, t, region_no (from 0), score.  Spans hold both ends.  Rows with a null or negative
+    slot give nothing but for tracks, whose unnamed subjects count down from -1; regions count down from
+    -1000 and speak only where no other source does.  The sources are added up in one aggregate.
+    """
+    w, default = INTENT_WEIGHTS, INTENT_DEFAULTS
+    times = times.select("job_id", F.col("t").cast("double").alias("t"))
+
+    def at_times(spans: DataFrame) -> DataFrame:
+        return points_in(times, spans, ["job_id"], 30.0).select("job_id", "t", "subject_id", "part")
+
+    spoken = events.where("slot_id >= 0").select("job_id", "start", "end", F.col("slot_id").cast("long").alias("subject_id"), (F.coalesce("confidence", F.lit(default["speaker"])) * w["speaker"]).alias("part"))
+    lips = F.coalesce("lip", F.lit(0.0)) * w["lip"] * F.coalesce("confidence", F.lit(default["face"]))
+    seen = faces.where("slot_id >= 0").select("job_id", F.col("t").cast("double").alias("t"), F.col("slot_id").cast("long").alias("subject_id"), lips.alias("part"))
+    name = F.coalesce(F.col("slot_id"), -(F.col("persistent_id") + 1)).cast("long")
+    present = tracks.select("job_id", "start", "end", name.alias("subject_id"), (F.col("confidence") * w["track"]).alias("part"))
+    found = at_times(spoken).unionByName(seen.join(times, ["job_id", "t"], "left_semi")).unionByName(at_times(present))
+    strength = F.coalesce("score", F.lit(default["region"])) * w["region"]
+    spots = regions.select("job_id", F.col("t").cast("double").alias("t"), (-(F.col("region_no") + 1000)).cast("long").alias("subject_id"), strength.alias("part"))
+    spots = spots.join(times, ["job_id", "t"], "left_semi")
+    both = found.withColumn("_spot", F.lit(False)).unionByName(spots.withColumn("_spot", F.lit(True)))
+    d = both.groupBy("job_id", "t", "subject_id", "_spot").agg(F.least(F.lit(1.0), F.sum("part")).alias("confidence"))
+    only = F.min(F.col("_spot")).over(Window.partitionBy("job_id", "t"))  # the subjects of one moment
+    return d.withColumn("_only", only).where("_spot = _only").drop("_spot", "_only")
+
+
 def smooth_intent(candidates: DataFrame, alpha: float = 0.4, floor: float = 0.05) -> DataFrame:
     """Smoothed confidence per subject and frame; absent subjects fade and are dropped at the floor.
 

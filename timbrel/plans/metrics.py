@@ -228,6 +228,28 @@ def _(v):
     return d.withColumns({c: F.round(c, 5) for c in ("max_acceleration", "max_jerk")})
 
 
+@query("agg18_fixture_scores", f"""
+WITH {FRAMES}, {REGIONS}, {BEATS_SQL}, sw AS (SELECT job_id, start AS t FROM (SELECT *, lag(active_slot) OVER w AS ps, row_number() OVER w AS rn FROM crop_segments WINDOW w AS (PARTITION BY job_id ORDER BY start, seg_key)) WHERE rn > 1 AND ps IS DISTINCT FROM active_slot),
+ex AS (SELECT job_id, event_id, t FROM readings WHERE kind = 'click'), eh AS (SELECT ex.job_id, event_id, coalesce(bool_or(abs(sw.t - ex.t) <= 0.5), false) AS hit FROM ex LEFT JOIN sw USING (job_id) GROUP BY 1, 2),
+re AS (SELECT job_id, avg(CASE WHEN hit THEN 1.0 ELSE 0.0 END) AS recall FROM eh GROUP BY 1),
+ov AS (SELECT job_id, count(*) FILTER ("end" > n + 1e-9) AS n_over FROM (SELECT job_id, "end", lead(start) OVER (PARTITION BY job_id ORDER BY start, seg_key) AS n FROM crop_segments) GROUP BY 1),
+l AS (SELECT job_id, cx AS x, lag(cx) OVER w AS a, lag(cx, 2) OVER w AS b, lag(cx, 3) OVER w AS c FROM fr WINDOW w AS (PARTITION BY job_id ORDER BY frame)),
+sm AS (SELECT job_id, max(abs(x - 2 * a + b)) AS acc, max(abs(x - 3 * a + 3 * b - c)) AS jerk FROM l GROUP BY 1),
+m AS (SELECT job_id, frame, bool_or(l < cx - 40.01 OR r > cx + 40.01) AS m FROM rg JOIN fr USING (job_id, frame) GROUP BY 1, 2), mi AS (SELECT job_id, avg(CASE WHEN m THEN 1.0 ELSE 0.0 END) AS miss FROM m GROUP BY 1),
+d AS (SELECT s.job_id, seg_key, min(abs(b.beat - s.start)) * 1000 AS ms FROM crop_segments s LEFT JOIN beats b USING (job_id) WHERE s.start > 0 GROUP BY 1, 2),
+be AS (SELECT job_id, round(avg(ms), 2) AS mean_ms, round(max(ms), 2) AS max_ms, avg(CASE WHEN ms <= 200 THEN 1.0 ELSE 0.0 END) AS snap, count(*) AS n_cuts, count(*) FILTER (ms <= 200) AS n_snap FROM d GROUP BY 1),
+zo AS (SELECT job_id, avg(CASE WHEN greatest(0, least(cx + 40, 30) - greatest(cx - 40, 10)) / 20 >= 0.8 AND greatest(0, least(cx + 40, 80) - greatest(cx - 40, 65)) / 15 >= 0.8 THEN 1.0 ELSE 0.0 END) AS kept FROM fr GROUP BY 1),
+th AS (SELECT job_id, avg(CASE WHEN abs(y / 100 - 1.0 / 3) <= 0.1 THEN 1.0 ELSE 0.0 END) AS thirds FROM faces GROUP BY 1)
+SELECT j.job_no AS job_id, round(coalesce(recall, 1.0), 5) AS switch_recall, coalesce(n_over, 0) AS overlap_count, round(coalesce(acc, 0.0), 5) AS max_acceleration, round(coalesce(jerk, 0.0), 5) AS max_jerk, round(coalesce(miss, 0.0), 5) AS miss_rate,
+ mean_ms AS mean_error_ms, max_ms AS max_error_ms, round(coalesce(snap, 0.0), 4) AS snap_rate, coalesce(n_cuts, 0) AS cuts, coalesce(n_snap, 0) AS snapped, round(coalesce(kept, 0.0), 5) AS preserved, round(coalesce(thirds, 0.0), 5) AS thirds_rate
+FROM jobs j LEFT JOIN re ON re.job_id = job_no LEFT JOIN ov ON ov.job_id = job_no LEFT JOIN sm ON sm.job_id = job_no LEFT JOIN mi ON mi.job_id = job_no LEFT JOIN be ON be.job_id = job_no LEFT JOIN zo ON zo.job_id = job_no LEFT JOIN th ON th.job_id = job_no""")
+def _(v):
+    spans = v.crop_segments.withColumnRenamed("seg_key", "span_id")
+    y = v.faces.select("job_id", (F.col("y") / 100).alias("y"))
+    d = op.fixture_scores(v.jobs.select(F.col("job_no").alias("job_id")), spans, v.readings.where("kind = 'click'"), frames(v), regions(v), beats(v), y, 80.0, ((10.0, 20.0), (65.0, 15.0)))
+    return d.withColumns({c: F.round(c, 5) for c in ("switch_recall", "max_acceleration", "max_jerk", "miss_rate", "preserved", "thirds_rate")})
+
+
 KINDS = "CASE job_id % 5 WHEN 0 THEN 'music_video' WHEN 1 THEN 'animation' WHEN 2 THEN 'sports' WHEN 3 THEN 'multi_speaker_panel' ELSE 'other' END"
 SUBS = "CASE job_id % 3 WHEN 0 THEN 'performance' WHEN 1 THEN 'other' END"
 

@@ -224,6 +224,15 @@ def _(v):
     return op.clip_position(v.clips, v.scenes).select("clip_id", F.col("x").cast("long").alias("x"))
 
 
+@query("agg48_face_height", """
+WITH h AS (SELECT job_id, CAST(t AS DOUBLE) AS t, arg_min(y, CASE WHEN lip >= 0.04 THEN 0 ELSE 100000000000000000 END + face_key) AS y FROM faces GROUP BY 1, 2),
+i AS (SELECT c.clip_id, avg(h.y) AS y FROM clips c JOIN h ON h.job_id = c.job_id AND h.t BETWEEN c.start AND c."end" GROUP BY 1) SELECT clip_id, round(coalesce(i.y, 50.0), 5) AS y FROM clips LEFT JOIN i USING (clip_id)""")
+def _(v):
+    t = F.col("t").cast("double")
+    faces = v.faces.select("job_id", t.cast("long").alias("scene_id"), t.alias("t"), F.col("face_key").alias("face_no"), (F.col("lip") >= 0.04).alias("is_speaking"), "y")
+    return op.clip_face_height(v.clips, faces).select("clip_id", F.round("y", 5).alias("y"))
+
+
 @query("join25_interval_slot")
 def _(v):
     return op.interval_slot(v.crop_segments, v.segments, mapping(v), v.speaker_events, v.faces.where("confidence > 0.5"), slots(v), "seg_key", 31.64)

@@ -1,5 +1,6 @@
 """Queries: islands, smoothing and other ordered operators."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import keep_spaced
@@ -420,6 +421,27 @@ UNION ALL SELECT h.job_id, last, h.subject_id, h.frame + 1, CASE WHEN x.nv > 0.0
  LATERAL (SELECT h.v * 0.6 + coalesce(c.c, 0.0) * 0.4 AS nv) x WHERE h.frame < last)"""
 
 
+def _intent_sources(v):
+    scene_t = F.floor("t").cast("double")
+    no = F.row_number().over(Window.partitionBy("job_id", scene_t).orderBy("scene_id")) - 1
+    spots = v.scenes.select("job_id", scene_t.alias("t"), no.alias("region_no"), (F.col("importance") / 10).alias("score"))
+    times = v.faces.select("job_id", F.col("t").cast("double").alias("t")).unionByName(spots.select("job_id", "t")).distinct()
+    tracks = v.crop_segments.select("job_id", "start", "end", F.col("active_slot").alias("slot_id"), (F.col("seg_key") % 5).alias("persistent_id"), "confidence")
+    return times, v.speaker_events, v.faces, tracks, spots
+
+
+@query("win29_intent_signal", """
+WITH sp AS (SELECT job_id, floor(t) AS t, row_number() OVER (PARTITION BY job_id, floor(t) ORDER BY scene_id) - 1 AS k, importance / 10 AS s FROM scenes),
+ti AS (SELECT job_id, CAST(t AS DOUBLE) AS t FROM faces UNION SELECT job_id, t FROM sp),
+co AS (SELECT ti.job_id, ti.t, e.slot_id AS sid, e.confidence * 0.6::DOUBLE AS c FROM ti JOIN speaker_events e ON e.job_id = ti.job_id AND ti.t BETWEEN e.start AND e."end" WHERE e.slot_id >= 0
+ UNION ALL SELECT job_id, CAST(t AS DOUBLE), slot_id, lip * 0.5::DOUBLE * confidence FROM faces
+ UNION ALL SELECT ti.job_id, ti.t, coalesce(c.active_slot, -(c.seg_key % 5 + 1)), c.confidence * 0.2::DOUBLE FROM ti JOIN crop_segments c ON c.job_id = ti.job_id AND ti.t BETWEEN c.start AND c."end"),
+al AS (SELECT * FROM co UNION ALL SELECT job_id, t, -(1000 + k), s * 0.4::DOUBLE FROM sp ANTI JOIN co USING (job_id, t))
+SELECT job_id, t, CAST(sid AS BIGINT) AS subject_id, round(least(1.0::DOUBLE, sum(c)), 9) AS confidence FROM al GROUP BY job_id, t, sid""")
+def _(v):
+    return op.intent_signal(*_intent_sources(v)).withColumn("confidence", F.round("confidence", 9))
+
+
 @query("win29_smooth_intent", f"WITH RECURSIVE {INTENT} SELECT job_id, subject_id, frame, round(v, 6) AS smooth FROM h WHERE v > 0")
 def _(v):
     return op.smooth_intent(intent_candidates(v)).withColumn("smooth", F.round("smooth", 6))
