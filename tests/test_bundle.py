@@ -1,6 +1,8 @@
 """Metric bundle, raw intent signal and face height on small hand-made rows."""
 
-from timbrel.operators import metrics, tracks, windows
+from pyspark.sql import functions as F
+
+from timbrel.operators import clips, metrics, tracks, windows
 
 SPAN = "job_id long, span_id long, start double, `end` double, active_slot long"
 
@@ -49,3 +51,23 @@ def test_face_height(spark):
         "job_id long, scene_id long, t double, face_no long, is_speaking boolean, y double")
     got = {r.clip_id: r.y for r in tracks.clip_face_height(clips, faces).collect()}
     assert got == {1: 30.0, 2: 50.0, 3: 50.0}
+
+
+def test_zone_signals(spark):
+    jobs = spark.createDataFrame([(1, 50.0), (2, 0.0)], "job_id long, duration double")
+    said = [(1, 0, "a", 0.0, 2.0, "that was insane"), (1, 1, "b", 2.0, 4.0, "NOW look"), (1, 2, "a", 4.0, 6.0, "right"), (1, 3, "b", 6.0, 8.0, "yes"), (1, 4, "a", 8.0, 9.0, "so"),
+            (1, 5, "b", 9.0, 10.0, "ok"), (1, 6, "a", 10.0, 11.0, "hm"), (1, 7, "b", 41.0, 51.0, "WOW outside")]
+    segments = spark.createDataFrame(said, "job_id long, seg_idx long, speaker string, start double, `end` double, text string")
+    scenes = spark.createDataFrame([(1, 5.0, 8), (1, 45.0, 7)], "job_id long, t double, importance long")
+    loud = [(1, 1, 2.5, "extreme_spike", "laughter"), (1, 2, 2.5, "volume_spike", "applause"), (1, 3, 3.5, "silence_to_loud", None), (1, 4, 3.6, "extreme_spike", None), (1, 5, 45.0, None, "cheering")]
+    moments = spark.createDataFrame(loud, "job_id long, moment_id long, t double, kind string, sentiment string")
+    fillers = spark.createDataFrame([(1, float(i), float(i) + 1) for i in range(4)], "job_id long, start double, `end` double")
+    trend = clips.window_trend(jobs, segments, [("insane", [], 1.0)], F.lit(None).cast("string"))
+    assert {r.win: (r.trend, r.reason) for r in trend.collect()} == {0: (80, "insane")}
+    got = {(r.job_id, r.win): r.signals for r in clips.zone_signals(jobs, segments, scenes, moments, fillers, trend).collect()}
+    assert got == {
+        (1, 0): ["extreme audio spike at 2s", "laughter at 2s", "silence->loud at 4s", "high filler density", "emotional reaction", "raised voice", "dense dialogue", "visual peak (8/10)",
+                 "2 speakers", "rapid exchange", "trend match: insane"],
+        (1, 1): ["cheering at 45s"], (1, 2): ["cheering at 45s"]}
+    quiet = clips.zone_signals(jobs, segments.limit(0), scenes.limit(0), moments.limit(0))
+    assert {(r.job_id, r.win): r.signals for r in quiet.collect()} == {(1, 0): [], (1, 1): [], (1, 2): []}

@@ -312,7 +312,7 @@ def fill_axes(clips: DataFrame) -> DataFrame:
 
 
 def trend_score(text: Column, genre: Column, lexicon: list[tuple[str, list[str], float]], emphasis: tuple[str, ...] = (), web: str = "") -> Column:
-    """Trend alignment of a text as struct(score, reasons).
+    """Trend alignment of a text as struct(score, phrases, reason).
 
     The lexicon is a short list kept by the caller; it becomes an array literal,
     so texts are scored in place.
@@ -341,7 +341,8 @@ def trend_score(text: Column, genre: Column, lexicon: list[tuple[str, list[str],
     names = F.when(F.size(exact) > 0, F.transform(exact, lambda e: e["p"])).otherwise(F.transform(loose, lambda e: F.concat(F.lit("~"), e["p"])))
     blank = F.trim(F.coalesce(text, F.lit(""))) == ""
     return F.struct(F.when(blank, 50).otherwise(F.bround(clamp(score, 20, 100))).cast("long").alias("score"),
-                    F.when(blank, F.array().cast("array<string>")).otherwise(names).alias("phrases"))
+                    F.when(blank, F.array().cast("array<string>")).otherwise(names).alias("phrases"),
+                    F.when(~blank, F.concat_ws(", ", names, F.when(hits > 0, F.concat(hits.cast("string"), F.lit(" emphasized"))), F.when(shared, "web trend overlap"))).alias("reason"))
 
 
 def matched_phrases(segments: DataFrame, lexicon: list[str], cap: int = 6) -> DataFrame:
@@ -436,6 +437,71 @@ def hot_zones(jobs: DataFrame, segments: DataFrame, scenes: DataFrame | None = N
     return d.withColumn("composite", F.round(total, 1)).drop("_f", "trend")
 
 
+def window_trend(jobs: DataFrame, segments: DataFrame, lexicon: list[tuple[str, list[str], float]], genre: Column, emphasis: tuple[str, ...] = (), web: str = "", size: float = 30.0,
+                 overlap: float = 10.0) -> DataFrame:
+    """Trend score and its reason (job_id, win, trend, reason) of the segments inside each window, joined in order.
+
+    A window's text is bounded by what is said in ``size`` seconds.
+    """
+    seg = _windows_of(segments.select("job_id", "seg_idx", "text", "start", "end"), F.col("start"), F.col("end"), jobs, size, size - overlap)
+    seg = seg.where((F.col("start") >= F.col("w_start")) & (F.col("end") <= F.col("w_end")))
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("seg_idx", "text"))), lambda x: x["text"])
+    d = seg.groupBy("job_id", "win").agg(F.concat_ws(" ", texts).alias("text"))
+    score = trend_score(F.col("text"), genre, lexicon, emphasis, web)
+    return d.select("job_id", "win", score.alias("_s")).select("job_id", "win", F.col("_s.score").alias("trend"), F.col("_s.reason").alias("reason"))
+
+
+def zone_signals(jobs: DataFrame, segments: DataFrame, scenes: DataFrame, moments: DataFrame, fillers: DataFrame | None = None, trend: DataFrame | None = None, size: float = 30.0,
+                 overlap: float = 10.0, loud_most: int = 3) -> DataFrame:
+    """What made each hot zone stand out: job_id, win, signals (array, empty where nothing did).
+
+    In order: the first ``loud_most`` sounds of the window (the published rule), filler density over 6 a minute,
+    raised voice and emotional reaction as they first occur, dense dialogue, visual peak from importance 8,
+    speakers, rapid exchange, and a trend match from 60.  Inputs as in hot_zones(), moments with moment_id,
+    trend as window_trend() gives it.  Every source is one aggregate by window.
+    """
+    step, key = size - overlap, ["job_id", "win"]
+    inside = (F.col("t") >= F.col("w_start")) & (F.col("t") <= F.col("w_end"))
+    held = (F.col("start") >= F.col("w_start")) & (F.col("end") <= F.col("w_end"))
+    d = jobs.where("duration > 0").select("job_id", "duration", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("duration") / step) - 1)).alias("win"))
+    minutes = F.greatest((F.least(F.col("win") * step + size, F.col("duration")) - F.col("win") * step) / 60.0, F.lit(0.01))
+    d = d.select("job_id", "win", minutes.alias("_minutes"))
+
+    spike = F.when(F.col("kind") == "extreme_spike", "extreme audio spike").when(F.col("kind") == "silence_to_loud", "silence->loud")
+    mood = F.when(F.col("sentiment").isin("laughter", "cheering"), F.col("sentiment"))
+    said = F.transform(F.array_compact(F.array(spike, mood)), lambda x: F.concat(x, F.lit(" at "), F.bround("t").cast("long").cast("string"), F.lit("s")))
+    m = moments.select("job_id", "moment_id", "t", F.posexplode(said).alias("pos", "signal"))
+    m = _windows_of(m, F.col("t"), F.col("t"), jobs, size, step).where(inside)
+    m = m.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("t", "moment_id", "pos"))).where(F.col("_n") <= loud_most)
+    audio = m.groupBy(*key).agg(F.transform(F.sort_array(F.collect_list(F.struct("_n", "signal"))), lambda x: x["signal"]).alias("_audio"))
+
+    text = F.trim("text")
+    seg = segments.select("job_id", "seg_idx", "speaker", "start", "end", RAISED(split_words(text)).alias("_r"), has_any(F.lower(text), EXCITED).alias("_x"))
+    seg = _windows_of(seg, F.col("start"), F.col("end"), jobs, size, step).where(held)
+    changed = F.col("speaker") != F.lag("speaker").over(Window.partitionBy(*key).orderBy("seg_idx"))  # one window's rows
+    g = seg.withColumn("_ch", changed).groupBy(*key).agg(
+        F.min(F.when(F.col("_r"), F.col("seg_idx"))).alias("_r"), F.min(F.when(F.col("_x"), F.col("seg_idx"))).alias("_x"), F.countDistinct("speaker").alias("_sp"), F.count_if("_ch").alias("_ch"),
+        (F.count("*") / F.greatest(F.lit(1.0), F.max(F.col("w_end") - F.col("w_start")) / 10) > 2).alias("_dense"))
+    moods = F.array(F.when(F.col("_r").isNotNull(), F.struct(F.col("_r").alias("i"), F.lit("a"), F.lit("raised voice").alias("s"))), F.when(F.col("_x").isNotNull(), F.struct(F.col("_x").alias("i"), F.lit("b"), F.lit("emotional reaction").alias("s"))))
+    spoken = F.transform(F.sort_array(F.array_compact(moods)), lambda x: x["s"])
+    people = F.array(F.when(F.col("_sp") >= 2, F.concat(F.col("_sp").cast("string"), F.lit(" speakers"))), F.when(F.col("_ch") >= 3, "rapid exchange"))
+    g = g.select(*key, F.concat(spoken, F.array(F.when(F.col("_dense"), "dense dialogue"))).alias("_spoken"), people.alias("_people"))
+
+    s = _windows_of(scenes.select("job_id", "t", "importance"), F.col("t"), F.col("t"), jobs, size, step).where(inside).groupBy(*key).agg(F.max("importance").alias("_mx"))
+    d = d.join(audio, key, "left").join(g, key, "left").join(s, key, "left")
+    parts = [F.col("_audio")]
+    if fillers is not None:
+        f = _windows_of(fillers.select("job_id", "start", "end"), F.col("start"), F.col("end"), jobs, size, step).where(held)
+        d = d.join(f.groupBy(*key).agg(F.count("*").alias("_f")), key, "left")
+        parts.append(F.array(F.when(F.col("_f") / F.col("_minutes") > 6, "high filler density")))
+    parts += [F.col("_spoken"), F.array(F.when(F.col("_mx") >= 8, F.concat(F.lit("visual peak ("), F.col("_mx").cast("string"), F.lit("/10)")))), F.col("_people")]
+    if trend is not None:
+        d = d.join(trend.select(*key, "trend", "reason"), key, "left")
+        parts.append(F.array(F.when((F.col("trend") >= 60) & (F.col("reason") != ""), F.concat(F.lit("trend match: "), "reason"))))
+    none = F.array().cast("array<string>")
+    return d.select(*key, F.array_compact(F.concat(*[F.coalesce(x, none) for x in parts])).alias("signals"))
+
+
 def _held(clips: DataFrame, segments: DataFrame, extra: list) -> DataFrame:
     """Segments that lie inside each clip."""
     s = segments.select("job_id", "seg_idx", "speaker", F.col("start").alias("s_start"), F.col("end").alias("s_end"), *extra)

@@ -168,6 +168,48 @@ def _(v):
     return v.segments.select("job_id", "seg_idx", t["score"].alias("score"))
 
 
+#: Trend score and reason of the joined texts of each window.
+WINDOW_TREND = "wt AS (SELECT g.job_id, g.win AS seg_idx, string_agg(s.text, ' ' ORDER BY s.seg_idx) AS text FROM gr g JOIN segments s ON s.job_id = g.job_id AND s.start >= g.ws AND s.\"end\" <= g.we GROUP BY 1, 2),\n" + (
+    TREND.replace("FROM segments", "FROM wt").replace("seg_idx, h, row", "seg_idx, h, p, row").replace("sum(30 * h) AS s", "sum(30 * h) AS s, string_agg(p, ', ' ORDER BY n) AS rs").replace("sum(15 * h) AS s", "sum(15 * h) AS s, string_agg('~' || p, ', ' ORDER BY n) AS rs")) + """,
+hi AS (SELECT *, (CASE WHEN contains(t, 'ing') THEN 1 ELSE 0 END) + (CASE WHEN contains(t, 'eau') THEN 1 ELSE 0 END) AS hits FROM sx),
+tr AS (SELECT job_id, seg_idx AS win, CASE WHEN trim(t) = '' THEN 50 ELSE CAST(round_even(round(greatest(20, least(100, 50 + coalesce(es.s, ls.s, 0) + least(25, 10 * hits))), 9), 0) AS BIGINT) END AS trend,
+  CASE WHEN trim(t) <> '' THEN concat_ws(', ', coalesce(es.rs, ls.rs), CASE WHEN hits > 0 THEN hits || ' emphasized' END) END AS reason FROM hi LEFT JOIN es USING (job_id, seg_idx) LEFT JOIN ls USING (job_id, seg_idx))"""
+
+
+def _window_trend(v):
+    return op.window_trend(jobs(v), v.segments, LEXICON, F.lit("vlog"), ("ing", "eau"))
+
+
+@query("score1_trend_hot_zones", f"""
+WITH {ZONES}, {WINDOW_TREND}, s AS (SELECT g.job_id, g.win, least(100.0, max(importance) * 6 + avg(importance) * 4 + CASE WHEN max(importance) >= 9 THEN 20 ELSE 0 END) AS scene FROM gr g JOIN scenes c ON c.job_id = g.job_id AND c.t BETWEEN g.ws AND g.we GROUP BY 1, 2),
+a0 AS (SELECT job_id, t, {KIND} AS k, {MOOD} AS m FROM audio_moments),
+a AS (SELECT g.job_id, g.win, least(100, sum(CASE k WHEN 'extreme_spike' THEN 30 WHEN 'silence_to_loud' THEN 25 ELSE 15 END + CASE m WHEN 'laughter' THEN 15 WHEN 'applause' THEN 10 WHEN 'shouting' THEN 8 ELSE 0 END)) AS audio FROM gr g JOIN a0 ON a0.job_id = g.job_id AND a0.t BETWEEN g.ws AND g.we GROUP BY 1, 2)
+SELECT job_id, win, round(coalesce(audio, 0) * 0.2::DOUBLE + transcript * 0.3 + coalesce(scene, 0) * 0.2 + speaker * 0.15 + coalesce(trend, 50) * 0.15, 1) AS composite FROM hz LEFT JOIN a USING (job_id, win) LEFT JOIN s USING (job_id, win) LEFT JOIN tr USING (job_id, win)""")
+def _(v):
+    d = op.hot_zones(jobs(v), v.segments, v.scenes, sounds(v), trend=_window_trend(v).select("job_id", "win", "trend"))
+    return d.select("job_id", "win", "composite")
+
+
+@query("score1_zone_signals", f"""
+WITH {JOBS}, gr AS (SELECT job_id, win, win * 20.0 AS ws, least(win * 20.0 + 30, duration) AS we FROM (SELECT *, unnest(range(CAST(ceil(duration / 20) AS BIGINT))) AS win FROM jb)), {WINDOW_TREND},
+q AS (SELECT g.job_id, g.win, s.seg_idx, s.speaker, g.we - g.ws AS len, lag(s.speaker) OVER (PARTITION BY g.job_id, g.win ORDER BY s.seg_idx) AS ps, len(list_filter(toks, lambda w: w = upper(w) AND length(w) > 2 AND regexp_full_match(w, '\\pL+'))) > 0 AS raised,
+  {" OR ".join(f"contains(lower(text), '{w}')" for w in op.EXCITED)} AS excited FROM gr g JOIN segments s ON s.job_id = g.job_id AND s.start >= g.ws AND s."end" <= g.we),
+sp AS (SELECT job_id, win, min(seg_idx) FILTER (raised) AS r, min(seg_idx) FILTER (excited) AS x, count(*) / greatest(1, max(len) / 10) > 2 AS dense, count(DISTINCT speaker) AS n, count(*) FILTER (ps <> speaker) AS ch FROM q GROUP BY 1, 2),
+m0 AS (SELECT job_id, moment_id, t, {KIND} AS k, {MOOD} AS m FROM audio_moments),
+m1 AS (SELECT job_id, moment_id, t, 0 AS pos, CASE k WHEN 'extreme_spike' THEN 'extreme audio spike' ELSE 'silence->loud' END AS s FROM m0 WHERE k IN ('extreme_spike', 'silence_to_loud') UNION ALL SELECT job_id, moment_id, t, 1, m FROM m0 WHERE m = 'laughter'),
+m2 AS (SELECT g.job_id, g.win, s || ' at ' || CAST(round_even(t, 0) AS BIGINT) || 's' AS s, row_number() OVER (PARTITION BY g.job_id, g.win ORDER BY t, moment_id, pos) AS n FROM gr g JOIN m1 ON m1.job_id = g.job_id AND m1.t BETWEEN g.ws AND g.we),
+au AS (SELECT job_id, win, string_agg(s, ' | ' ORDER BY n) AS au FROM m2 WHERE n <= 3 GROUP BY 1, 2),
+sc AS (SELECT g.job_id, g.win, max(importance) AS mx FROM gr g JOIN scenes c ON c.job_id = g.job_id AND c.t BETWEEN g.ws AND g.we GROUP BY 1, 2),
+fi AS (SELECT g.job_id, g.win, count(*) / greatest((max(g.we) - max(g.ws)) / 60, 0.01) AS rate FROM gr g JOIN words w ON w.job_id = g.job_id AND w.start >= g.ws AND w."end" <= g.we WHERE length(w.word) <= 2 GROUP BY 1, 2)
+SELECT gr.job_id, gr.win, concat_ws(' | ', au, CASE WHEN rate > 6 THEN 'high filler density' END, CASE WHEN r IS NOT NULL AND (x IS NULL OR r <= x) THEN 'raised voice' END, CASE WHEN x IS NOT NULL THEN 'emotional reaction' END, CASE WHEN r > x THEN 'raised voice' END,
+ CASE WHEN dense THEN 'dense dialogue' END, CASE WHEN mx >= 8 THEN 'visual peak (' || mx || '/10)' END, CASE WHEN sp.n >= 2 THEN sp.n || ' speakers' END, CASE WHEN ch >= 3 THEN 'rapid exchange' END, CASE WHEN trend >= 60 AND reason <> '' THEN 'trend match: ' || reason END) AS signals
+FROM gr LEFT JOIN au USING (job_id, win) LEFT JOIN fi USING (job_id, win) LEFT JOIN sp USING (job_id, win) LEFT JOIN sc USING (job_id, win) LEFT JOIN tr USING (job_id, win)""")
+def _(v):
+    fillers = v.words.where(F.length("word") <= 2)
+    d = op.zone_signals(jobs(v), v.segments, v.scenes, sounds(v), fillers, _window_trend(v))
+    return d.select("job_id", "win", F.concat_ws(" | ", "signals").alias("signals"))
+
+
 @query("agg38_matched_phrases", """
 WITH t AS (SELECT job_id, lower(string_agg(text, ' ' ORDER BY seg_idx)) AS t FROM segments GROUP BY 1), h AS (SELECT job_id, p AS phrase, row_number() OVER (PARTITION BY job_id ORDER BY i) AS rank FROM t, (VALUES (0, 'the'), (1, 'of on'), (2, 'der'), (3, 'er st'), (4, '. the')) AS x(i, p) WHERE contains(t, p))
 SELECT * FROM h WHERE rank <= 3""")
