@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from timbrel.operators import clips, metrics, tracks, windows
+from timbrel.operators import catalog, clips, metrics, tracks, windows
 
 SPAN = "job_id long, span_id long, start double, `end` double, active_slot long"
 
@@ -71,3 +71,17 @@ def test_zone_signals(spark):
         (1, 1): ["cheering at 45s"], (1, 2): ["cheering at 45s"]}
     quiet = clips.zone_signals(jobs, segments.limit(0), scenes.limit(0), moments.limit(0))
     assert {(r.job_id, r.win): r.signals for r in quiet.collect()} == {(1, 0): [], (1, 1): [], (1, 2): []}
+
+
+def test_job_findings(spark):
+    jobs = spark.createDataFrame([(1, 100.0, "complete", {"text": "none"}), (2, 0.0, "complete", None), (3, 0.0, "queued", {})], "job_id long, duration double, status string, providers map<string,string>")
+    cuts = [(1, 1, -1.0, 9.0, 4.0), (1, 2, 3.0, 3.0, 601.0), (1, 3, 50.0, 101.5, 20.0), (1, 4, 60.0, 80.0, 20.0), (9, 5, -1.0, 9.0, 4.0)]
+    made = spark.createDataFrame(cuts, "job_id long, clip_id long, start double, `end` double, duration double")
+    segments = spark.createDataFrame([(1, "a"), (1, " \u3000"), (1, None)], "job_id long, text string")
+    scenes = spark.createDataFrame([(1,), (3,)], "job_id long")
+    got = {tuple(r) for r in catalog.job_findings(jobs, segments, scenes, made).collect()}
+    assert got == {
+        (1, 1, "warning", "Clip 1: too short (4.0s)"), (1, 1, "error", "Clip 1: negative start (-1.0s)"), (1, 1, "warning", "Clips 1 and 2: 6.0s overlap (>2s)"),
+        (1, 2, "warning", "Clip 2: too long (601.0s)"), (1, 2, "error", "Clip 2: end <= start (3.0-3.0)"), (1, 3, "error", "Clip 3: end (101.5s) exceeds video duration (100.0s)"),
+        (1, 3, "warning", "Clips 3 and 4: 41.5s overlap (>10s)"), (1, None, "warning", "2 empty transcript segments detected"), (1, None, "warning", catalog.NO_PROVIDER),
+        (2, None, "error", catalog.NO_TRANSCRIPT), (2, None, "error", catalog.NO_SCENES), (2, None, "error", catalog.NO_CLIPS), (3, None, "error", catalog.NO_TRANSCRIPT)}

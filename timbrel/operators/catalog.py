@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.ordered import scan, time_block
 from .filters import SETTLED
 from .windows import adjacent_overlaps
 
@@ -116,6 +117,58 @@ def job_checks(jobs: DataFrame, segments: DataFrame, scenes: DataFrame, clips: D
     return d.select("job_id", F.explode(F.array_compact(found)).alias("c")).select("job_id", "c.name", "c.status")
 
 
+# Messages of the job checks.
+NO_TRANSCRIPT = "No transcript — AI clip detection relies on transcript data"
+NO_SCENES = "No scene analysis — visual moment detection unavailable"
+NO_CLIPS = "Analysis completed but no clips found — check AI provider configuration"
+NO_PROVIDER = "Some pipeline stages used no AI provider (fallback/timeout)"
+
+
+def job_findings(jobs: DataFrame, segments: DataFrame, scenes: DataFrame, clips: DataFrame) -> DataFrame:
+    """Warnings and errors behind the checks of job_checks(): job_id, clip_id (null: of the whole job), level, finding.
+
+    One row per finding, so a job with many bad clips is no long row.  Rows of unknown jobs are left out.
+    """
+    def say(level: str, *parts: Column | str) -> Column:
+        return F.struct(F.lit(level).alias("level"), F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts]).alias("finding"))
+
+    def tenths(c: Column) -> Column:
+        return F.format_string("%.1f", c)
+
+    name, start, end, length = F.concat(F.lit("Clip "), F.col("clip_id").cast("string")), F.col("start"), F.col("end"), F.col("duration")
+    known = clips.join(jobs.select("job_id", F.col("duration").alias("_dur")), "job_id")
+    order = ["start", "clip_id"]
+    known = scan(known, ["job_id"], order, time_block("start"), nxt={"_n": F.struct("start", "clip_id")})
+    shared = end - F.col("_n.start")
+    found = F.array_compact(F.array(
+        F.when(length < 5, say("warning", name, ": too short (", tenths(length), "s)")).when(length > 600, say("warning", name, ": too long (", tenths(length), "s)")),
+        F.when(start < 0, say("error", name, ": negative start (", tenths(start), "s)")),
+        F.when((F.col("_dur") > 0) & (end > F.col("_dur") + 1), say("error", name, ": end (", tenths(end), "s) exceeds video duration (", tenths(F.col("_dur")), "s)")),
+        F.when(end <= start, say("error", name, ": end <= start (", tenths(start), "-", tenths(end), ")")),
+        F.when(shared > length * 0.5, say("warning", "Clips ", F.col("clip_id").cast("string"), " and ", F.col("_n.clip_id").cast("string"), ": ", tenths(shared), "s overlap (>",
+                                          F.bround(length * 0.5).cast("long").cast("string"), "s)")),
+    ))
+    of_clips = known.select("job_id", "clip_id", F.explode(found).alias("f"))
+
+    blank = ~F.coalesce(F.col("text").rlike(r"(?U)\S"), F.lit(False))
+    said = segments.groupBy("job_id").agg(F.count("*").alias("_said"), F.count_if(blank).alias("_blank"))
+    seen = scenes.groupBy("job_id").agg(F.count("*").alias("_seen"))
+    cut = clips.groupBy("job_id").agg(F.count("*").alias("_cut"))
+    d = jobs
+    for part in (said, seen, cut):
+        d = d.join(part, "job_id", "left")
+    none = F.exists(F.map_values("providers"), lambda p: p == "none")
+    found = F.array_compact(F.array(
+        F.when(F.col("_blank") > 0, say("warning", F.col("_blank").cast("string"), " empty transcript segments detected")),
+        F.when(F.col("_said").isNull(), say("error", NO_TRANSCRIPT)),
+        F.when(F.col("_seen").isNull(), say("error", NO_SCENES)),
+        F.when(F.col("_cut").isNull() & (F.col("status") == "complete"), say("error", NO_CLIPS)),
+        F.when(none, say("warning", NO_PROVIDER)),
+    ))
+    of_jobs = d.select("job_id", F.lit(None).cast(clips.schema["clip_id"].dataType).alias("clip_id"), F.explode(found).alias("f"))
+    return of_clips.unionByName(of_jobs).select("job_id", "clip_id", "f.level", "f.finding")
+
+
 def job_verdict(checks: DataFrame) -> DataFrame:
     """Overall verdict and counts of a job's checks."""
     n = {s: F.count_if(F.col("status") == s) for s in ("pass", "warn", "fail")}

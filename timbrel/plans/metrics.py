@@ -41,11 +41,14 @@ UNION ALL SELECT job_id, 'AI Providers', CASE WHEN provider IS NULL THEN 'info'
 UNION ALL SELECT job_id, 'Pipeline Duration', 'pass' FROM d WHERE seconds > 0)"""
 
 
-def _qa(v):
+def _qa_jobs(v):
     p = F.when(F.col("provider") == "hosted", "none").otherwise(F.col("provider"))
-    j = v.jobs.select(F.col("job_no").alias("job_id"), "status", F.when(F.col("job_no") % 3 == 0, 120.0).otherwise(0.0).alias("duration"), (F.col("job_no") % 4 != 0).alias("has_summary"),
+    return v.jobs.select(F.col("job_no").alias("job_id"), "status", F.when(F.col("job_no") % 3 == 0, 120.0).otherwise(0.0).alias("duration"), (F.col("job_no") % 4 != 0).alias("has_summary"),
                       F.expr("repeat('x', CAST(job_no % 40 AS INT))").alias("overview"), (F.col("job_no") % 5).alias("topics"), F.when(p.isNotNull(), F.create_map(F.lit("text"), p)).alias("providers"), (F.col("job_no") % 2).alias("seconds"))
-    return cat.job_checks(j, v.segments.withColumn("has_words", F.col("seg_idx") % 2 == 0), v.scenes, v.clips)
+
+
+def _qa(v):
+    return cat.job_checks(_qa_jobs(v), v.segments.withColumn("has_words", F.col("seg_idx") % 2 == 0), v.scenes, v.clips)
 
 
 @query("agg2_job_checks", f"WITH {QA_JOBS} SELECT * FROM k")
@@ -53,6 +56,32 @@ def _(v):
     return _qa(v)
 
 
+#: Clips with some lengths, starts and ends made odd, so that each finding occurs.
+ODD_CLIPS = {
+    "start": 'CASE WHEN clip_id % 43 = 0 THEN start - 300 WHEN clip_id % 47 = 0 THEN "end" ELSE start END', "end": 'CASE WHEN clip_id % 47 = 0 THEN start ELSE "end" END',
+    "duration": "CASE WHEN clip_id % 37 = 0 THEN duration / 10 WHEN clip_id % 41 = 0 THEN duration * 20 ELSE duration END",
+}
+
+
+@query("agg2_job_findings", f"""
+WITH {QA_JOBS}, oc AS (SELECT job_id, clip_id, dur, {', '.join(f'{e} AS "{n}"' for n, e in ODD_CLIPS.items())} FROM clips JOIN j USING (job_id)),
+os AS (SELECT job_id, seg_idx, CASE WHEN seg_idx % 9 = 4 THEN '  ' ELSE text END AS text FROM segments), nx AS (SELECT *, lead(start) OVER w AS ns, lead(clip_id) OVER w AS ni FROM oc WINDOW w AS (PARTITION BY job_id ORDER BY start, clip_id))
+SELECT job_id, clip_id, 'warning' AS level, 'Clip ' || clip_id || ': too ' || CASE WHEN duration < 5 THEN 'short' ELSE 'long' END || printf(' (%.1fs)', duration) AS finding FROM oc WHERE duration < 5 OR duration > 600
+UNION ALL SELECT job_id, clip_id, 'error', 'Clip ' || clip_id || printf(': negative start (%.1fs)', start) FROM oc WHERE start < 0
+UNION ALL SELECT job_id, clip_id, 'error', 'Clip ' || clip_id || printf(': end (%.1fs) exceeds video duration (%.1fs)', "end", dur::DOUBLE) FROM oc WHERE dur > 0 AND "end" > dur + 1
+UNION ALL SELECT job_id, clip_id, 'error', 'Clip ' || clip_id || printf(': end <= start (%.1f-%.1f)', start, "end") FROM oc WHERE "end" <= start
+UNION ALL SELECT job_id, clip_id, 'warning', 'Clips ' || clip_id || ' and ' || ni || printf(': %.1fs overlap (>', "end" - ns) || CAST(round_even(duration * 0.5::DOUBLE, 0) AS BIGINT) || 's)' FROM nx WHERE "end" - ns > duration * 0.5
+UNION ALL SELECT job_id, NULL, 'warning', count(*) || ' empty transcript segments detected' FROM os JOIN j USING (job_id) WHERE trim(text) = '' GROUP BY 1
+UNION ALL SELECT job_id, NULL, 'error', '{cat.NO_TRANSCRIPT}' FROM j ANTI JOIN segments USING (job_id)
+UNION ALL SELECT job_id, NULL, 'error', '{cat.NO_SCENES}' FROM j ANTI JOIN scenes USING (job_id)
+UNION ALL SELECT job_id, NULL, 'error', '{cat.NO_CLIPS}' FROM (SELECT * FROM j WHERE status = 'complete') q ANTI JOIN clips USING (job_id)
+UNION ALL SELECT job_id, NULL, 'warning', '{cat.NO_PROVIDER}' FROM j WHERE provider = 'none'""")
+def _(v):
+    odd = v.clips.select("job_id", "clip_id", *[F.expr(e.replace('"', "`")).alias(n) for n, e in ODD_CLIPS.items()])
+    said = v.segments.withColumn("text", F.when(F.col("seg_idx") % 9 == 4, "  ").otherwise(F.col("text")))
+    return cat.job_findings(_qa_jobs(v), said, v.scenes, odd)
+
+
 @query("agg2_job_verdict", f"""WITH {QA_JOBS} SELECT job_id, CASE WHEN count(*) FILTER (status = 'fail') > 0 THEN 'fail' WHEN count(*) FILTER (status = 'warn') > 0 THEN 'warn' ELSE 'pass' END AS overall,
  count(*) FILTER (status = 'pass') AS passed, count(*) FILTER (status = 'warn') AS warned, count(*) FILTER (status = 'fail') AS failed FROM k GROUP BY 1""")
 def _(v):
