@@ -54,3 +54,12 @@ def test_match_to_slots_at_the_edges(spark):
     got, after = fp.match_to_slots(prints, spark.createDataFrame([(1, 8, None)], SLOTS))
     assert {r.print_id: r.slot_id for r in got.collect()} == {1: None, 2: None, 3: 9, 4: None}
     assert sorted((r.slot_id, r.centroid) for r in after.where("job_id = 1").collect() if r.centroid) == [(9, [0.5, 0.5])]
+
+
+def test_blocks_of_sparse_ids_and_no_broadcast_of_copies(spark):
+    prints = spark.range(512).selectExpr("1L AS job_id", "id * 20 AS print_id", "array(1.0D, double(id)) AS v")
+    assert fp._blocks(prints.selectExpr("*", "print_id AS _id"), "_b").select("_b").distinct().count() == 2
+    centroids = prints.selectExpr("job_id", "print_id AS slot_id", "0L AS born", "v")
+    plan = fp._within(prints, centroids, 0.1)._jdf.queryExecution().executedPlan().toString()
+    assert [line for line in plan.splitlines() if "_salt" in line and "SortMergeJoin" in line]
+    assert not [line for line in plan.splitlines() if "_salt" in line and "BroadcastHashJoin" in line]

@@ -128,8 +128,11 @@ def chi_squared(a: Column, b: Column) -> Column:
 
 def unit_mass(values: Column) -> Column:
     """Histogram scaled to sum 1; an empty mass becomes uniform."""
-    total = F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
-    return F.transform(values, lambda x: F.when(total <= 0, 1.0 / F.greatest(F.size(values), F.lit(1))).otherwise(x / total))
+    def scaled(xs: Column) -> Column:
+        total = F.aggregate(xs, F.lit(0.0), lambda acc, x: acc + x)
+        return bind(total, lambda mass: F.transform(xs, lambda x: F.when(mass <= 0, 1.0 / F.greatest(F.size(xs), F.lit(1))).otherwise(x / mass)))
+
+    return bind(values, scaled)
 
 
 def safe_range(source: float, target: float, buffer: float = 3) -> tuple[int, int]:

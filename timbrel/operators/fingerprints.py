@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ordered import cut_lineage, fold_sorted, index_block, numbered
+from ..functions.ordered import cut_lineage, fold_sorted, index_block, numbered, written
 
 #: Fingerprints and centroids meet in blocks of this many.
 BLOCK_ROWS = 256
@@ -24,12 +24,19 @@ def chi_squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of every row of ``a`` to every row of ``b``, summed entry by entry so that blocks don't change them."""
     out = np.zeros((len(a), len(b)))
     for x, y in zip(a.T, b.T):
-        out += (x[:, None] - y[None, :]) ** 2 / (x[:, None] + y[None, :] + 1e-9)
+        apart, both = x[:, None] - y[None, :], x[:, None] + y[None, :]
+        both += 1e-9
+        apart *= apart
+        apart /= both
+        out += apart
     return out
 
 
-def _matrix(rows) -> np.ndarray:
-    return np.array([r["v"] for r in rows], dtype=float).reshape(len(rows), -1)
+def _blocks(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with _size and ``name``, the number of one of the job's blocks of about ``BLOCK_ROWS`` rows of that size."""
+    sized = rows.withColumn("_size", F.size("v"))
+    many = sized.groupBy("job_id", "_size").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_many"))
+    return sized.join(many, ["job_id", "_size"]).withColumn(name, F.expr("pmod(xxhash64(_id), _many)")).drop("_many")
 
 
 def _within(prints: DataFrame, centroids: DataFrame, threshold: float) -> DataFrame:
@@ -39,28 +46,37 @@ def _within(prints: DataFrame, centroids: DataFrame, threshold: float) -> DataFr
     for prints that are not before ``born``.  Ties go to the smaller slot_id.  Both sides are packed
     into blocks, and the blocks of prints are dealt over salted keys to which the (few) blocks of
     centroids are copied; what a print found in each of them is reduced by a partial aggregate.
+    The sizes of the arrays are unknown to the planner, so the join is told to shuffle: copies of
+    the centroids must not be gathered in the driver for a broadcast.
     """
-    job = prints.schema["job_id"].dataType.simpleString()
-    size, cell = F.size("v").alias("_size"), lambda c: index_block(c, BLOCK_ROWS)
-    left = prints.groupBy("job_id", size, cell("print_id").alias("_b")).agg(F.collect_list(F.struct("print_id", "v")).alias("_p"))
-    left = left.withColumn("_salt", F.pmod("_b", F.lit(SALTS)))
-    right = centroids.groupBy("job_id", size, cell("slot_id").alias("_c")).agg(F.collect_list(F.struct("slot_id", "born", "v")).alias("_s"))
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    met = left.join(right.drop("_c"), ["job_id", "_size", "_salt"]).select("job_id", "_p", "_s")
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for key, p, s in zip(pdf["job_id"], pdf["_p"], pdf["_s"]):
-                s = sorted(s, key=lambda r: r["slot_id"])
-                ids, slots = np.array([r["print_id"] for r in p]), np.array([r["slot_id"] for r in s])
-                far = chi_squared(_matrix(p), _matrix(s))
-                far[np.array([r["born"] for r in s])[None, :] > ids[:, None]] = np.inf
+    keys = ["job_id", "_size", "_salt"]
+    kinds = prints.schema["job_id"].dataType.simpleString()
+    left = _blocks(prints.withColumn("_id", F.col("print_id")), "_b").groupBy("job_id", "_size", "_b")
+    left = left.agg(F.collect_list(F.struct("print_id", "v")).alias("_p")).withColumn("_salt", F.pmod("_b", F.lit(SALTS)))
+    left = left.select(*keys, F.col("_p.print_id").alias("_ids"), F.flatten("_p.v").alias("_p"))
+    salts = prints.groupBy("job_id", F.size("v").alias("_size")).agg(F.least(F.ceil(F.count("*") / BLOCK_ROWS), F.lit(SALTS)).alias("_salts"))
+    right = _blocks(centroids.withColumn("_id", F.col("slot_id")), "_c").groupBy("job_id", "_size", "_c")
+    right = right.agg(F.sort_array(F.collect_list(F.struct("slot_id", "born", "v"))).alias("_s")).join(salts, ["job_id", "_size"])
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)))
+    right = right.select(*keys, F.col("_s.slot_id").alias("_slots"), F.col("_s.born").alias("_born"), F.flatten("_s.v").alias("_s"))
+    # a number of partitions of their own, as few bytes are much work here
+    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = left.repartition(parts, *keys).join(right.repartition(parts, *keys).hint("merge"), keys).drop("_size", "_salt")
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                entry = {c: batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("_ids", "_p", "_slots", "_born", "_s")}
+                ids, slots = entry["_ids"], entry["_slots"]
+                far = chi_squared(entry["_p"].reshape(len(ids), -1), entry["_s"].reshape(len(slots), -1))
+                far[entry["_born"][None, :] > ids[:, None]] = np.inf
                 at = far.argmin(axis=1)
                 best = far[np.arange(len(ids)), at]
-                hit = best <= threshold
-                yield pd.DataFrame({"job_id": key, "print_id": ids[hit], "dist": best[hit], "slot_id": slots[at[hit]]})
+                hit = np.flatnonzero(best <= threshold)
+                job = batch.column("job_id").take(pa.array(np.full(len(hit), i)))
+                yield pa.RecordBatch.from_arrays([job, pa.array(ids[hit]), pa.array(best[hit]), pa.array(slots[at[hit]])], ["job_id", "print_id", "dist", "slot_id"])
 
-    found = met.mapInPandas(nearest, f"job_id {job}, print_id long, dist double, slot_id long")
+    found = met.mapInArrow(nearest, f"job_id {kinds}, print_id long, dist double, slot_id long")
     best = F.min(F.struct("dist", "slot_id")).alias("_best")
     return found.groupBy("job_id", "print_id").agg(best).select("job_id", "print_id", "_best.slot_id")
 
@@ -75,7 +91,7 @@ def _first_of_their_kind(prints: DataFrame, threshold: float) -> DataFrame:
     job = prints.schema["job_id"].dataType.simpleString()
     # of equal histograms only the first can be new: the others are as near to what it is near to
     first = prints.groupBy("job_id", "v").agg(F.min("print_id").alias("print_id"))
-    todo = cut_lineage(first.select("job_id", "print_id", "v"))
+    todo = written(first.select("job_id", "print_id", "v"))
     new = todo.limit(0)
 
     def step(kept, row):
@@ -88,12 +104,12 @@ def _first_of_their_kind(prints: DataFrame, threshold: float) -> DataFrame:
 
     rank = F.row_number().over(Window.partitionBy("job_id").orderBy("print_id"))
     while not todo.isEmpty():
-        heads = cut_lineage(todo.withColumn("_n", rank).where(F.col("_n") <= HEADS).drop("_n"))
-        won = cut_lineage(fold_sorted(heads, ["job_id"], ["print_id"], f"job_id {job}, print_id long, v array<double>", list, step))
+        heads = written(todo.withColumn("_n", rank).where(F.col("_n") <= HEADS).drop("_n"))
+        won = written(fold_sorted(heads, ["job_id"], ["print_id"], f"job_id {job}, print_id long, v array<double>", list, step))
         new = new.unionByName(won)
         rest = todo.join(heads.select("job_id", "print_id"), ["job_id", "print_id"], "left_anti")
         near = _within(rest, won.select("job_id", F.col("print_id").alias("slot_id"), F.lit(-(2**63)).alias("born"), "v"), threshold)
-        todo = cut_lineage(rest.join(near, ["job_id", "print_id"], "left_anti"))
+        todo = written(rest.join(near, ["job_id", "print_id"], "left_anti"))
     return new
 
 
