@@ -1,6 +1,7 @@
 """Every operator on a small table with nulls, empty and repeated rows, clashing columns, and on no rows."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
@@ -179,6 +180,22 @@ def test_language_limits_of_rare_languages(spark, monkeypatch):
         assert found[0][0] == lang and found[0][3] and not found[1][3]
 
 
+def test_language_limits_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(language, "CALIBRATION_TEXTS", 20)
+    rng = random.Random(3)
+    rows = [(" ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(3 + i % 30)), lang) for lang, letters in (("a", "abcde"), ("b", "defgh")) for i in range(150)]
+    model = language.train(spark.createDataFrame(rows, "text string, lang string"))
+    for lang in "ab":
+        texts = [t for t, own in rows if own == lang]
+        known = [(value, len(t)) for t, (got, _, value, _) in zip(texts, model.predict(texts), strict=True) if got == lang]
+        value, n = (np.array(x, dtype=float) for x in zip(*known, strict=True))
+        mean = np.average(value, weights=n)
+        squares = (value - mean) ** 2
+        each = max(0.0, np.sum(squares / n) / np.sum(1 / n**2))
+        want = (mean, max(np.mean(np.maximum(squares - each / n, 0)), 0.01), each + 4.0)
+        assert model.limits[lang] == pytest.approx(want, rel=1e-6)
+
+
 def test_language_held_out(spark, sf_dir):
     got = QUERIES["op6_language_id"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang"), "doc_id").where("held_out").collect()
     assert sum(r.lang == r.lang_pred for r in got) >= 0.95 * len(got)

@@ -15,7 +15,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,7 +29,7 @@ DISCOUNT = 0.75
 MODEL_NGRAMS = 1 << 20
 #: Characters of a step where tables lie in shards, so that reading a shard serves many texts.
 SHARDED_STEP_CHARS = 4 * STEP_CHARS
-#: Labelled training texts of each language that its rejection limit is fitted on, about.
+#: Without effect, as rejection limits are fitted on all texts; the name stays for callers that set it.
 CALIBRATION_TEXTS = 4000
 #: A language with fewer rightly predicted ones takes the limit of all languages together.
 LEAST_CALIBRATED = 8
@@ -289,31 +288,28 @@ def _sharded(rows: DataFrame, shards: int, width: int) -> ShardedTable:
 
 
 def _limits(spark: SparkSession, rows: DataFrame, model: Model) -> dict[str, tuple[float, float, float]]:
-    """Per language mean entropy, and variance as a constant plus a share per character, from a bounded sample of each language's training texts.
+    """Per language mean entropy, and variance as a constant plus a share per character, from all of its rightly predicted training texts.
 
-    Languages with few rightly predicted texts get the limit of all such texts of the sample; there is
-    none where all languages together have too few.
+    Languages with few such texts get the limit of all languages together; there is none where all
+    together have too few.  Sums are made by Spark, one row per language reaches the driver.
     """
     if not model.langs:
         return {}
-    shares = {r[0]: min(1.0, CALIBRATION_TEXTS / r[1]) for r in rows.groupBy("lang").count().collect()}
-    sample = rows.sampleBy("lang", shares, seed=7)
-    scored = sample.mapInArrow(_scorer(spark, model, ["lang"]), "lang string, lang_pred string, score double, entropy double, n_letters long, rejected boolean").where("lang = lang_pred AND entropy IS NOT NULL").select("lang", "entropy", "n_letters").toPandas()
-    if len(scored) < LEAST_CALIBRATED:
-        return {}
-    out = dict.fromkeys(model.langs, _limit(scored))
-    for lang, own in scored.groupby("lang"):
-        if len(own) >= LEAST_CALIBRATED:
-            out[str(lang)] = _limit(own)
-    return out
-
-
-def _limit(own: pd.DataFrame) -> tuple[float, float, float]:
-    mean = float(np.average(own.entropy, weights=own.n_letters))
-    squares, share = (own.entropy.to_numpy() - mean) ** 2, 1.0 / own.n_letters.to_numpy()
-    each = max(0.0, float(np.sum(squares * share) / np.sum(share**2)))
-    spread = max(float(np.mean(np.maximum(squares - each * share, 0))), 0.01)
-    return mean, spread, each + 4.0
+    scored = rows.mapInArrow(_scorer(spark, model, ["lang"]), "lang string, lang_pred string, score double, entropy double, n_letters long, rejected boolean")
+    right = stored(scored.where("lang = lang_pred AND entropy IS NOT NULL").select("lang", "entropy", "n_letters"), "entropies")
+    together = _fitted(right.withColumn("lang", F.lit(UNKNOWN))).get(UNKNOWN)
+    return {} if together is None else dict.fromkeys(model.langs, together) | _fitted(right)
+
+
+def _fitted(right: DataFrame) -> dict[str, tuple[float, float, float]]:
+    """Limit of every language with at least ``LEAST_CALIBRATED`` rows (lang, entropy, n_letters)."""
+    share = 1.0 / F.col("n_letters")
+    means = right.groupBy("lang").agg((F.sum(F.col("entropy") * F.col("n_letters")) / F.sum("n_letters")).alias("mean"), F.count("*").alias("many"))
+    squares = right.join(F.broadcast(means.where(F.col("many") >= LEAST_CALIBRATED)), "lang").withColumn("sq", F.pow(F.col("entropy") - F.col("mean"), F.lit(2.0)))
+    each = squares.groupBy("lang").agg(F.greatest(F.lit(0.0), F.sum(F.col("sq") * share) / F.sum(share * share)).alias("each"))
+    over = F.greatest(F.col("sq") - F.col("each") * share, F.lit(0.0))
+    spread = squares.join(F.broadcast(each), "lang").groupBy("lang").agg(F.first("mean").alias("mean"), F.greatest(F.avg(over), F.lit(0.01)).alias("spread"), F.first("each").alias("each"))
+    return {r["lang"]: (r["mean"], r["spread"], r["each"] + 4.0) for r in spread.collect()}
 
 
 def _scorer(spark: SparkSession, model: Model, keep: list[str]):
