@@ -58,8 +58,37 @@ def test_match_to_slots_at_the_edges(spark):
 
 def test_blocks_of_sparse_ids_and_no_broadcast_of_copies(spark):
     prints = spark.range(512).selectExpr("1L AS job_id", "id * 20 AS print_id", "array(1.0D, double(id)) AS v")
-    assert fp._blocks(prints.selectExpr("*", "print_id AS _id"), "_b").select("_b").distinct().count() == 2
+    assert fp._blocks(prints.selectExpr("*", "print_id AS _id"), ["job_id"], "_b").select("_b").distinct().count() == 2
     centroids = prints.selectExpr("job_id", "print_id AS slot_id", "0L AS born", "v")
     plan = fp._within(prints, centroids, 0.1)._jdf.queryExecution().executedPlan().toString()
     assert [line for line in plan.splitlines() if "_salt" in line and "SortMergeJoin" in line]
     assert not [line for line in plan.splitlines() if "_salt" in line and "BroadcastHashJoin" in line]
+
+
+def test_persistent_ids_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(fp, "BLOCK_ROWS", 8)
+    from timbrel.operators.profiles import persistent_ids
+
+    rng = random.Random(4)
+    base = [[rng.random() ** 3 for _ in range(8)] for _ in range(12)]
+    rows = [(i % 2, i * 5, [max(0.0, x + rng.uniform(-0.1, 0.1)) for x in base[rng.randrange(12)]]) for i in range(90)]
+    rows += [(0, 1000 + i, rows[4][2]) for i in range(5)]
+    d = persistent_ids(spark.createDataFrame(rows, "job_id long, track_id long, signature array<double>"))
+    got = {(r.job_id, r.track_id): r.persistent_id for r in d.collect()}
+    for job in (0, 1):
+        seen, ids = [], {}
+        for _, i, v in sorted(r for r in rows if r[0] == job):
+            root = [(x / sum(v)) ** 0.5 for x in v]
+            near = min(((max(0.0, 1.0 - sum(a * b for a, b in zip(root, other))) ** 0.5, k) for k, other in seen), default=(1.0, None))
+            ids[i] = ids[near[1]] if near[0] < 0.35 else len(set(ids.values()))
+            seen.append((i, root))
+        assert {k: v for (j, k), v in got.items() if j == job} == ids
+
+
+def test_persistent_ids_makes_no_rows_of_pairs(spark):
+    from timbrel.operators.profiles import persistent_ids
+
+    rows = spark.range(600).selectExpr("0L AS job_id", "id AS track_id", "array(id % 7 + 1.0D, id % 11 + 1.0D, 3.0D) AS signature")
+    own = fp.met_blocks(*[rows.selectExpr("job_id", "track_id AS _id", "signature AS v")] * 2, ["job_id"])
+    assert own.count() == 9
+    assert persistent_ids(rows).count() == 600

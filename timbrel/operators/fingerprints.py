@@ -32,51 +32,63 @@ def chi_squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(rows: DataFrame, name: str) -> DataFrame:
-    """Rows with _size and ``name``, the number of one of the job's blocks of about ``BLOCK_ROWS`` rows of that size."""
-    sized = rows.withColumn("_size", F.size("v"))
-    many = sized.groupBy("job_id", "_size").agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_many"))
-    return sized.join(many, ["job_id", "_size"]).withColumn(name, F.expr("pmod(xxhash64(_id), _many)")).drop("_many")
+def _blocks(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Rows with ``name``, the number of one of the key's blocks of about ``BLOCK_ROWS`` rows."""
+    many = rows.groupBy(*keys).agg(F.ceil(F.count("*") / BLOCK_ROWS).alias("_many"))
+    return rows.join(many, keys).withColumn(name, F.expr("pmod(xxhash64(_id), _many)")).drop("_many")
+
+
+def met_blocks(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """All rows of ``left`` with all of ``right`` of the same keys and size, in blocks: keys, left_id, left_v, right_id, right_v.
+
+    Both have keys, _id and v; a block is an array of ids, ascending, and its vectors end to end.  The
+    blocks of ``left`` are dealt over salted keys to which those of ``right`` are copied.  The sizes
+    of the arrays are unknown to the planner, so the join is told to shuffle: the copies must not be
+    gathered in the driver for a broadcast.
+    """
+    own = [*keys, "_size"]
+    left, right = (d.select(*keys, F.size("v").alias("_size"), "_id", "v") for d in (left, right))
+    packed = lambda d, name: d.groupBy(*own, name).agg(F.sort_array(F.collect_list(F.struct("_id", "v"))).alias("_rows"))
+    salts = left.groupBy(*own).agg(F.least(F.ceil(F.count("*") / BLOCK_ROWS), F.lit(SALTS)).alias("_salts"))
+    a = packed(_blocks(left, own, "_block"), "_block").withColumn("_salt", F.pmod("_block", F.lit(SALTS)))
+    a = a.select(*own, "_salt", F.col("_rows._id").alias("left_id"), F.flatten("_rows.v").alias("left_v"))
+    b = packed(_blocks(right, own, "_block"), "_block").join(salts, own).withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)))
+    b = b.select(*own, "_salt", F.col("_rows._id").alias("right_id"), F.flatten("_rows.v").alias("right_v"))
+    # a number of partitions of their own, as few bytes are much work here
+    parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return a.repartition(parts, *own, "_salt").join(b.repartition(parts, *own, "_salt").hint("merge"), [*own, "_salt"]).drop("_size", "_salt")
+
+
+def unpacked(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and vectors of both blocks of a row."""
+    left, a, right, b = (batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("left_id", "left_v", "right_id", "right_v"))
+    return left, a.reshape(len(left), -1), right, b.reshape(len(right), -1)
 
 
 def _within(prints: DataFrame, centroids: DataFrame, threshold: float) -> DataFrame:
     """Nearest centroid within the threshold of each print that has one: job_id, print_id, slot_id.
 
     ``prints``: job_id, print_id, v; ``centroids``: job_id, slot_id, born, v.  A centroid takes part
-    for prints that are not before ``born``.  Ties go to the smaller slot_id.  Both sides are packed
-    into blocks, and the blocks of prints are dealt over salted keys to which the (few) blocks of
-    centroids are copied; what a print found in each of them is reduced by a partial aggregate.
-    The sizes of the arrays are unknown to the planner, so the join is told to shuffle: copies of
-    the centroids must not be gathered in the driver for a broadcast.
+    for prints that are not before ``born``.  Ties go to the smaller slot_id.  Both sides meet in
+    blocks; what a print found in each of them is reduced by a partial aggregate.
     """
-    keys = ["job_id", "_size", "_salt"]
-    kinds = prints.schema["job_id"].dataType.simpleString()
-    left = _blocks(prints.withColumn("_id", F.col("print_id")), "_b").groupBy("job_id", "_size", "_b")
-    left = left.agg(F.collect_list(F.struct("print_id", "v")).alias("_p")).withColumn("_salt", F.pmod("_b", F.lit(SALTS)))
-    left = left.select(*keys, F.col("_p.print_id").alias("_ids"), F.flatten("_p.v").alias("_p"))
-    salts = prints.groupBy("job_id", F.size("v").alias("_size")).agg(F.least(F.ceil(F.count("*") / BLOCK_ROWS), F.lit(SALTS)).alias("_salts"))
-    right = _blocks(centroids.withColumn("_id", F.col("slot_id")), "_c").groupBy("job_id", "_size", "_c")
-    right = right.agg(F.sort_array(F.collect_list(F.struct("slot_id", "born", "v"))).alias("_s")).join(salts, ["job_id", "_size"])
-    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_salts") - 1)))
-    right = right.select(*keys, F.col("_s.slot_id").alias("_slots"), F.col("_s.born").alias("_born"), F.flatten("_s.v").alias("_s"))
-    # a number of partitions of their own, as few bytes are much work here
-    parts = int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = left.repartition(parts, *keys).join(right.repartition(parts, *keys).hint("merge"), keys).drop("_size", "_salt")
+    kind = prints.schema["job_id"].dataType.simpleString()
+    met = met_blocks(prints.withColumn("_id", F.col("print_id")), centroids.withColumn("_id", F.struct("slot_id", "born")), ["job_id"])
+    met = met.select("job_id", "left_id", "left_v", F.col("right_id.slot_id").alias("right_id"), "right_v", F.col("right_id.born").alias("_born"))
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                entry = {c: batch.column(c)[i].values.to_numpy(zero_copy_only=False) for c in ("_ids", "_p", "_slots", "_born", "_s")}
-                ids, slots = entry["_ids"], entry["_slots"]
-                far = chi_squared(entry["_p"].reshape(len(ids), -1), entry["_s"].reshape(len(slots), -1))
-                far[entry["_born"][None, :] > ids[:, None]] = np.inf
+                ids, p, slots, s = unpacked(batch, i)
+                far = chi_squared(p, s)
+                far[batch.column("_born")[i].values.to_numpy()[None, :] > ids[:, None]] = np.inf
                 at = far.argmin(axis=1)
                 best = far[np.arange(len(ids)), at]
                 hit = np.flatnonzero(best <= threshold)
                 job = batch.column("job_id").take(pa.array(np.full(len(hit), i)))
                 yield pa.RecordBatch.from_arrays([job, pa.array(ids[hit]), pa.array(best[hit]), pa.array(slots[at[hit]])], ["job_id", "print_id", "dist", "slot_id"])
 
-    found = met.mapInArrow(nearest, f"job_id {kinds}, print_id long, dist double, slot_id long")
+    found = met.mapInArrow(nearest, f"job_id {kind}, print_id long, dist double, slot_id long")
     best = F.min(F.struct("dist", "slot_id")).alias("_best")
     return found.groupBy("job_id", "print_id").agg(best).select("job_id", "print_id", "_best.slot_id")
 

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
+from functools import partial, reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import cut_lineage, fold_sorted, index_block, numbered, pick_ranks, scan
 from ..functions.ranges import overlap_pairs, points_in
 from .faces import slot_motion
-from .joins import crop_pass_rate, dot
+from .fingerprints import met_blocks, unpacked
+from .joins import crop_pass_rate
 from .metrics import share
 
 # Content types in tie order, and description words by topic.
@@ -214,13 +218,41 @@ def text_summary(segments: DataFrame, scenes: DataFrame) -> DataFrame:
     return d.select("job_id", "speakers", "minutes", opening.alias("opening"), F.coalesce("topics", F.array(F.lit("video content"))).alias("topics"), tone.alias("tone"))
 
 
+#: Products of a matrix and sums entry by entry differ by less than this.
+ROUNDING = 1e-9
+
+
+def _closest_earlier(batches: Iterator[pa.RecordBatch], limit: float) -> Iterator[pa.RecordBatch]:
+    """Closest earlier track of each track of a block in another block, if within the limit.
+
+    A matrix product leaves the pairs that can be the closest; theirs are summed entry by entry, so
+    that blocks don't change the distances.
+    """
+    for batch in batches:
+        for i in range(batch.num_rows):
+            later, a, earlier, b = unpacked(batch, i)
+            alike = a @ b.T
+            alike[(earlier[None, :] >= later[:, None]) | np.isnan(alike)] = -np.inf
+            top = alike.max(axis=1)
+            x, y = np.nonzero((alike >= np.minimum(top, 1.0)[:, None] - ROUNDING) & (alike > 1.0 - limit**2 - ROUNDING))
+            exact = np.zeros(len(x))
+            for k in range(a.shape[1]):
+                exact += a[x, k] * b[y, k]
+            far = np.sqrt(np.maximum(1.0 - exact, 0.0))
+            order = np.lexsort((earlier[y], far, x))
+            order = order[far[order] < limit]
+            first = order[np.unique(x[order], return_index=True)[1]]
+            job = batch.column("job_id").take(pa.array(np.full(len(first), i)))
+            yield pa.RecordBatch.from_arrays([job, pa.array(later[x[first]]), pa.array(far[first]), pa.array(earlier[y[first]])], ["job_id", "later", "dist", "earlier"])
+
+
 def persistent_ids(tracks: DataFrame, limit: float = 0.35) -> DataFrame:
     """Identity of each track (job_id, track_id, signature): that of the closest earlier track of
     the job within the limit, else a new one, numbered in track order.
 
     The distance is that of square-root histograms.  Two such vectors within the
     limit also lie close in any projection, so tracks meet only in neighbouring
-    cells of two projections.  Links point to earlier tracks and are followed by
+    cells of two projections, there in blocks.  Signatures of another length never match.  Links point to earlier tracks and are followed by
     doubling.
     """
     total = F.aggregate("signature", F.lit(0.0), lambda acc, x: acc + x.cast("double"))
@@ -232,10 +264,11 @@ def persistent_ids(tracks: DataFrame, limit: float = 0.35) -> DataFrame:
     reach = (2 * limit**2) ** 0.5
     d = cut_lineage(d.withColumns({"_a": F.floor(flat / reach), "_b": F.floor(half / reach)}))
     near = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1))
-    later = d.where("_v IS NOT NULL").select("job_id", F.col("track_id").alias("later"), F.col("_v").alias("v2"), near("_a").alias("_a"), "_b").select("job_id", "later", "v2", "_a", near("_b").alias("_b"))
-    pairs = later.join(d.where("_v IS NOT NULL").select("job_id", F.col("track_id").alias("earlier"), F.col("_v").alias("v1"), "_a", "_b"), ["job_id", "_a", "_b"]).where("earlier < later")
-    dist = F.sqrt(F.greatest(F.lit(0.0), 1.0 - dot(F.col("v1"), F.col("v2"))))
-    best = pairs.withColumn("_d", dist).where(F.col("_d") < limit).groupBy("job_id", "later").agg(F.min_by("earlier", F.struct("_d", "earlier")).alias("up"))
+    own = d.where("_v IS NOT NULL").select("job_id", "_a", "_b", F.col("track_id").cast("long").alias("_id"), F.col("_v").alias("v"))
+    later = own.withColumn("_a", near("_a")).withColumn("_b", near("_b"))
+    kind = d.schema["job_id"].dataType.simpleString()
+    found = met_blocks(later, own, ["job_id", "_a", "_b"]).drop("_a", "_b").mapInArrow(partial(_closest_earlier, limit=limit), f"job_id {kind}, later long, dist double, earlier long")
+    best = found.groupBy("job_id", "later").agg(F.min(F.struct("dist", "earlier")).alias("_best")).select("job_id", "later", F.col("_best.earlier").alias("up"))
     link = cut_lineage(d.select("job_id", "track_id").join(best.withColumnRenamed("later", "track_id"), ["job_id", "track_id"], "left").withColumn("up", F.coalesce("up", "track_id")))
     while True:
         hop = link.select("job_id", F.col("track_id").alias("up"), F.col("up").alias("_u2"))
