@@ -455,3 +455,15 @@ def test_split_sentences_of_a_long_text(spark):
     got = plan.orderBy("seg_idx", "part").collect()
     assert [(r.part, r.start, r.end, r.text) for r in got if r.seg_idx == 0] == [(i, 1.0 * i, 1.0 * i + 0.9, f"S{i} is.") for i in range(n)]
     assert [(r.start, r.end, r.text) for r in got if r.seg_idx] == [(0.0, 9.0, None), (0.0, 8.0 * 8 / 19, "One two."), (8.0 * 8 / 19, 8.0, "Three four.")]
+
+
+def test_proportional_words_of_a_long_text(spark):
+    from timbrel.functions.text import proportional_words
+
+    n = 4000
+    rows = [(0, " ab\tcd " * n, 0.0, 4.0 * n), (1, None, 0.0, 1.0), (2, "  ", 0.0, 1.0), (3, "a bcd", 0.0, 8.0)]
+    d = spark.createDataFrame(rows, "id long, text string, start double, end double").select("id", proportional_words(F.col("text"), F.col("start"), F.col("end")).alias("w"))
+    assert "substring_index" not in d._jdf.queryExecution().optimizedPlan().toString()  # reads the text anew for every word
+    got = {r.id: r.w for r in d.collect()}
+    assert got[0] == [(2.0 * i, 2.0 * i + 2.0, "cd" if i % 2 else "ab") for i in range(2 * n)]
+    assert got[1] is None and got[2] is None and got[3] == [(0.0, 2.0, "a"), (2.0, 8.0, "bcd")]

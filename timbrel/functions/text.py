@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 # Words left out of chapter keywords.
 STOP_WORDS = tuple("""
@@ -151,18 +154,22 @@ def safe_x(x: Column, source: float | None = None, target: float | None = None,
     return F.greatest(F.lit(low), F.least(F.lit(high), F.floor(x + 0.5)))
 
 
+@F.pandas_udf(ArrayType(IntegerType()))
+def _running(sizes: pd.Series) -> pd.Series:
+    return pd.Series([None if n is None else np.cumsum(n).tolist() for n in sizes], dtype=object)
+
+
 def proportional_words(text: Column, start: Column, end: Column, digits: int | None = 3) -> Column:
     """Words with times shared out by length.
 
-    Characters before word i are read off the single-spaced text.
+    Characters up to each word are summed in one pass over the words of a text.
     """
     clean = F.trim(F.regexp_replace(text, r"\s+", " "))
-
-    def spread(line: Column) -> Column:
-        words = F.split(line, " ")
-        total = F.length(F.replace(line, F.lit(" ")))
-        upto = lambda i: F.length(F.call_function("substring_index", line, F.lit(" "), i)) - F.greatest(i - 1, F.lit(0))
-        at = lambda c: F.round(start + (end - start) * c / total, digits) if digits is not None else start + (end - start) * c / total
-        return F.transform(words, lambda w, i: F.struct(at(upto(i + 1) - F.length(w)).alias("start"), at(upto(i + 1)).alias("end"), w.alias("word")))
-
-    return F.when(clean != "", bind(clean, spread))
+    words = F.split(clean, " ")
+    upto = _running(F.transform(words, lambda w: F.length(w)))
+    # a Python function can't stand inside a lambda, so its sums go along with the words
+    sums = F.zip_with(upto, F.array_repeat(F.element_at(upto, -1), F.size(upto)), lambda c, n: F.struct(c.alias("upto"), n.alias("total")))
+    share = lambda c, n: start + (end - start) * c / n
+    at = lambda c, n: F.round(share(c, n), digits) if digits is not None else share(c, n)
+    timed = F.zip_with(words, sums, lambda w, c: F.struct(at(c["upto"] - F.length(w), c["total"]).alias("start"), at(c["upto"], c["total"]).alias("end"), w.alias("word")))
+    return F.when(clean != "", timed)
