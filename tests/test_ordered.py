@@ -134,3 +134,34 @@ def test_as_of_many(spark):
         i = bisect.bisect_right(ts, r.t)
         assert (r.before.t if r.before else None) == (ts[i - 1] if i else None)
         assert (r.after.t if r.after else None) == (ts[i] if i < len(ts) else None)
+
+
+def test_scan_reads_no_frame_to_the_end(spark):
+    """A frame from each row to the end is read anew for every row, which is quadratic in a block."""
+    df = spark.createDataFrame(series(), "job_id int, t double, id int, v int")
+    got = scan(df, ["job_id"], ["t", "id"], time_block("t", 3), back={"b": F.col("v")})
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+
+
+def test_scan_low_is_the_least_from_here_on(spark):
+    rows = series(seed=9)
+    df = spark.createDataFrame(rows, "job_id int, t double, id int, v int")
+    got = {(r.job_id, r.id): r.b for r in scan(df, ["job_id"], ["t", "id"], time_block("t", 3), low={"b": F.col("v")}).collect()}
+    for job, rs in by_job(rows).items():
+        for i, r in enumerate(rs):
+            assert got[(job, r[2])] == min((x[3] for x in rs[i:] if x[3] is not None), default=None)
+
+
+def test_as_of_times_alone(spark):
+    """Without further columns the times aggregate by hashing, no rows are sorted for it; a side that is not asked for is left out."""
+    left, right = series(seed=10), series(seed=11)
+    l = spark.createDataFrame(left, "job_id int, t double, id int, v int")
+    r = spark.createDataFrame([(j, t) for j, t, _, _ in right] + [(1, None), (1, float("nan"))], "job_id int, rt double")
+    got = as_of(l, r, ["job_id"], "t", "rt", [], seconds=3)
+    assert "SortAggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    times = {j: [x[1] for x in rs] for j, rs in by_job(right).items()}
+    for x in got.collect():
+        before = [t for t in times.get(x.job_id, []) if t <= x.t]
+        after = [t for t in times.get(x.job_id, []) if t > x.t]
+        assert (x.before and x.before.t, x.after and x.after.t) == (max(before, default=None), min(after, default=None))
+    assert as_of(l, r, ["job_id"], "t", "rt", [], sides=("before",)).columns == ["job_id", "t", "id", "v", "before"]
