@@ -5,6 +5,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+from timbrel.functions.ranges import as_of
 from timbrel.operators import clips as cl
 from timbrel.operators import joins as jn
 from timbrel.operators import speakers as sp
@@ -299,6 +300,16 @@ def test_region_clusters(spark):
             assert got[r[1]] == c[0][1]
 
 
+def test_region_clusters_look_back_only(spark, monkeypatch):
+    """Only the cut before a region counts; the one after it is not looked up."""
+    asked = []
+    monkeypatch.setattr(tr, "as_of", lambda *a, **k: asked.append(k.get("sides")) or as_of(*a, **k))
+    d = spark.createDataFrame([(1, 1, 0.0, 20.0, 50.0, 10.0, 10.0), (1, 2, 0.1, 20.0, 50.0, 10.0, 10.0), (1, 3, 0.2, 20.0, 50.0, 10.0, 10.0)], "job_id long, region_id long, t double, x double, y double, w double, h double")
+    got = tr.region_clusters(d, spark.createDataFrame([(1, 0.2)], "job_id long, t double"))
+    assert sorted((r.region_id, r.cluster_id) for r in got.collect()) == [(1, 1), (2, 1), (3, 3)]
+    assert asked == [("before",)]
+
+
 def test_position_clusters(spark):
     xs = [20, 21, 22, 21, 20, 50, 51, 80, 81, 82, 79, 80]
     rows = [(1, i, float(x)) for i, x in enumerate(xs)] + [(2, i, 50.0 + i) for i in range(6)] + [(3, 0, 1.0)]

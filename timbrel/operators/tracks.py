@@ -332,27 +332,38 @@ def region_clusters(regions: DataFrame, cuts: DataFrame, iou: float = 0.3, gap:
     and is cut at longer pauses.
     """
     c = cuts.select("job_id", F.col("t").alias("_ct")).distinct()
-    d = as_of(regions, c, ["job_id"], "t", "_ct", []).withColumn("_shot", F.coalesce("before.t", F.lit(-1.0))).drop("before", "after")
+    boxes = regions.select("job_id", "t", "region_id", "x", "y", "w", "h")
+    d = as_of(boxes, c, ["job_id"], "t", "_ct", [], sides=("before",)).withColumn("_shot", F.coalesce("before.t", F.lit(-1.0))).drop("before")
     d = islands(d, ["job_id", "_shot"], ["t", "region_id"], time_block("t"), ["t"], lambda p, q: q["t"] - p["t"] > gap, "_run")
     d = d.select("job_id", "_shot", "_run", "t", "region_id", "x", "y", "w", "h")
 
-    def overlap(a, b):
-        ix = min(a[1] + a[3] / 2, b[1] + b[3] / 2) - max(a[1] - a[3] / 2, b[1] - b[3] / 2)
-        iy = min(a[2] + a[4] / 2, b[2] + b[4] / 2) - max(a[2] - a[4] / 2, b[2] - b[4] / 2)
-        if ix <= 0 or iy <= 0:
-            return 0.0
-        union = a[3] * a[4] + b[3] * b[4] - ix * iy
-        return ix * iy / union if union > 0 else 0.0
-
     def step(live, row):
-        me = (row[3], row[5], row[6], row[7], row[8])
-        live[:] = [g for g in live if me[0] - g[1][0] <= gap]
-        for g in live:
-            if overlap(g[1], me) > iou:
-                g[1] = me
-                return live, [(row[0], row[4], g[0])]
-        live.append([row[4], me])
-        return live, [(row[0], row[4], row[4])]
+        job, _, _, t, me, x, y, w, h = row
+        left, right, top, bottom, area = x - w / 2, x + w / 2, y - h / 2, y + h / 2, w * h
+        at, late = -1, False
+        for i, (_, seen, l, r, u, b, size) in enumerate(live):
+            if not t - seen <= gap:
+                late = True
+                continue
+            ix = (right if right < r else r) - (left if left > l else l)
+            if ix <= 0:
+                continue
+            iy = (bottom if bottom < b else b) - (top if top > u else u)
+            if iy <= 0:
+                continue
+            union = size + area - ix * iy
+            if (ix * iy / union if union > 0 else 0.0) > iou:
+                at = i
+                break
+        group = live[at][0] if at >= 0 else me
+        mine = (group, t, left, right, top, bottom, area)
+        if at >= 0:
+            live[at] = mine
+        else:
+            live.append(mine)
+        if late:
+            live[:] = [g for g in live if t - g[1] <= gap]
+        return live, [(job, me, group)]
 
     got = fold_sorted(d, ["job_id", "_shot", "_run"], ["t", "region_id"], f"job_id {_job_type(regions)}, region_id bigint, cluster_id bigint", list, step)
     return regions.join(got, ["job_id", "region_id"])
