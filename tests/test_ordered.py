@@ -165,3 +165,23 @@ def test_as_of_times_alone(spark):
         after = [t for t in times.get(x.job_id, []) if t > x.t]
         assert (x.before and x.before.t, x.after and x.after.t) == (max(before, default=None), min(after, default=None))
     assert as_of(l, r, ["job_id"], "t", "rt", [], sides=("before",)).columns == ["job_id", "t", "id", "v", "before"]
+
+
+def test_blocks_of_greedy_thinning_are_plain_lists():
+    """Most blocks hold one or two times, for which arrays cost far more than the times; the map of a block agrees with the choice."""
+    from timbrel.functions.ordered import _kept, _last_kept
+
+    rnd = random.Random(12)
+    for _ in range(300):
+        x = sorted({round(rnd.uniform(10, 14), 2) for _ in range(rnd.randint(1, 30))})
+        gap, strict = rnd.choice([0.0, 0.1, 0.3, 1.0]), rnd.random() < 0.5
+        entry = rnd.choice([None, round(rnd.uniform(8, 10), 2)])
+        last, want = entry, []
+        for i, t in enumerate(x):
+            if last is None or (t - last > gap if strict else t - last >= gap):
+                want.append(i)
+                last = t
+        assert _kept(x, entry, gap, strict) == want
+        heads, tails = _last_kept(x, 10.0, gap, strict)
+        first = next((i for i, h in enumerate(heads) if entry is None or (h - entry > gap if strict else h - entry >= gap)), None)
+        assert (entry if first is None else tails[first]) == last
