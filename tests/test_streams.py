@@ -135,3 +135,27 @@ def test_upsert_stream(spark, tmp_path):
     st.upsert_stream(replay(spark, tmp_path, d, "changes"), table, "job_id", "version", 4).awaitTermination()
     got = sorted((r.job_id, r.version, r.status) for r in spark.read.parquet(table).collect())
     assert got == [(f"j{i}", 15 + i, f"s{15 + i}") for i in range(5)]
+
+
+def test_fold_of_a_key_keeps_few_rows_as_objects():
+    """The rows of a key come in order, some at a time, with their values as they were; the others stay plain numbers."""
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rnd = np.random.default_rng(5)
+    big = [pd.DataFrame({"k": np.ones(10_000, np.int64), "id": rnd.permutation(10_000), "t": rnd.integers(0, 500, 10_000) / 10}) for _ in range(20)]
+    tracemalloc.start()
+    seen, last = 0, (-1.0, -1)
+    for rows in st.rows_in_order(iter(big), ["k", "id", "t"], ["t", "id"]):
+        seen += len(rows)
+        for _, i, t in rows:
+            assert last <= (t, i)
+            last = (t, i)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 200_000 and peak < 100 * seen  # as rows of objects they are twice that
+    mixed = [pd.DataFrame({"id": [2**60 + 1], "t": [1.0]}), pd.DataFrame({"id": [None, 3.0], "t": [0.5, 2.0]})]
+    rows = [r for part in st.rows_in_order(mixed, ["id", "t"], ["t"], 2) for r in part]
+    assert rows[1:] == [(2**60 + 1, 1.0), (3.0, 2.0)] and math.isnan(rows[0][0])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,28 @@ from pyspark.sql.types import StructType
 from ..functions.ordered import checkpoint_folder, ema, fold_sorted, islands, scan, time_block
 
 
+#: Rows of a key that are Python objects at a time, in and out.
+ROWS = 10_000
+
+
+def rows_in_order(pdfs: Iterable[pd.DataFrame], cols: list[str], order: list[str], rows: int = ROWS) -> Iterator[list[tuple]]:
+    """All rows of the frames in order, some at a time; the rest stays in arrays of plain numbers."""
+    parts: dict[str, list[np.ndarray]] = {c: [] for c in cols}
+    for pdf in pdfs:
+        for c in cols:
+            parts[c].append(pdf[c].to_numpy())
+    whole = {}
+    for c in cols:
+        # a column that is numbers in one frame and has gaps in another keeps the values of each
+        own = parts.pop(c)
+        if len({a.dtype for a in own}) > 1:
+            own = [np.array([*a.tolist(), None], object)[:-1] for a in own]
+        whole[c] = np.concatenate(own) if own else np.empty(0, object)
+    at = np.lexsort([whole[c] for c in reversed(order)])
+    for a in range(0, len(at), rows):
+        yield list(zip(*(whole[c][at[a : a + rows]].tolist() for c in cols)))
+
+
 def keyed_stream(stream: DataFrame, keys: list[str], order: list[str], schema: str, start: Callable, step: Callable) -> DataFrame:
     """Run a fold step with state per key; the rows of one micro-batch are put in order first.
 
@@ -29,17 +51,16 @@ def keyed_stream(stream: DataFrame, keys: list[str], order: list[str], schema: s
     """
     cols = stream.columns
     names = StructType.fromDDL(schema).names
-    rank = [cols.index(c) for c in order]
 
     def run(key: tuple, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         value = json.loads(state.get[0]) if state.exists else start()
-        rows = sorted((r for pdf in pdfs for r in zip(*(pdf[c].tolist() for c in cols))), key=lambda r: tuple(r[i] for i in rank))
-        out: list[tuple] = []
-        for row in rows:
-            value, emitted = step(value, row)
-            out.extend(emitted)
+        for rows in rows_in_order(pdfs, cols, order):
+            out: list[tuple] = []
+            for row in rows:
+                value, emitted = step(value, row)
+                out.extend(emitted)
+            yield pd.DataFrame(out, columns=names).astype(object)
         state.update((json.dumps(value),))
-        yield pd.DataFrame(out, columns=names).astype(object)
 
     return stream.groupBy(*keys).applyInPandasWithState(run, schema, "s string", "append", GroupStateTimeout.NoTimeout)
 
