@@ -310,6 +310,14 @@ def test_region_clusters_look_back_only(spark, monkeypatch):
     assert asked == [("before",)]
 
 
+def test_unit_vector_has_one_norm_a_row(spark):
+    """The norm stands once in the plan, outside of what runs for each element."""
+    rows = [(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, None), (4, [3.0, None])]
+    got = spark.createDataFrame(rows, "id int, e array<double>").select("id", jn.unit_vector(F.col("e")).alias("u"))
+    assert {r.id: r.u for r in got.collect()} == {1: [0.6, 0.8], 2: [0.0, 0.0], 3: None, 4: [3.0, None]}
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 1
+
+
 def test_position_clusters(spark):
     xs = [20, 21, 22, 21, 20, 50, 51, 80, 81, 82, 79, 80]
     rows = [(1, i, float(x)) for i, x in enumerate(xs)] + [(2, i, 50.0 + i) for i in range(6)] + [(3, 0, 1.0)]
