@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from timbrel.llm import arrow_output, chat, decontaminate, language, licenses, near_dedup, neighbours, packing, personal, toxicity
 from timbrel.llm.common import public_tokenizer
@@ -211,6 +212,39 @@ def test_near_duplicates(docs, none, rows):
     assert near_dedup.classes(none).count() == 0
 
 
+def test_near_copies_meet_in_blocks(spark, monkeypatch):
+    """A bucket of near copies around the limit gives the components of all pairs, and no more links than texts in blocks."""
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(150)]
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for j in rng.sample(range(150), rng.choice([1, 2, 3, 4, 6])):
+            words[j] = f"x{i}y{j}"
+        texts.append(" ".join(words + words[:7] * (i % 2)))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    idf = near_dedup.inverse_frequencies(docs)
+    sets = [(h, n, near_dedup.weights(h, n, idf)) for h, n in near_dedup.shingles(texts, near_dedup.SHINGLE)]
+    smallest = list(range(len(texts)))
+    for a in range(len(texts)):
+        for b in range(a):
+            if near_dedup.weighted_jaccard(sets[a][0], sets[a][2], sets[b][0], sets[b][2]) >= near_dedup.SIMILARITY:
+                x, y = sorted((smallest[a], smallest[b]))
+                smallest = [x if v == y else v for v in smallest]
+    names = [bytes([i]) for i in range(len(texts))]
+    links = near_dedup.block_links([h for h, _, _ in sets], [n for _, n, _ in sets], names, idf)
+    assert len(links) < len(texts) and {b[0] for _, b in links} <= set(smallest)
+    assert all(smallest[a[0]] == smallest[b[0]] for a, b in links) and len(links) == len(texts) - len(set(smallest))
+    assert 2 < len(set(smallest)) < len(texts) - 2
+    for size in (512, 5):
+        monkeypatch.setattr(near_dedup, "BLOCK", size)
+        got = {r.doc_id: r.class_id for r in near_dedup.classes(docs).collect()}
+        assert [got[i] for i in range(len(texts))] == smallest
+    ids = docs.select(F.lit(0).alias("band"), F.lit(7).cast("long").alias("key"), near_dedup._text_key(F.col("text")).alias("id"), F.lit(150.0).alias("weight"), near_dedup._text_key(F.col("text")).alias("root"), "doc_id")
+    blocks = -(-(len(texts) - 1) // 5) + 1
+    assert near_dedup.compared(ids.drop("doc_id"), docs, ids.select("id", "doc_id"), idf).count() <= len(texts) * blocks
+
+
 def test_samples_agree_like_weighted_jaccard():
     rng = np.random.default_rng(1)
     h = rng.integers(1, 2**63, 600).astype(np.uint64)

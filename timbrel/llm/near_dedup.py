@@ -7,8 +7,8 @@ verified by the exact weighted Jaccard similarity of the whole texts.
 
 Copies are first reduced to their text.  In a bucket each text is compared with the bucket's first
 one, so a bucket of m alike texts costs m comparisons.  Buckets whose texts are then still in several
-classes compare each text with a few others in some turns, which joins what is densely linked, and at
-last all texts of different classes, if length and samples allow the similarity.
+classes are compared in full, block by block: all similarities of a few hundred texts are one matrix
+product, and a block gives at most one link per text, so no rows of pairs are made.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 4
 #: Document frequencies are counted in this many hashed buckets (2 to the power), as hashing TF-IDF does.
 DF_BITS = 18
-#: Of a pair of similarity 0.8 fewer than half of the samples agree once in 100,000 pairs.
-AGREE = BANDS * ROWS // 2
-#: Turns in which further members of a bucket are compared with the others, and how many in each.
-TURNS, HUBS = 4, 4
+#: A block of a bucket holds about this many texts, and shingles.
+BLOCK, BLOCK_WEIGHT = 512, 1_000_000
+#: Columns of a block's matrix that are multiplied at a time.
+COLUMNS = 2048
 _SEEDS = mix(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _SCALE = np.float32(2.0**-32)
 
@@ -102,14 +102,14 @@ def samples(hashes: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
-    """doc_id, id (digest of the text), weight, agree (the samples), bands (keys; none for a text without words)."""
+    """doc_id, id (digest of the text), weight, bands (keys of the samples; none for a text without words)."""
     shared = docs.sparkSession.sparkContext.broadcast(idf)  # 2 ** DF_BITS numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for a, b in steps(texts):
-                total, sampled, keys = [], [], []
+                total, keys = [], []
                 for h, n in shingles(texts[a:b], SHINGLE):
                     w = weights(h, n, shared.value)
                     total.append(float(w.sum(dtype=np.float64)))
@@ -118,19 +118,33 @@ def sketches(docs: DataFrame, idf: np.ndarray) -> DataFrame:
                         k = np.arange(BANDS, dtype=np.uint64)
                         for row in range(ROWS):
                             k = mix(k + s[row::ROWS].astype(np.uint64))
-                        sampled.append(s.view(np.int32).tolist())
                         keys.append(k.view(np.int64).tolist())
                     else:
-                        sampled.append([])
                         keys.append([])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("id"), pa.array(total, pa.float64()), pa.array(sampled, pa.list_(pa.int32())), pa.array(keys, pa.list_(pa.int64()))],
-                    ["doc_id", "id", "weight", "agree", "bands"],
+                    [part.column("doc_id"), part.column("id"), pa.array(total, pa.float64()), pa.array(keys, pa.list_(pa.int64()))],
+                    ["doc_id", "id", "weight", "bands"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), "text", _text_key(F.col("text")).alias("id"))
-    return rows.mapInArrow(run, "doc_id long, id binary, weight double, agree array<int>, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, id binary, weight double, bands array<long>")
+
+
+def weighted_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.ndarray) -> float:
+    """Similarity of two weighted sets of ascending hashes."""
+    _, i1, i2 = np.intersect1d(h1, h2, assume_unique=True, return_indices=True)
+    common = float(np.minimum(w1[i1], w2[i2]).sum(dtype=np.float64))
+    return common / (float(w1.sum(dtype=np.float64)) + float(w2.sum(dtype=np.float64)) - common)
+
+
+def texts_of(needed: DataFrame, docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """id and text of the needed ids."""
+    needed = needed.join(texts.select("id", "doc_id"), "id")
+    # one row of each text: the one with the smallest doc_id; copies go to other partitions and fall out
+    own = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"), _text_key(F.col("text")).alias("_id"))
+    found = own.join(needed, (own._id == needed.id) & own._doc.eqNullSafe(needed.doc_id))
+    return found.groupBy("id", "doc_id").agg(F.first("text").alias("text")).select("id", "text")
 
 
 def similar(pairs: DataFrame, docs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
@@ -152,24 +166,127 @@ def similar(pairs: DataFrame, docs: DataFrame, texts: DataFrame, idf: np.ndarray
                         h, n = shingles([text], SHINGLE)[0]
                         known[key] = h, weights(h, n, shared.value)
                     vectors.append(known[key])
-                (h1, w1), (h2, w2) = vectors
-                _, i1, i2 = np.intersect1d(h1, h2, assume_unique=True, return_indices=True)
-                common = float(np.minimum(w1[i1], w2[i2]).sum(dtype=np.float64))
-                value.append(common / (float(w1.sum(dtype=np.float64)) + float(w2.sum(dtype=np.float64)) - common))
+                value.append(weighted_jaccard(*vectors[0], *vectors[1]))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(value, pa.float64())], ["a", "b", "similarity"])
 
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(texts.select("id", "doc_id"), "id")
-    # one row of each text: the one with the smallest doc_id; copies go to other partitions and fall out
-    own = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.coalesce("text", F.lit("")).alias("text"), _text_key(F.col("text")).alias("_id"))
-    found = stored(
-        own.join(needed, (own._id == needed.id) & own._doc.eqNullSafe(needed.doc_id)).groupBy("id", "doc_id").agg(F.first("text").alias("text")).select("id", "text"),
-        "texts",
-    )
+    found = stored(texts_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), docs, texts), "texts")
     with_b = pairs.join(found.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
     with_both = with_b.join(found.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
     return with_both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double").where(F.col("similarity") >= SIMILARITY)
 
 
+def block_links(hashes: list[np.ndarray], counts: list[np.ndarray], roots: list[bytes], idf: np.ndarray) -> list[tuple[bytes, bytes]]:
+    """Links (a, b) of roots that connect all texts of similarity SIMILARITY or more; at most one per text.
+
+    The n-th occurrence of a shingle in a text is an element of its own with the shingle's weight, so
+    the common weight of two texts is the sum over their common elements: a product of matrices.
+    """
+    size = len(hashes)
+    label = np.unique(np.array(roots, dtype=object), return_inverse=True)[1] if size > 2 else np.array([0, int(roots[0] != roots[1])]) if size == 2 else np.zeros(1, int)
+    if not label.any():
+        return []
+    lengths = [int(n.sum()) for n in counts]
+    n = np.concatenate(counts)
+    element = np.repeat(np.concatenate(hashes), n)
+    value = idf[(element >> np.uint64(64 - DF_BITS)).astype(np.int64)].astype(np.float64)
+    occurrence = (np.arange(len(element)) - np.repeat(np.cumsum(n) - n, n)).astype(np.uint64)
+    again = occurrence > 0
+    element[again] = mix(element[again] + mix(occurrence[again]))
+    row = np.repeat(np.arange(size), lengths)
+    total = np.bincount(row, value, size)
+    _, first, column, found = np.unique(element, return_index=True, return_inverse=True, return_counts=True)
+    # an element of a single text is common to no pair
+    place = np.cumsum(found > 1) - 1
+    shared = found[column] > 1
+    row, column, value = row[shared], place[column[shared]], value[first][found > 1]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    common = np.zeros((size, size))
+    for a in range(0, len(value), COLUMNS):
+        i, j = np.searchsorted(column, (a, a + COLUMNS))
+        part = np.zeros((size, min(COLUMNS, len(value) - a)))
+        part[row[i:j], column[i:j] - a] = 1
+        common += (part * value[a : a + COLUMNS]) @ part.T
+    similarity = common / (total[:, None] + total - common)
+    linked = similarity >= SIMILARITY
+    # rounding decides as it does for a single pair
+    for x, y in zip(*np.nonzero(np.triu(np.abs(similarity - SIMILARITY) < 1e-6, 1)), strict=True):
+        w = [weights(hashes[k], counts[k], idf) for k in (x, y)]
+        linked[x, y] = linked[y, x] = weighted_jaccard(hashes[x], w[0], hashes[y], w[1]) >= SIMILARITY
+    out = []
+    # components of the block: texts of one root, or linked, share the smallest label
+    now = label
+    while True:
+        least = np.where(linked, now, size).min(axis=1)
+        new = np.minimum(now, least)
+        by_root = np.full(size, size)
+        np.minimum.at(by_root, label, new)
+        new = by_root[label]
+        if (new == now).all():
+            break
+        now = new
+    name = dict(zip(label.tolist(), roots, strict=True))
+    for old, to in {(o, t) for o, t in zip(label.tolist(), now.tolist(), strict=True) if o != t}:
+        out.append((name[old], name[to]))
+    return out
+
+
+def compared(rows: DataFrame, docs: DataFrame, texts: DataFrame, idf: np.ndarray) -> DataFrame:
+    """Links (a, b) between roots whose texts are similar, of all texts in one bucket.
+
+    rows: band, key, id, weight, root.  Texts of a bucket's most frequent root need not meet each
+    other; its blocks meet those of the other texts, and the latter meet among themselves.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(idf)  # 2 ** DF_BITS numbers
+    schema = "id binary, hashes binary, counts binary"
+
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            all_texts = batch.column("text").to_pylist()
+            for a, b in steps(all_texts):
+                found = shingles(all_texts[a:b], SHINGLE)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.slice(a, b - a).column("id"), pa.array([h.tobytes() for h, _ in found], pa.binary()), pa.array([n.astype("<i4").tobytes() for _, n in found], pa.binary())], ["id", "hashes", "counts"]
+                )
+
+    def links(block: list[tuple]) -> list[tuple[bytes, bytes]]:
+        return block_links([np.frombuffer(r[1], np.uint64) for r in block], [np.frombuffer(r[2], "<i4") for r in block], [r[0] for r in block], shared.value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, block = None, []
+        for batch in batches:
+            out = []
+            columns = [c.to_pylist() for c in batch.columns]
+            for key, row in zip(zip(*columns[:4], strict=True), zip(*columns[4:], strict=True), strict=True):
+                if key != own:
+                    if block:
+                        out += links(block)
+                    own, block = key, []
+                block.append(row)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+        if block:
+            out = links(block)
+            yield pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in out], pa.binary()), "b": pa.array([b for _, b in out], pa.binary())})
+
+    found = texts_of(rows.select("id").distinct(), docs, texts).mapInArrow(vectors, schema)
+    sized = rows.groupBy("band", "key", "root").agg(F.count("*").alias("n"), F.sum("weight").alias("w"))
+    blocks = lambda n, w: F.ceil(F.greatest(n / BLOCK, w / BLOCK_WEIGHT)).cast("int")
+    most = F.max(F.struct("n", "root", "w"))
+    plan = sized.groupBy("band", "key").agg(most.alias("most"), F.sum("n").alias("n"), F.sum("w").alias("w")).select(
+        "band", "key", F.col("most.root").alias("most"), blocks(F.col("most.n"), F.col("most.w")).alias("n_most"), blocks(F.col("n") - F.col("most.n"), F.greatest(F.col("w") - F.col("most.w"), F.lit(1.0))).alias("n_rest"))
+    is_most, chance = F.col("root") == F.col("most"), F.xxhash64("id")
+    rest = F.pmod(chance, F.col("n_rest")).cast("int")
+    at = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    # blocks of the most frequent root have negative numbers
+    each_rest = F.sequence(F.lit(0), F.col("n_rest") - 1)
+    meets = F.when(is_most, F.transform(each_rest, lambda i: at(i, -1 - F.pmod(chance, F.col("n_most"))))).otherwise(
+        F.concat(F.transform(F.sequence(F.lit(1), F.col("n_most")), lambda j: at(rest, -j)), F.transform(F.filter(each_rest, lambda k: k != rest), lambda k: at(F.least(rest, k), F.greatest(rest, k)))))
+    dealt = rows.join(plan, ["band", "key"]).select("band", "key", F.explode(meets).alias("m"), "id", "root").select("band", "key", "m.i", "m.j", "id", "root")
+    keys = ["band", "key", "i", "j"]
+    whole = dealt.join(found, "id").select(*keys, "root", "hashes", "counts")
+    return whole.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary")
+
+
 def components(links: DataFrame) -> DataFrame:
     """id and root, the smallest member of its connected component, for every end of links (a, b).
 
@@ -196,51 +313,26 @@ def text_classes(docs: DataFrame) -> DataFrame:
     """One row per different text: id, doc_id (its smallest), class_id (the smallest doc_id of its class)."""
     idf = inverse_frequencies(docs)
     sketched = stored(sketches(docs, idf), "sketches")
-    texts = stored(
-        sketched.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("weight").alias("weight"), F.first("agree").alias("agree"), F.first("bands").alias("bands")), "texts"
-    )
+    texts = stored(sketched.groupBy("id").agg(F.min("doc_id").alias("doc_id"), F.first("weight").alias("weight"), F.first("bands").alias("bands")), "texts")
     member = texts.select("id", "weight", F.posexplode("bands").alias("band", "key"))
     bucket = member.groupBy("band", "key").agg(F.min(F.struct("id", "weight")).alias("hub"), F.count("*").alias("n")).where("n > 1")
-    near = stored(member.join(bucket, ["band", "key"]).select("band", "key", "id", "weight", "hub", "n"), "members")
-    # a text that many others resemble shares more and larger buckets than they do among each other
-    degree = near.groupBy("id").agg(F.sum("n").alias("degree"))
-
-    def alike(x: Column, y: Column) -> Column:
-        """The smaller total over the larger one bounds the similarity."""
-        return F.least(x, y) >= SIMILARITY * F.greatest(x, y)
-
-    first = stored(near.where((F.col("id") != F.col("hub.id")) & alike(F.col("weight"), F.col("hub.weight"))).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    roots = components(similar(first, docs, texts, idf))
-    tried = first
-    for turn in range(TURNS + 1):
-        with_root = near.join(roots, "id", "left").select("band", "key", "id", "weight", F.coalesce("root", "id").alias("root"))
-        open_ = with_root.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
-        rest = stored(with_root.join(open_, ["band", "key"]).join(texts.select("id", "agree"), "id").join(degree, "id"), "open")
-        if rest.isEmpty():
-            break
-        x, y = rest.alias("x"), rest.alias("y")
-        if turn < TURNS:  # a few members of each bucket, by degree or by chance, meet the bucket's members
-            slot = F.pmod(F.xxhash64("id", F.lit(turn)), F.lit(HUBS))
-            order = F.xxhash64("id", F.lit(turn + 1000)) if turn % 2 else -F.col("degree")
-            own = F.struct(order.alias("o"), "id", "weight", "root", "agree")
-            y = rest.groupBy("band", "key", slot.alias("slot")).agg(F.min(own).alias("h")).select("band", "key", "h.id", "h.weight", "h.root", "h.agree").alias("y")
-        equal = F.aggregate(F.zip_with("x.agree", "y.agree", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
-        met = (F.col("x.band") == F.col("y.band")) & (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & alike(F.col("x.weight"), F.col("y.weight")) & (equal >= AGREE)
-        met = met if turn < TURNS else met & (F.col("x.id") < F.col("y.id"))  # what is left is compared in full
-        pairs = x.join(y, met).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
-        pairs = stored(pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if pairs.isEmpty():
-            continue
-        more = stored(similar(pairs, docs, texts, idf), "links")
-        tried = tried.union(pairs)
-        if not more.isEmpty():
-            by_root = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
-            joined = more.join(by_root, "a", "left").join(by_root.toDF("b", "rb"), "b", "left")
-            merged = components(joined.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")))
-            # roots that were joined lead to their new root; texts without a class so far are their own
-            moved = roots.join(merged.toDF("root", "new"), "root", "left").select("id", F.coalesce("new", "root").alias("root"))
-            alone = merged.join(roots, "id", "left_anti")
-            roots = stored(moved.unionByName(alone), "roots")
+    near = stored(member.join(bucket, ["band", "key"]).where(F.col("id") != F.col("hub.id")).select("band", "key", "id", "weight", "hub"), "members")
+
+    # the smaller total over the larger one bounds the similarity
+    alike = F.least("weight", "hub.weight") >= SIMILARITY * F.greatest("weight", "hub.weight")
+    first = stored(near.where(alike).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
+    roots = stored(components(similar(first, docs, texts, idf)), "roots")
+    # all have met the first text of their bucket; what is left in several classes is compared in full
+    with_root = near.join(roots, "id", "left").select("band", "key", "id", "weight", F.coalesce("root", "id").alias("root"))
+    several = with_root.groupBy("band", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("band", "key")
+    rest = stored(with_root.join(several, ["band", "key"]), "open")
+    more = stored(compared(rest, docs, texts, idf), "links")
+    if not more.isEmpty():
+        merged = components(more)
+        # roots that were joined lead to their new root; texts without a class so far are their own
+        moved = roots.join(merged.toDF("root", "new"), "root", "left").select("id", F.coalesce("new", "root").alias("root"))
+        alone = merged.join(roots, "id", "left_anti")
+        roots = stored(moved.unionByName(alone), "roots")
     grouped = texts.join(roots, "id", "left").select("id", "doc_id", F.coalesce("root", "id").alias("root"))
     lowest = grouped.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return stored(grouped.join(lowest, "root").select("id", "doc_id", "class_id"), "classes")
