@@ -212,6 +212,21 @@ def test_near_duplicates(docs, none, rows):
     assert near_dedup.classes(none).count() == 0
 
 
+def test_words_are_encoded_between_bars():
+    """New words go to the vocabulary with bars between them, not special marks, and have the ids they have alone."""
+    from timbrel.llm.tokens import Encoder
+
+    enc = Encoder(public_tokenizer("word_bpe_49k.json"), False)
+    calls = []
+    tabulate = enc._tabulate
+    enc._tabulate = lambda keys, joined, *more: (calls.append((keys, joined)), tabulate(keys, joined, *more))
+    texts = ["plain words don't | split a|b || |", "\u0301accent e\u0301 \u1100\u1161 12,5% <|endoftext|> x<y", "", "  two  blanks\tand \u2028 lines\n", "\u00a0|\u00a0 \ud55c\uae00 \U0001f600|\U0001f600 I'LL \u0130"]
+    assert enc.encode(texts) == [enc.whole(t) for t in texts]
+    assert enc.encode(texts) == [enc.whole(t) for t in texts]
+    marked = [k for keys, joined in calls for k in keys if any(enc.mark in j for j in joined)]
+    assert "plain" not in marked and "words" not in marked and enc.known["plain"] == enc.whole("plain")
+
+
 def test_near_copies_meet_in_blocks(spark, monkeypatch):
     """A bucket of near copies around the limit gives the components of all pairs, and no more links than texts in blocks."""
     rng = random.Random(11)

@@ -23,6 +23,8 @@ JOINED = 60
 FIRST = "\x01"
 #: A short piece without white space and marks: independent of its neighbours and kept.
 SIMPLE = re.compile(rf"[^\s<{FIRST}]{{1,{LONG_PIECE}}}")
+#: Stands as a piece of its own between pieces without it, where white space only separates.
+BAR = "|"
 
 
 class Encoder:
@@ -44,6 +46,9 @@ class Encoder:
         self.mark = "<|endoftext|>"
         self.mark_id = self.marked.token_to_id(self.mark)
         self.joins_blank = joins_blank
+        # the byte of the bar is part of no other character, so its id marks the ends of pieces
+        bar = [] if joins_blank else self.plain.encode(BAR, add_special_tokens=False).ids
+        self.bar_id = bar[0] if len(bar) == 1 else None
         self.known: dict[str, bytes] = {}
 
     def pieces(self, text: str) -> list[str] | None:
@@ -68,11 +73,11 @@ class Encoder:
 
     def learn(self, keys: Iterable[str]) -> tuple[set[str], set[str]]:
         """Encode new pieces; returns the keys that aren't independent, and those not to be kept."""
-        bad, long, some, odd, odd_texts = set(), set(), [], [], []
-        simple = SIMPLE.fullmatch
+        bad, long, some, barred, odd, odd_texts = set(), set(), [], [], [], []
+        simple, bars = SIMPLE.fullmatch, self.bar_id is not None
         for key in keys:
             if simple(key):
-                some.append(key)
+                (barred if bars and BAR not in key else some).append(key)
                 continue
             text = self.as_text(key)
             if text is None:
@@ -84,15 +89,18 @@ class Encoder:
                 odd.append(key)
                 odd_texts.append(text)
         lead = " " if self.joins_blank else ""
+        between = f" {BAR} "
+        self._tabulate(barred, [between.join(barred[i : i + JOINED]) for i in range(0, len(barred), JOINED)], self.plain, self.bar_id)
         self._tabulate(some, [lead + (self.mark + lead).join(some[i : i + JOINED]) for i in range(0, len(some), JOINED)])
         self._tabulate(odd, [self.mark.join(odd_texts[i : i + JOINED]) for i in range(0, len(odd), JOINED)])
         return bad, long
 
-    def _tabulate(self, keys: list[str], joined: list[str]) -> None:
+    def _tabulate(self, keys: list[str], joined: list[str], vocabulary=None, mark_id: int | None = None) -> None:
         """Enter the ids of keys; each joined text holds JOINED of them, with marks between."""
-        for i, found in enumerate(self.marked.encode_batch_fast(joined, add_special_tokens=False)):
+        mark_id = self.mark_id if mark_id is None else mark_id
+        for i, found in enumerate((vocabulary or self.marked).encode_batch_fast(joined, add_special_tokens=False)):
             ids = np.array(found.ids, dtype="<u4")
-            marks = np.flatnonzero(ids == self.mark_id) * 4
+            marks = np.flatnonzero(ids == mark_id) * 4
             data = ids.tobytes()
             cuts = zip([0, *(marks + 4).tolist()], [*marks.tolist(), len(data)], strict=True)
             self.known.update(zip(keys[i * JOINED : (i + 1) * JOINED], [data[a:b] for a, b in cuts], strict=True))
