@@ -655,17 +655,23 @@ def fallback_position(shots: DataFrame, regions: DataFrame, faces: DataFrame, ev
     key = ["job_id", shot_id]
     iv = shots.select(*key, "start", "end")
     d = scan(shots, ["job_id"], ["start", shot_id], time_block("start"), prev={"_p": F.struct("end", "subject_x", "confidence")})
-    peak = points_in(regions.where("score >= 0.40").select("job_id", "t", "region_id", "x", "y", (F.col("score") * F.col("w") * F.col("h")).alias("_s")), iv, ["job_id"], 10.0)
+    # the best region and the moves are found once for a time of a job, before they meet the shots
+    best = F.max_by(F.struct("x", "y", "_s", "region_id"), F.struct("_s", -F.col("region_id"))).alias("r")
+    tops = regions.where("score >= 0.40").select("job_id", "t", "region_id", "x", "y", (F.col("score") * F.col("w") * F.col("h")).alias("_s")).groupBy("job_id", "t").agg(best).select("job_id", "t", "r.*")
+    peak = points_in(tops, iv, ["job_id"], 10.0)
     peak = peak.groupBy(*key).agg(F.max_by(F.struct("x", "y"), F.struct("_s", -F.col("t"), -F.col("region_id"))).alias("_peak"))
     f = faces.select("job_id", "t", "x", "y", "slot_id", "face_key", F.greatest(F.lit(0.1), F.when(F.col("slot_id") >= 0, 1.0).otherwise(untracked) * F.col("w") * F.col("h") / 100).alias("_w"))
-    seen = cut_lineage(points_in(f, iv, ["job_id"], 10.0))
-    mass = seen.groupBy(*key).agg((F.sum(F.col("x") * F.col("_w")) / F.sum("_w")).alias("_fx"), (F.sum(F.col("y") * F.col("_w")) / F.sum("_w")).alias("_fy"))
-    frames = seen.select(*key, "t").distinct()
-    frames = scan(frames, key, ["t"], time_block("t"), prev={"_pt": F.col("t")})
-    one = seen.where("slot_id >= 0").groupBy(*key, "t", "slot_id").agg(F.max_by(F.struct("x", "y"), "face_key").alias("r"))
-    move = one.join(frames.where("_pt IS NOT NULL"), [*key, "t"]).join(one.select(*key, F.col("t").alias("_pt"), "slot_id", F.col("r").alias("q")), [*key, "_pt", "slot_id"])
+    # the mean of a shot's faces stays a sum over single faces: sums of sums would round otherwise where it is half a percent
+    mass = points_in(f.select("job_id", "t", "x", "y", "_w"), iv, ["job_id"], 10.0)
+    mass = mass.groupBy(*key).agg((F.sum(F.col("x") * F.col("_w")) / F.sum("_w")).alias("_fx"), (F.sum(F.col("y") * F.col("_w")) / F.sum("_w")).alias("_fy"))
+    # a time's previous one within a shot is that of the job, if the shot holds it
+    frames = cut_lineage(scan(f.select("job_id", "t").distinct(), ["job_id"], ["t"], time_block("t"), prev={"_pt": F.col("t")}))
+    one = f.where("slot_id >= 0").groupBy("job_id", "t", "slot_id").agg(F.max_by(F.struct("x", "y"), "face_key").alias("r"))
+    move = one.join(frames.where("_pt IS NOT NULL"), ["job_id", "t"]).join(one.select("job_id", F.col("t").alias("_pt"), "slot_id", F.col("r").alias("q")), ["job_id", "_pt", "slot_id"])
     dx, dy = F.col("r.x") - F.col("q.x"), F.col("r.y") - F.col("q.y")
-    move = move.where(dx * dx + dy * dy > 4.0).groupBy(*key).agg(F.avg("r.x").alias("_mx"), F.avg("r.y").alias("_my"))
+    move = move.where(dx * dx + dy * dy > 4.0).groupBy("job_id", "t", "_pt").agg(F.sum("r.x").alias("_sx"), F.sum("r.y").alias("_sy"), F.count("r.x").alias("_nx"), F.count("r.y").alias("_ny"))
+    move = points_in(move, iv, ["job_id"], 10.0).where(F.col("_pt") >= F.col("start"))
+    move = move.groupBy(*key).agg((F.sum("_sx") / F.sum("_nx")).alias("_mx"), (F.sum("_sy") / F.sum("_ny")).alias("_my"))
     ev = events.where("slot_id >= 0").select("job_id", F.col("slot_id").cast("long").alias("slot_id"), "event_id", F.col("start").alias("r_start"), F.col("end").alias("r_end"))
     talk = overlap_pairs(iv, ev, ["job_id"], 30.0).groupBy(*key, "slot_id").agg(F.sum(F.least("end", "r_end") - F.greatest("start", "r_start")).alias("_s"), F.min("event_id").alias("_o"))
     talk = talk.groupBy(*key).agg(F.max_by("slot_id", F.struct("_s", -F.col("_o"))).alias("slot_id")).join(slots.select("job_id", "slot_id", "x_center"), ["job_id", "slot_id"]).select(*key, "x_center")
