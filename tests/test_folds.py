@@ -12,6 +12,7 @@ from timbrel.operators import speakers as sp
 from timbrel.operators import tracks as tr
 from timbrel.operators import transcript as ts
 from timbrel.operators import windows as wi
+from timbrel.operators.faces import interval_slots
 
 
 def groups(rows, key=0):
@@ -486,3 +487,51 @@ def test_proportional_words_of_a_long_text(spark):
     got = {r.id: r.w for r in d.collect()}
     assert got[0] == [(2.0 * i, 2.0 * i + 2.0, "cd" if i % 2 else "ab") for i in range(2 * n)]
     assert got[1] is None and got[2] is None and got[3] == [(0.0, 2.0, "a"), (2.0, 8.0, "bcd")]
+
+
+def test_fallback_position_reduces_before_the_shots(spark):
+    """Every tier against a plain loop, and no checkpoint or join of the moves that holds a face per shot."""
+    rnd = random.Random(5)
+    faces = [(j, float(rnd.randrange(12)), rnd.randrange(-1, 3), k, float(rnd.randrange(101)), float(rnd.randrange(101)), 2.0 + k % 5, 3.0 + k % 3) for j in (1, 2) for k in range(60)]
+    shots = [(j, i, float(a), float(a + rnd.choice([0, 1, 3, 6])), float(rnd.randrange(101)), 0.6) for j in (1, 2) for i, a in enumerate(rnd.choices(range(14), k=25))]
+    f = spark.createDataFrame(faces, "job_id long, t double, slot_id long, face_key long, x double, y double, w double, h double")
+    s = spark.createDataFrame(shots, "job_id long, shot long, start double, end double, subject_x double, confidence double")
+    regions = f.select("job_id", "t", F.col("face_key").alias("region_id"), "x", "y", "w", "h", ((F.col("face_key") % 10) / 10).alias("score"))
+    ev = spark.createDataFrame([], "job_id long, event_id long, slot_id long, start double, end double")
+    slots = spark.createDataFrame([], "job_id long, slot_id long, x_center double")
+    for tier in ("saliency_peak", "motion_proxy", "face_centroid"):
+        want = {}
+        for j, i, a, b, *_ in shots:
+            own = [r for r in faces if r[0] == j and a <= r[1] <= b]
+            point = None
+            if tier == "saliency_peak":
+                top = [r for r in own if r[3] % 10 >= 4]
+                if top:
+                    point = max(top, key=lambda r: ((r[3] % 10) / 10 * r[6] * r[7], -r[1], -r[3]))[4:6]
+            elif tier == "face_centroid" and own:
+                w = [max(0.1, (1.0 if r[2] >= 0 else 0.2) * r[6] * r[7] / 100) for r in own]
+                point = [sum(r[c] * v for r, v in zip(own, w)) / sum(w) for c in (4, 5)]
+            elif tier == "motion_proxy":
+                times, one, moved = sorted({r[1] for r in own}), {}, []
+                for r in sorted(own, key=lambda r: r[3]):
+                    if r[2] >= 0:
+                        one[r[1], r[2]] = r[4:6]
+                for p, t in zip(times, times[1:]):
+                    moved += [one[t, k] for k in range(3) if (t, k) in one and (p, k) in one and (one[t, k][0] - one[p, k][0]) ** 2 + (one[t, k][1] - one[p, k][1]) ** 2 > 4]
+                if moved:
+                    point = [sum(q[c] for q in moved) / len(moved) for c in (0, 1)]
+            want[j, i] = (round(point[0]), round(point[1]), tier) if point else (50, 50, "hardcoded_center")
+        got = tr.fallback_position(s, regions, f, ev, slots, "shot", (tier, "hardcoded_center"))
+        assert {(r.job_id, r.shot): (r.x, r.y, r.source) for r in got.collect()} == want
+    # moves meet the shots as sums of a time
+    assert "_sx" in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_interval_slots_meet_times_not_faces(spark):
+    """A frame meets an interval once, however many faces it has."""
+    faces = spark.createDataFrame([(1, float(t), k % 4 - 1) for t in range(10) for k in range(40)], "job_id long, t double, slot_id long")
+    iv = spark.createDataFrame([(1, i, float(i), i + 3.0) for i in range(5)], "job_id long, iv long, start double, end double")
+    d = interval_slots(iv, faces, "iv")
+    got = {(r.iv, r.slot_id): (r.n, r.first_t, r.total) for r in d.collect()}
+    assert got == {(i, k): (4, float(i), 4) for i in range(5) for k in range(3)}
+    assert "collect_set" in d._jdf.queryExecution().optimizedPlan().toString()

@@ -37,10 +37,12 @@ def panel_flags(faces: DataFrame) -> DataFrame:
 def interval_slots(intervals: DataFrame, faces: DataFrame, interval_id: str) -> DataFrame:
     """Frames of each slot inside each interval and the interval's frame total."""
     key = ["job_id", interval_id]
-    hit = points_in(faces.select("job_id", "t", "slot_id"), intervals.select(*key, "start", "end"), ["job_id"], 10.0)
-    frames = hit.select(*key, "t", "slot_id").distinct()
-    total = frames.select(*key, "t").distinct().groupBy(*key).agg(F.count("*").alias("total"))
-    per = frames.where("slot_id >= 0").groupBy(*key, "slot_id").agg(F.count("*").alias("n"), F.min("t").alias("first_t"))
+    # faces become one row per time of a job before they meet the intervals
+    frames = faces.groupBy("job_id", "t").agg(F.collect_set(F.when(F.col("slot_id") >= 0, F.col("slot_id"))).alias("_slots"))
+    hit = points_in(frames, intervals.select(*key, "start", "end"), ["job_id"], 10.0).select(*key, "t", "_slots").repartition(*key)
+    once = hit.groupBy(*key, "t").agg(F.first("_slots").alias("_slots"))
+    total = once.groupBy(*key).agg(F.count("*").alias("total"))
+    per = once.select(*key, "t", F.explode("_slots").alias("slot_id")).groupBy(*key, "slot_id").agg(F.count("*").alias("n"), F.min("t").alias("first_t"))
     return per.join(total, key)
 
 
