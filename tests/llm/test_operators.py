@@ -227,6 +227,50 @@ def test_words_are_encoded_between_bars():
     assert "plain" not in marked and "words" not in marked and enc.known["plain"] == enc.whole("plain")
 
 
+def test_words_are_encoded_once_in_any_case_and_with_any_marks():
+    """A word in other case or before other marks is not encoded anew, and every text has the ids it has as a whole."""
+    from timbrel.llm import tokens
+
+    enc = tokens.Encoder(public_tokenizer("word_bpe_49k.json"), False)
+    calls = []
+    tabulate = enc._tabulate
+    enc._tabulate = lambda keys, joined, *more: (calls.extend(keys), tabulate(keys, joined, *more))
+    texts = ["Word word, WORD. word!! (word) wOrD%%%\nword,", ""]
+    assert enc.encode(texts) == [enc.whole(t) for t in texts]
+    assert sorted(k for k in calls if k) == ["!!", "%%%", "(word", ")", ",", ".", "word"] and calls.count("word") == 1
+    odd = ["J\u030c J\u030c, \u01f0. \u0130, \u0130stanbul! I\u0307. \u212a, \u00c9t\u00e9, \u00c9T\u00c9. \u00b2, 5\u00b2. x\u0301, E\u0301? \u03a3\u03a3, \u03a3.", "dogs'. 's. 'S, \"'s don't, DON'T! we'LL'd'm. a'. \u2019s, \u2014, a\u2014. \u00d7, \u00f7.",
+           "<|endoftext|>, <|endoftext|! word<|endoftext|. <|startoftext|>? ___ a_b_ _ , . 12,5. 3.14, 1e5!", "w" * 70 + ", " + "W" * 70 + ". " + "w" + "!" * 80 + " ", "\u0661, \u4e09. \ud55c\uae00, \U0001f600, a\U0001f600! \ufb01, \u1e9e. \u00df,", "\n\n  , \t. \u00a0,\u2028. \x01, \x00."]
+    assert enc.encode(odd) == [enc.whole(t) for t in odd] == enc.encode(odd) and enc.encode([]) == []
+    assert not any(len(k) > tokens.LONG_PIECE for k in enc.known)
+
+
+def test_vocabulary_with_case_keeps_whole_pieces(tmp_path):
+    """Pieces are cut and folded only where the vocabulary's own rules do it."""
+    import json
+
+    from timbrel.llm import tokens
+
+    spec = json.loads(open(public_tokenizer("word_bpe_49k.json"), encoding="utf-8").read())
+    spec["normalizer"]["normalizers"] = spec["normalizer"]["normalizers"][:2]
+    (tmp_path / "cased.json").write_text(json.dumps(spec), encoding="utf-8")
+    enc = tokens.Encoder(str(tmp_path / "cased.json"), False)
+    texts = ["Word word, WORD. (Word) don't, DON'T!", " \u0130, x"]
+    assert enc.encode(texts) == [enc.whole(t) for t in texts] and enc.whole("Word") != enc.whole("word")
+
+
+def test_full_table_of_words_is_emptied(monkeypatch):
+    """A table without room for new words keeps those of the texts at hand, and the ids stay right."""
+    from timbrel.llm import tokens
+
+    monkeypatch.setattr(tokens, "KEPT_PIECES", 20)
+    enc = tokens.Encoder(public_tokenizer("word_bpe_49k.json"), False)
+    rng = random.Random(3)
+    for _ in range(30):
+        texts = [" ".join(rng.choice(["the ", "of", f"word{rng.randrange(200)}", f"Name{rng.randrange(50)}."]) for _ in range(12)) for _ in range(3)]
+        assert enc.encode(texts) == [enc.whole(t) for t in texts]
+    assert len(enc.known) < 120
+
+
 def test_near_copies_meet_in_blocks(spark, monkeypatch):
     """A bucket of near copies around the limit gives the components of all pairs, and no more links than texts in blocks."""
     rng = random.Random(11)

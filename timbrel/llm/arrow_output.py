@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ SEQUENCE = 1024
 END_ID = 1
 #: Sequences of a batch.
 BATCH = 64
+#: Characters that are encoded at once; a word is looked up once in them.
+STEP = 4_000_000
 #: Characters of a shard, about.
 SHARD_CHARS = 16_000_000
 
@@ -99,14 +102,14 @@ def write_shards(docs: DataFrame, folder: str, length: int = SEQUENCE, end_id: i
         store, top = fs.FileSystem.from_uri(folder)
         enc, end, writer, n_docs = encoder(path, False), np.array([end_id], "<u4").tobytes(), None, 0
         for batch in batches:
-            doc_ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in steps(texts):
+            doc_ids, texts = batch.column(0).to_pylist(), pc.fill_null(batch.column(1).cast(pa.large_string()), "")
+            for a, b in steps(texts.to_pylist(), STEP):
                 if writer is None:
                     store.create_dir(top, recursive=True)
                     draft = f"{top}/.{shard:06d}-{uuid.uuid4().hex}"
                     sink = store.open_output_stream(draft)
                     writer = ShardWriter(sink, length, width)
-                writer.add(doc_ids[a:b], [ids + end for ids in enc.encode(texts[a:b])])
+                writer.add(doc_ids[a:b], [ids + end for ids in enc.encode_words(texts[a:b])])
                 n_docs += b - a
         if writer is not None:
             writer.close()
