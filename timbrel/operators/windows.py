@@ -605,21 +605,21 @@ def smooth_both_ways(path: DataFrame, col: str, alpha: float = 0.3) -> DataFrame
     return d.withColumn("smooth", (F.col("_f") + F.col("_r")) / 2).drop("_f", "_r")
 
 
+def blend(before: Column, after: Column, t: Column, numbers: list[str], labels: list[str]) -> dict[str, Column]:
+    """Linear values and nearest labels at a time between two points (structs with t); a missing point is like the other."""
+    a, b = F.coalesce(before, after), F.coalesce(after, before)
+    dt = b["t"] - a["t"]
+    u = F.when(dt <= 1e-9, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (t - a["t"]) / dt)))
+    out = {c: F.coalesce((1 - u) * a[c] + u * b[c], a[c], b[c]) for c in numbers}
+    return out | {c: F.when(u < 0.5, a[c]).otherwise(b[c]) for c in labels}
+
+
 def resample(path: DataFrame, grid: DataFrame, numbers: list[str], labels: list[str]) -> DataFrame:
     """Linear values and nearest labels of a path at the grid times; ends are held."""
     p = path.select("job_id", F.col("t").alias("_pt"), *[F.col(c).alias(f"p_{c}") for c in (*numbers, *labels)])
     got = as_of(grid, p, ["job_id"], "t", "_pt", [f"p_{c}" for c in (*numbers, *labels)])
-    a, b = F.coalesce("before", "after"), F.coalesce("after", "before")
-    dt = b["t"] - a["t"]
-    u = F.when(dt <= 1e-9, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("t") - a["t"]) / dt)))
-    got = got.withColumns({"_a": a, "_b": b}).withColumn("_u", u)
-
-    def mixed(c: str) -> Column:
-        x, y = F.col(f"_a.p_{c}"), F.col(f"_b.p_{c}")
-        return F.coalesce((1 - F.col("_u")) * x + F.col("_u") * y, x, y)
-
-    out = {c: mixed(c) for c in numbers} | {c: F.when(F.col("_u") < 0.5, F.col(f"_a.p_{c}")).otherwise(F.col(f"_b.p_{c}")) for c in labels}
-    return got.where("_a IS NOT NULL").withColumns(out).drop("before", "after", "_a", "_b", "_u")
+    mixed = blend(F.col("before"), F.col("after"), F.col("t"), [f"p_{c}" for c in numbers], [f"p_{c}" for c in labels])
+    return got.where("before IS NOT NULL OR after IS NOT NULL").withColumns({c.removeprefix("p_"): x for c, x in mixed.items()}).drop("before", "after")
 
 
 def hold_track(grid: DataFrame, alpha: float = 0.45, jump: float = 20.0) -> DataFrame:
