@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import cut_lineage, fold_sorted, islands, scan, time_block
+from ..functions.ordered import cut_lineage, fold_sorted, islands, scan, time_block, written
 from ..functions.ranges import near_pairs, overlap_pairs, points_in
 from ..functions.text import title_words, tokens
 from .joins import snap_to_speech
@@ -186,25 +186,26 @@ def drop_overlapping(clips: DataFrame, limit: float = 0.5, dense: int = DENSE) -
     return d.join(keep, KEY, "left_semi").select(*clips.columns)
 
 
-def limit_themes(clips: DataFrame, most: int, similar: float = 0.75) -> DataFrame:
+def limit_themes(clips: DataFrame, most: int | Column, similar: float = 0.75) -> DataFrame:
     """At most ``most`` kept clips per theme, by Jaccard similarity of title words.
 
+    ``most`` is a number or a column that is the same in all rows of a job.
     Only the best ``most`` clips of identical word sets can matter (a later one
     meets at least as many similar kept clips), so the rest go before the pass.
     Clips without title words are always kept.
     """
-    d = clips.select(*KEY, "viral_score", "position", title_words(F.col("title")).alias("_w"))
+    d = clips.select(*KEY, "viral_score", "position", title_words(F.col("title")).alias("_w"), (F.lit(most) if isinstance(most, int) else most).alias("_most"))
     plain = d.where(F.size("_w") == 0).select(*KEY)
     w = Window.partitionBy("job_id", "_w").orderBy(F.desc("viral_score"), "position")
-    d = d.where(F.size("_w") > 0).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most)
-    d = d.select("job_id", (-F.col("viral_score")).alias("_rank"), "position", "clip_id", "_w")
+    d = d.where(F.size("_w") > 0).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= F.col("_most"))
+    d = d.select("job_id", (-F.col("viral_score")).alias("_rank"), "position", "clip_id", "_w", "_most")
 
     def step(state, row):
         kept, by_word = state
         mine = frozenset(row[4])
         near = {i for word in mine for i in by_word[word]}
         alike = sum(len(mine & kept[i]) / len(mine | kept[i]) > similar for i in near)
-        if alike >= most:
+        if alike >= row[5]:
             return state, []
         for word in mine:
             by_word[word].append(len(kept))
@@ -647,12 +648,12 @@ def post_process(clips: DataFrame, segments: DataFrame, scenes: DataFrame, jobs:
     retention adjustments, platform rules and the spread top ``n``.
 
     The kept set is written out between stages, so later stages do not repeat
-    the suppression passes.
+    the suppression passes, and so are the segments, which four of them read.
     """
-    d = drop_overlapping(clips, 0.7).join(jobs.select("job_id", F.col("duration").alias("_dur")), "job_id")
-    tiers = [(F.col("_dur") < 1800, 3), ((F.col("_dur") >= 1800) & (F.col("_dur") < 5400), 4), (F.col("_dur") >= 5400, 5)]
+    segments = written(segments.select("job_id", "seg_idx", "speaker", "text", "start", "end"))
+    d = drop_overlapping(clips, 0.7).join(jobs.select("job_id", F.col("duration").alias("_dur")), "job_id").where("_dur IS NOT NULL")
     d = cut_lineage(d)
-    d = reduce(lambda a, b: a.unionByName(b), [limit_themes(d.where(c), k) for c, k in tiers]).drop("_dur")
+    d = limit_themes(d, F.when(F.col("_dur") < 1800, 3).when(F.col("_dur") < 5400, 4).otherwise(5)).drop("_dur")
     d = cut_lineage(snap_to_speech(d, segments))
     d = d.join(opening_score(d, segments, scenes), KEY).join(better_opening(d, segments), KEY, "left")
     own = F.col("hook_score")
