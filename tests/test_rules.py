@@ -1,12 +1,16 @@
 """Rules over event time: streams of several micro-batches against the batch form and plain loops."""
 
+import glob
 import math
 import random
+from itertools import groupby
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from timbrel.streaming import rules as ru
+from timbrel.streaming import timers
 from timbrel.streaming.timers import advance, run_closed
 
 FAR = -99
@@ -192,3 +196,61 @@ def test_progress_is_merged_once(spark, tmp_path):
     assert held() == want
     ru.progress_feed(stream, table, str(tmp_path / "second"), 4).awaitTermination()  # everything once more
     assert held() == want
+
+
+def idle_of(spark, tmp_path, jobs, name):
+    """A stream of one file with rows of many jobs."""
+    rows = [(job, 1000 * (i + 1) + job, [], SENSORS, 0) for job in range(jobs) for i in range(6)]
+    return replayed(spark, tmp_path, rows, IDLE, name, 1), rows
+
+
+def test_keys_share_buckets_and_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(timers, "BUCKETS", 4, raising=False)
+    stream, rows = idle_of(spark, tmp_path, 60, "many")
+    started = []
+    build = lambda c: ru.timed_glances(closed(stream, c, "1 second"), 2000, 5000)
+    monkeypatch.setattr("timbrel.streaming.streams.shared_folder", lambda _, name: started.append(str(tmp_path / name)) or started[-1])
+    got = run_closed(spark, build, "shared")
+    assert rows_of(got) == brute_glances([r[:4] for r in rows], 2000, 5000)
+    # all rows, the closing row, the end of time: nothing of the first run has a batch of its own
+    assert len(glob.glob(f"{started[0]}/checkpoint/commits/[0-9]*")) == 3
+    state = spark.read.format("statestore").option("path", f"{started[0]}/checkpoint").option("batchId", 0).option("stateVarName", "waiting").load()
+    assert 0 < state.select("key").distinct().count() <= 4
+
+
+def test_moments_of_a_bucket():
+    rng = random.Random(5)
+    rows = [(rng.randrange(3), rng.choice("ab"), rng.randrange(8), i, rng.choice([None, float(i)])) for i in range(200)]
+    table = pa.table({c: [r[k] for r in rows] for k, c in enumerate(["job", "part", "t", "i", "x"])})
+    want = {}
+    for r in rows:
+        want.setdefault(((r[0], r[1]), r[2]), []).append({"t": r[2], "i": r[3], "x": r[4]})
+    for size in (1, 7, 10_000):
+        timers.ROWS, held = size, timers.ROWS
+        try:
+            got = [(own, t, now) for own, t, now in timers._moments(table, ["job", "part"], ["t", "i", "x"])]
+        finally:
+            timers.ROWS = held
+        assert len({own for own, _, _ in got}) == len(list(groupby(got, key=lambda m: m[0])))  # a key is in one piece
+        assert sorted((own, t) for own, t, _ in got) == sorted(want)
+        assert all(x[1] < y[1] for x, y in zip(got, got[1:]) if x[0] == y[0])
+        assert all(now == want[own, t] for own, t, now in got)
+    assert list(timers._moments(table.slice(0, 0), ["job", "part"], ["t", "i", "x"])) == []
+
+
+def test_peaks_across_slots(spark, tmp_path):
+    # 200 ms windows: frames and peaks at, just inside and just outside the reach of each other and of a slot
+    edges = [800 * k + d for k in range(3, 6) for d in (-101, -100, -99, -1, 0, 1, 99, 100, 101)]
+    frames = [(job, t, 100 * job + i, 0, 1.0, 0.5, "map", 0) for job in (1, 2) for i, t in enumerate(edges)]
+    peaks = [(1, t, 0) for t in edges[::2]] + [(2, 800 * 4, 0), (2, 800 * 4, 0)]
+    f, p = replayed(spark, tmp_path, frames, FRAMES, "edge_frames", 1), replayed(spark, tmp_path, peaks, "job_id long, t long", "edge_peaks", 1)
+    build = lambda c: ru.flag_near_peaks(closed(f, c, "1 second"), closed(p, c, "1 second"))
+    got = run_closed(spark, lambda c: build(c).select("job_id", "sample_id", "near_peak"), "edges")
+    want = []
+    for r in frames:
+        near = sum(q[0] == r[0] and abs(q[1] - r[1]) <= 100 for q in peaks)
+        want += [(r[0], r[2], near > 0)] * max(1, near)
+    assert rows_of(got) == sorted(want)
+    # a frame meets the peaks of its slot, not all of its job
+    join = next(x for x in build(spark.readStream.schema("closing timestamp").parquet(str(tmp_path)))._jdf.queryExecution().analyzed().toString().splitlines() if "Join LeftOuter" in x)
+    assert join.count(" = ") == 2

@@ -107,16 +107,29 @@ class Bus(Rule):
         return t - state["fired"].get(str(sid), NEVER) >= self.quiet
 
 
+#: Windows that a slot of time holds.
+SLOT = 4
+
+
 def flag_near_peaks(frames: DataFrame, peaks: DataFrame, window_ms: int = 200) -> DataFrame:
     """Streams of frames (job_id, ts, ...) and peaks (job_id, ts), both with watermarks: adds near_peak.
 
     An outer interval join: a frame waits until no peak within half a window can come any more, and
     its state is freed then, as is a peak's.  A frame near several peaks comes out several times.
+    The join is on a slot of time too, that of a frame and each one that a peak reaches into, so a frame
+    looks through the peaks around it and not through all of its job.
     """
     half = F.expr(f"INTERVAL {window_ms // 2} MILLISECONDS")
-    p = peaks.select(F.col("job_id").alias("_job"), F.col("ts").alias("_peak"))
-    meets = (F.col("job_id") == F.col("_job")) & (F.col("_peak") >= F.col("ts") - half) & (F.col("_peak") <= F.col("ts") + half)
-    return frames.join(p, meets, "leftOuter").withColumn("near_peak", F.col("_peak").isNotNull()).drop("_job", "_peak")
+    ms, reach = F.unix_millis("ts"), window_ms // 2
+
+    def slot(t):
+        return F.floor(t / max(1, SLOT * window_ms))
+
+    p = peaks.select(F.col("job_id").alias("_job"), F.col("ts").alias("_peak"), F.explode(F.sequence(slot(ms - reach), slot(ms + reach))).alias("_reached"))
+    near = (F.col("_peak") >= F.col("ts") - half) & (F.col("_peak") <= F.col("ts") + half)
+    meets = (F.col("job_id") == F.col("_job")) & (F.col("_slot") == F.col("_reached")) & near
+    d = frames.withColumn("_slot", slot(ms)).join(p, meets, "leftOuter")
+    return d.withColumn("near_peak", F.col("_peak").isNotNull()).drop("_job", "_peak", "_slot", "_reached")
 
 
 def trigger_bus_stream(
